@@ -37,7 +37,7 @@ def window_hashes(text: bytes, window: int) -> np.ndarray:
             return mixed(out)
         half = size // 2
         level = level[: len(level) - half] * power + level[half:]
-        power = power * power
+        power = np.uint64(int(power) * int(power) % 2**64)
 
 
 def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
