@@ -23,9 +23,9 @@ LEAST_LANGUAGE_SHARE = 0.4
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those in which no language reaches LEAST_LANGUAGE_SHARE."""
-    found = identify(docs, train(docs.where(fold(F.col("doc_id"), 4) != 2)))
-    good = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select("doc_id")
-    return docs.join(good.distinct(), "doc_id", "left_semi").select(docs.columns)
+    found = identify(docs, train(docs.where(fold(F.col("doc_id"), 4) != 2)), carry=tuple(docs.columns))
+    good = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE))
+    return good.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

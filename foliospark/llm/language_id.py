@@ -182,8 +182,11 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
     return out
 
 
-def identify(docs: DataFrame, model: LanguageModel, penalty: float = 6.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, lang_pred, score, spans (array of word interval and language).
+def identify(
+    docs: DataFrame, model: LanguageModel, penalty: float = 6.0, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per document: doc_id, lang_pred, score, spans (array of word interval and language), and the columns of
+    `carry` as c0, c1, ..., unchanged.
 
     Words are runs of letters, lower-cased. A word's script leaves its candidate languages; hashed character
     n-grams score them; Viterbi over the words with a penalty for each change labels the spans. lang_pred is the
@@ -235,17 +238,25 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 6.0, id_col
                 [ids, pa.array(langs), pa.array(scores, pa.float64()), pa.array(spans, span)], ["doc_id", "lang_pred", "score", "spans"]
             )
 
+        def with_rest(batch: pa.RecordBatch, start: int, words: list[list[str]]) -> pa.RecordBatch:
+            rows = batch.slice(start, len(words))
+            found = flush(rows.column(0), words)
+            rest = [rows.column(2 + k) for k in range(len(carry))]
+            return pa.RecordBatch.from_arrays([*found.columns, *rest], [*found.schema.names, *[f"c{k}" for k in range(len(carry))]])
+
         for batch in batches:
             words, start, held = [], 0, 0
             for k, text in enumerate(batch.column(1)):
                 words.append(_WORD.findall((text.as_py() or "").lower()))
                 held += len(words[-1])
                 if held >= LATTICE_WORDS:
-                    yield flush(batch.column(0).slice(start, len(words)), words)
+                    yield with_rest(batch, start, words)
                     words, start, held = [], k + 1, 0
             if words:
-                yield flush(batch.column(0).slice(start, len(words)), words)
+                yield with_rest(batch, start, words)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
+    rest = "".join(f", c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]]
+    return docs.select(*columns).mapInArrow(
+        run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>{rest}"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, fold
 from .exact_dedup import exact_dedup
+from .imatch import edited_fingerprints, lexicon
 from .kd_shards import kd_shards
 from .language_id import identify, train
 from .line_dedup import line_dedup
@@ -38,6 +39,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir))
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return edited_fingerprints(docs, lexicon(docs))
+
+
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(documents(spark, sf_dir), n_shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
