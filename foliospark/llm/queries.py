@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import suffix_tree
 from .common import documents, fold
 from .exact_dedup import exact_dedup
 from .imatch import edited_fingerprints, lexicon
@@ -58,6 +59,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold(F.col("doc_id"), 7) == 2
+    tree, vocabulary = suffix_tree.train(docs.where(~held_out))
+    found = suffix_tree.score(docs, tree, vocabulary)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = fold(F.col("doc_id"), 4) == 2
