@@ -1,0 +1,318 @@
+"""Each operator against a brute-force version, and on nulls, repeats, empty tables and clashing columns."""
+
+import hashlib
+import os
+import sys
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(__file__))
+import fixtures as X
+
+from foliospark.llm import imatch, language_id, suffix_tree
+from foliospark.llm.common import fold
+from foliospark.llm.components import connected_components
+from foliospark.llm.exact_dedup import exact_dedup
+from foliospark.llm.kd_shards import kd_shards
+from foliospark.llm.line_dedup import line_dedup
+from foliospark.llm.ngram_join import block_product, ngram_join
+from foliospark.llm.packing import pack
+from foliospark.llm.queries import tokenizer
+from foliospark.llm.sentence_pieces import PieceCodec, encode_pieces, piece_digests
+from foliospark.llm.substring_dedup import kept_digests, substring_dedup, window_hashes
+from foliospark.session import ship
+
+
+@pytest.fixture(scope="module", autouse=True)
+def shipped(spark):
+    ship(spark)
+
+
+def table():
+    return [(r[0], r[1]) for r in X.rows()]
+
+
+def test_exact_dedup(spark):
+    got = {r[0]: tuple(r)[1:] for r in exact_dedup(X.docs(spark)).collect()}
+    assert got == X.exact(table())
+
+
+def test_line_dedup(spark):
+    got = {r[0]: tuple(r)[1:] for r in line_dedup(X.docs(spark), run=3).collect()}
+    assert got == X.lines(table(), 3)
+    assert sum(v[2] for v in got.values()) > 0
+
+
+def test_ngram_join(spark):
+    got = {r[0]: tuple(r)[1:] for r in ngram_join(X.docs(spark)).collect()}
+    assert got == X.links(table())
+    assert sum(v[2] for v in got.values()) > 0
+
+
+def test_ngram_join_over_several_blocks(spark, monkeypatch):
+    from foliospark.llm import ngram_join as module
+
+    monkeypatch.setattr(module, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for k in range(60):
+        own = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(0, 8))):
+            own[at] = f"e{k}-{at}"
+        rows.append((k, " ".join(own)))
+    got = {r[0]: tuple(r)[1:] for r in module.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == X.links(rows)
+
+
+def test_block_product_counts_links():
+    sets = [np.arange(10, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64), np.arange(50, 60, dtype=np.uint64)]
+    ids, sizes, weights = np.array([7, 3, 9]), np.array([10, 9, 10]), np.array([1, 2, 1])
+    every = np.arange(3)
+    least, weight, _ = block_product(ids, sizes, weights, sets, every, every, 80)
+    assert least[:3].tolist() == [3, 3, 9]
+    assert weight[:3].tolist() == [2, 1, 0]
+
+
+def test_components(spark):
+    pairs = [(k, k + 1) for k in range(0, 40)] + [(100, 200), (200, 300), (5, 5)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(41)} | {100: 100, 200: 100, 300: 100}
+
+
+def test_substring_dedup(spark):
+    want = X.windows(table())
+    assert {r[0]: tuple(r)[1:] for r in kept_digests(X.docs(spark)).collect()} == want
+    for r in substring_dedup(X.docs(spark)).collect():
+        n, removed, sha = want[r["doc_id"]]
+        assert (r["n_words"], r["n_removed"]) == (n, removed)
+        assert hashlib.sha256(" ".join(X.words(r["kept_text"])).encode()).hexdigest() == sha
+        assert sum(s["end"] - s["start"] for s in r["spans"]) == removed
+        if not removed:
+            assert r["kept_text"] == dict(table())[r["doc_id"]]
+
+
+def test_window_hashes_differ_exactly_with_words():
+    for size in (1, 3, 20):
+        own = [f"w{k % 30}" for k in range(90)]
+        h = window_hashes(" ".join(own).encode(), size)
+        keys = [tuple(own[k : k + size]) for k in range(len(own) - size + 1)]
+        assert len(h) == len(keys)
+        assert len(set(h.tolist())) == len(set(keys))
+        assert all((a == b) == (x == y) for a, x in zip(h, keys, strict=True) for b, y in zip(h, keys, strict=True))
+
+
+def test_pieces_match_the_library(spark):
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = dict(table())
+    for r in encode_pieces(X.docs(spark), path).collect():
+        ids = lib.encode(texts[r["doc_id"]] or "", add_bos=True, add_eos=True)
+        assert r["ids"] == ids
+        assert r["decoded"] == lib.decode(ids)
+    for r in piece_digests(X.docs(spark), path).collect():
+        ids = lib.encode(texts[r["doc_id"]] or "", add_bos=True, add_eos=True)
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_agendas_agree():
+    codec = PieceCodec(tokenizer("piece_bpe_32k.model"))
+    rng = np.random.default_rng(1)
+    signs = list("▁abcdeéß日😀\n<0x>")
+    some = ["▁" + "".join(rng.choice(signs, int(rng.integers(1, 40)))) for _ in range(500)]
+    assert codec.merge_many(some) == [codec._bytes(codec._long_agenda(list(w))) for w in some]
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    pieces = pack(X.docs(spark), path, window=256, keep_ids=True).collect()
+    by_doc, by_window = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p["doc_id"]].append(p)
+        by_window[p["sequence_id"]].append(p)
+    for i, text in table():
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        own = sorted(by_doc[i], key=lambda p: p["start"])
+        assert [x for p in own for x in p["ids"]] == ids
+        for p in own:
+            part = ids[p["start"] : p["start"] + p["length"]]
+            assert p["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
+            assert p["doc_tokens"] == len(ids)
+    source = {r[0]: r[3] for r in X.rows()}
+    total = sum(p["length"] for p in pieces)
+    share = Counter()
+    for p in pieces:
+        share[source[p["doc_id"]]] += p["length"] / total
+    assert sorted(by_window) == list(range(len(by_window)))
+    for k, own in by_window.items():
+        own = sorted(own, key=lambda p: p["offset"])
+        assert [p["offset"] for p in own] == list(np.cumsum([0, *[p["length"] for p in own]])[:-1])
+        size = sum(p["length"] for p in own)
+        assert size == 256 or k == len(by_window) - 1
+        if size == 256:  # target proportions in each window, to a token for each queue
+            mix = Counter()
+            for p in own:
+                mix[source[p["doc_id"]]] += p["length"]
+            assert all(abs(mix[s] - 256 * share[s]) <= 2 for s in share if share[s] > 1 / 64)
+
+
+def test_kd_shards(spark):
+    got = kd_shards(X.docs(spark), n_shards=4).collect()
+    sizes = {i: len((t or "").encode()) + 1 for i, t in table()}
+    assert {r["doc_id"]: r["size"] for r in got} == sizes
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        assert r["text_crc32"] == zlib.crc32((dict(table())[r["doc_id"]] or "").encode())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+@pytest.mark.parametrize("n", [1, 3, 8])
+def test_kd_shards_are_near_equal(spark, sf_dir, n):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sums = [r[1] for r in kd_shards(docs, n_shards=n).groupBy("shard").agg(F.sum("size")).collect()]
+    assert len(sums) == n
+    assert max(sums) - min(sums) <= 40_000
+
+
+def test_kd_shards_by_target(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sums = [r[1] for r in kd_shards(docs, target_bytes=100_000).groupBy("shard").agg(F.sum("size")).collect()]
+    assert len(sums) == -(-sum(sums) // 100_000)
+
+
+def test_imatch(spark):
+    some = sorted(((i, t or "") for i, t in table()), reverse=True)
+    lexicon = imatch.lexicon(X.docs(spark))
+    got = {r["doc_id"]: r for r in imatch.edited_fingerprints(X.docs(spark), lexicon).collect()}
+    prints = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(X.docs(spark), lexicon).collect()}
+    assert len(got) == len(some)
+    for k, (i, t) in enumerate(some):
+        following = some[(k + 1) % len(some)]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[1][:half]
+        r = got[i]
+        assert r["n_chars"] == len(t)
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == prints[i]
+        assert r["near_next"] == imatch.likeness(prints[i], prints[following[0]])
+        assert 0 <= r["near_edited"] <= 1
+    assert prints[1] == prints[4]
+
+
+def test_imatch_tells_edits_from_strangers(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    means = imatch.edited_fingerprints(docs, imatch.lexicon(docs)).agg(F.avg("near_edited"), F.avg("near_next")).first()
+    assert means[0] > 0.15
+    assert means[1] < 0.05
+
+
+def test_suffix_tree_base_and_held_out(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    held = fold(F.col("doc_id"), 7) == 2
+    tree, vocabulary = suffix_tree.train(docs.where(~held))
+    got = suffix_tree.score(docs, tree, vocabulary).collect()
+    n, want = X.unigrams([tuple(r) for r in docs.collect()], lambda i: X.fold(i, 7) == 2)
+    for r in got:
+        tokens, known, base = want[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (tokens, known, n)
+        assert r["base_score"] == pytest.approx(base)
+    unseen = [r for r in got if X.fold(r["doc_id"], 7) == 2]
+    assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
+
+
+def test_suffix_tree_is_a_distribution(spark):
+    """Over every known token and the unknown one, the probabilities after each context sum to 1."""
+    text = " ".join(["a b c", "a b d", "x y", "z a b c"] * 50)
+    docs = spark.createDataFrame([(k, text) for k in range(4)], "doc_id long, text string")
+    tree, vocabulary = suffix_tree.train(docs, common_share=0)
+    assert any(len(level.keys) for level in tree.levels)
+    every = np.arange(len(tree.words))
+    counts = {r["word"]: r["c"] for r in vocabulary.collect()}
+    assert len(counts) == len(tree.words)
+    for level_at, level in enumerate(tree.levels):
+        for s in range(len(level.keys)):
+            states = [np.full(len(every), -1) for _ in tree.levels]
+            states[level_at] = np.full(len(every), s)
+            a, b = suffix_tree._conditional(tree, every, states)
+            total = (a + b * tree.root(tree.counts)).sum() + level.rest[s] * tree.unknown
+            assert total == pytest.approx(1)
+
+
+def test_language_id_held_out(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = fold(F.col("doc_id"), 4) == 2
+    model = language_id.train(docs.where(~held))
+    got = language_id.identify(docs, model).join(docs, "doc_id").where(held)
+    assert got.where("lang = lang_pred").count() >= 0.97 * got.count()
+
+
+def test_language_id_labels_spans(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.train(docs)
+    part = {r["lang"]: " ".join(r["text"].split()[:60]) for r in docs.where("length(text) > 2000").dropDuplicates(["lang"]).collect()}
+    mixed = spark.createDataFrame([(1, part["de"] + " " + part["es"]), (2, "123 ² !"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.identify(mixed, model).collect()}
+    assert {s["lang"] for s in got[1]["spans"] if s["end"] - s["start"] > 20} == {"de", "es"}
+    assert (got[2]["lang_pred"], got[3]["lang_pred"]) == ("und", "und")
+
+
+def test_viterbi_against_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 4, 3, 5])
+    scores = rng.normal(size=(sizes.sum(), 3))
+    got = language_id.viterbi(scores, sizes, 0.7)
+    at = 0
+    for n in sizes:
+        part = scores[at : at + n]
+
+        def value(p, part=part, n=n):
+            return sum(part[k, p[k]] for k in range(n)) - 0.7 * sum(p[k] != p[k - 1] for k in range(1, n))
+
+        best = max(itertools.product(range(3), repeat=int(n)), key=value)
+        assert value(got[at : at + n]) == pytest.approx(value(best))
+        at += n
+
+
+def every_operator(docs):
+    held = fold(F.col("doc_id"), 7) == 2
+    words = imatch.lexicon(docs)
+    tree, vocabulary = suffix_tree.train(docs.where(~held))
+    yield "pieces", piece_digests(docs, tokenizer("piece_bpe_32k.model"))
+    yield "lines", line_dedup(docs)
+    yield "ngrams", ngram_join(docs)
+    yield "imatch", imatch.edited_fingerprints(docs, words)
+    yield "shards", kd_shards(docs, n_shards=3)
+    yield "substrings", substring_dedup(docs)
+    yield "packing", pack(docs, tokenizer("word_bpe_49k.json"))
+    yield "suffix tree", suffix_tree.score(docs, tree, vocabulary)
+    yield "language", language_id.identify(docs, language_id.train(docs))
+    yield "exact", exact_dedup(docs)
+
+
+def test_empty_tables(spark):
+    for name, df in every_operator(X.empty(spark)):
+        assert df.collect() == [], name
+
+
+def test_repeated_rows_and_null_ids(spark):
+    docs = X.awkward(spark)
+    n = docs.count()
+    for name, df in every_operator(docs):
+        rows = df.collect()
+        ids = {r["doc_id"] for r in rows} - {None}
+        assert ids == {r[0] for r in X.rows()}, name
+        if name not in ("packing", "suffix tree"):
+            assert len(rows) == n, name
