@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,9 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    pass
+    """Imports the modules that register queries."""
+    for name in ("page_queries", "text_queries", "layout_queries", "streaming_queries"):
+        importlib.import_module(f"{__package__}.{name}")
 
 
 def queries() -> dict[str, Query]:
