@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -14,37 +15,74 @@ from .common import written
 
 #: Entries of a worker's word memory; it is emptied when full, which costs time only.
 MEMORY_WORDS = 500_000
-_TOKENIZERS: dict[str, tuple] = {}
+_TOKENIZERS: dict[str, _Words] = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _TOKENIZERS:
+class _Words:
+    """A worker's tokenizer with the ids of the words met so far."""
+
+    def __init__(self, path: str):
+        # Spark's tasks already use all cores
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tails = {m.encode(): self._encode([m])[0].astype("<u2").tobytes() for m in (",", ".")}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.memory: dict[bytes, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: set[bytes]) -> None:
+        """Adds the ids of words. A comma or full stop behind an ASCII letter is a token of its own, so that the
+        tokenizer sees the word without it; words of letters alone, each of which is one run of tokens with an end
+        mark, are given to it many at once."""
+        memory = self.memory
+        stems = {w[:-1] if w[-1:] in self.tails and w[-2:-1].isalpha() else w for w in new}.difference(memory)
+        plain, rest = [], []
+        for w in stems:
+            (plain if (t := w.decode()).isalpha() else rest).append((w, t))
+        groups = [plain[at : at + 200] for at in range(0, len(plain), 200)]
+        for some, ids in zip(groups, self._encode([" ".join([t for _, t in g]) for g in groups]), strict=True):
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 2
+            if len(stops) != len(some):  # lower-casing made something else of a letter
+                rest += some
+                continue
+            raw, start = ids.astype("<u2").tobytes(), 0
+            for (w, _), stop in zip(some, stops.tolist(), strict=True):
+                memory[w] = raw[start:stop]
+                start = stop
+        for (w, _), ids in zip(rest, self._encode([t for _, t in rest]), strict=True):
+            memory[w] = ids.astype("<u2").tobytes()
+        for w in new:
+            if w not in memory:
+                memory[w] = memory[w[:-1]] + self.tails[w[-1:]]
+
+
+def _words(path: str) -> _Words:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = _Words(path)
     return _TOKENIZERS[path]
 
 
 def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each text as little-endian 16-bit numbers.
 
-    The tokenizer drops white space and no token reaches across it, so it is asked once for each new word.
+    The tokenizer drops white space, no token reaches across it, and letters are lower-cased; so it is asked once for
+    each new lower-case word. Only its special tokens, which begin with `<|`, mind the case.
     """
-    tokenizer, memory = _tokenizer(path)
-    out = []
-    for text in texts:
-        words = text.split()
-        try:
-            out.append(b"".join(map(memory.__getitem__, words)))
-        except KeyError:
-            new = list({w for w in words if w not in memory})
-            if len(memory) + len(new) > MEMORY_WORDS:
-                memory.clear()
-                new = list(set(words))
-            for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                memory[w] = np.array(e.ids, dtype="<u2").tobytes()
-            out.append(b"".join(map(memory.__getitem__, words)))
-    return out
+    words = _words(path)
+    memory = words.memory
+    cut = [t.split() if b"<|" in t else t.lower().split() for t in texts]
+    new = set().union(*cut).difference(memory)
+    if len(memory) + 2 * len(new) > MEMORY_WORDS:
+        memory.clear()
+        new = set().union(*cut)
+    words.learn(new)
+    return [b"".join(map(memory.__getitem__, own)) for own in cut]
 
 
 def pack(
@@ -80,6 +118,7 @@ def pack(
             sources = batch.column(2).to_pylist()
             texts = batch.column(1).cast(pa.large_binary())
             for at in range(0, batch.num_rows, 500):
+                # about 2 MB of text at once
                 part = [t or b"" for t in texts.slice(at, 500).to_pylist()]
                 ids = [e + int(end_id).to_bytes(2, "little") for e in token_bytes(part, tokenizer_path)]
                 before = []
