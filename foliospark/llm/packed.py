@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import mixed, shuffle_partitions
 
 #: Words of a chunk: bounds the memory of a map task (about 60 bytes a word).
 CHUNK_WORDS = 1_500_000
@@ -46,16 +46,19 @@ def exchange(
     hashes_of: Callable[[bytes], np.ndarray],
     local: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple],
     judge: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[pa.RecordBatch]],
+    parts: str,
+    combine: Callable[[pa.Table], pa.Table],
     result: str,
 ) -> DataFrame:
-    """docs: (doc_id long, text). Returns what judge() makes of each bucket, and local() of each chunk.
+    """docs: (doc_id long, text). Returns what combine() makes of each document's findings, a row a document.
 
     hashes_of(text) gives a document's hashes (uint64, spread evenly), in order of their places 0, 1, ...
-    local(hash, doc_id, place), of a chunk sorted by these three, gives (rows to send as a mask, batches of the result
-    to return at once). judge(hash, doc_id, place, chunk) gets a bucket sorted by hash, doc_id, place.
+    local(hash, doc_id, place), of a chunk sorted by these three, gives (rows to send as a mask, batches of findings
+    to return at once). judge(hash, doc_id, place, chunk) gets a bucket sorted by hash, doc_id, place and gives such
+    batches, of the schema `parts`, whose first column is doc_id. Findings go back packed as well, one row from each
+    bucket to each group of documents; combine() gets all findings of a group.
     """
     width = max(1, math.ceil(2**64 / n_buckets))
-    names = [x.split()[0] for x in result.split(", ")]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -71,7 +74,7 @@ def exchange(
             h, doc, place = h[order], doc[order], place[order]
             mask, found = local(h, doc, place)
             for b in found:
-                yield _wrap(b, names)
+                yield _wrap(b)
             h, doc, place = h[mask], doc[mask], place[mask]
             cuts = np.searchsorted(h, np.array([k * width for k in range(1, n_buckets)], dtype=np.uint64)) if n_buckets > 1 else []
             edges = [0, *cuts, len(h)]
@@ -103,7 +106,7 @@ def exchange(
             yield from flush()
 
     def reduce(table: pa.Table) -> pa.Table:
-        done = [_unwrap(x.as_py()) for x in table.column("done") if x.is_valid]
+        done = [_unpack(x.as_py()) for x in table.column("done") if x.is_valid]
         sent = table.filter(table.column("h").is_valid())
         if sent.num_rows:
             hs = [from_planes(x.as_py(), "u8") for x in sent.column("h")]
@@ -112,42 +115,54 @@ def exchange(
             doc = np.concatenate([from_planes(x.as_py(), "i8") for x in sent.column("doc")])
             place = np.concatenate([from_planes(x.as_py(), "u4") for x in sent.column("place")])
             order = np.lexsort((place, doc, h))
-            done += judge(h[order], doc[order], place[order], chunk[order])
-        schema = result_schema
-        return pa.Table.from_batches([b.cast(schema) for b in done], schema) if done else schema.empty_table()
+            done += [pa.Table.from_batches([b]) for b in judge(h[order], doc[order], place[order], chunk[order])]
+        out: dict[str, list] = {"group": [], "findings": []}
+        if done:
+            found = pa.concat_tables([t.cast(parts_schema) for t in done])
+            group = (mixed(found.column(0).to_numpy().view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            cuts = np.flatnonzero(np.diff(group[order])) + 1
+            for rows in np.split(order, cuts):
+                if len(rows):
+                    out["group"].append(int(group[rows[0]]))
+                    out["findings"].append(_pack(found.take(pa.array(rows))))
+        return pa.table({"group": pa.array(out["group"], pa.int32()), "findings": pa.array(out["findings"], pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        return combine(pa.concat_tables([_unpack(x.as_py()) for x in table.column("findings")])).cast(result_schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    parts_schema = to_arrow_schema(_parse_datatype_string(parts))
     result_schema = to_arrow_schema(_parse_datatype_string(result))
     sent = docs.mapInArrow(send, "bucket int, h binary, doc binary, place binary, done binary")
-    # results of a chunk itself have a negative bucket and only pass through
-    return sent.groupBy("bucket").applyInArrow(reduce, result)
+    # findings of a chunk itself have a negative bucket and only pass through
+    judged = sent.groupBy("bucket").applyInArrow(reduce, "group int, findings binary")
+    return judged.groupBy("group").applyInArrow(gather, result)
 
 
 def _sorted(ids: list[int]) -> bool:
     return all(a <= b for a, b in zip(ids, ids[1:], strict=False))
 
 
-def _wrap(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as w:
-        w.write_batch(batch)
-    # dealt out by the batch's first value, so that no one task gets all of them
+def _wrap(batch: pa.RecordBatch) -> pa.RecordBatch:
+    # dealt out by the batch's first id, so that no one task gets all of them
     key = -1 - int(batch.column(0)[0].as_py() or 0) % 4096
     empty = [pa.nulls(1, pa.binary())] * 3
     return pa.RecordBatch.from_arrays(
-        [pa.array([key], pa.int32()), *empty, pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+        [pa.array([key], pa.int32()), *empty, pa.array([_pack(pa.Table.from_batches([batch]))], pa.binary())],
         ["bucket", "h", "doc", "place", "done"],
     )
 
 
-def _unwrap(b: bytes) -> pa.RecordBatch:
-    with pa.ipc.open_stream(b) as r:
-        return next(iter(r))
+def _pack(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
 
 
-def rows_by_doc(doc: np.ndarray, **columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and the bounds of their runs in an array sorted by id."""
-    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    return doc[starts], np.r_[starts, len(doc)]
+def _unpack(b: bytes) -> pa.Table:
+    with pa.ipc.open_stream(b) as r:
+        return r.read_all()

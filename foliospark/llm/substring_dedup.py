@@ -41,8 +41,8 @@ def window_hashes(text: bytes, window: int) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, starts): places of windows that also start earlier, as little-endian 32-bit numbers; several rows for
-    a document are possible. docs: (doc_id long, text)."""
+    """(doc_id, starts): places of windows that also start earlier, as little-endian 32-bit numbers, for documents that
+    have any. docs: (doc_id long, text)."""
 
     def rows(doc: np.ndarray, place: np.ndarray) -> list[pa.RecordBatch]:
         if not len(doc):
@@ -67,22 +67,27 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
         _, gone = later(h, doc, place)
         return rows(doc[gone], place[gone])
 
-    return exchange(
-        docs, bucket_count(docs), lambda text: window_hashes(text, window), local, judge, "doc_id long, starts binary"
-    )
+    def combine(found: pa.Table) -> pa.Table:
+        doc, starts = found.column(0).to_numpy(), found.column(1).to_pylist()
+        order = np.argsort(doc, kind="stable")
+        edges = np.r_[np.flatnonzero(np.r_[True, doc[order][1:] != doc[order][:-1]]), len(doc)]
+        joined = [b"".join([starts[k] for k in order[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({"doc_id": doc[order][edges[:-1]], "starts": pa.array(joined, pa.binary())})
+
+    schema = "doc_id long, starts binary"
+    return exchange(docs, bucket_count(docs), lambda text: window_hashes(text, window), local, judge, schema, combine, schema)
 
 
 def _removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = repeated_windows(base.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), window)
-    starts = found.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
-    return base.join(starts, "doc_id", "left").select("doc_id", "text", "starts")
+    return base.join(found, "doc_id", "left").select("doc_id", "text", "starts")
 
 
-def _covered(starts: list[bytes], n: int, window: int) -> np.ndarray:
+def _covered(starts: bytes, n: int, window: int) -> np.ndarray:
     """Which of n words the windows cover: their union of intervals."""
     steps = np.zeros(n + 1, dtype=np.int64)
-    at = np.unique(np.concatenate([np.frombuffer(s, dtype="<u4") for s in starts])).astype(np.int64)
+    at = np.unique(np.frombuffer(starts, dtype="<u4")).astype(np.int64)
     at = at[at + window <= n]  # rows that share an id with a longer text
     np.add.at(steps, at, 1)
     np.add.at(steps, at + window, -1)
