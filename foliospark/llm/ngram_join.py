@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mixed, running_totals, written
+from .common import discard, hash_words, mixed, running_totals, written
 from .components import connected_components
 from .packed import bucket_count, exchange
 
 #: Documents of a block of the product.
 BLOCK = 1024
+#: Cells of the product up to which a token is added up cell by cell.
+SPARSE_CELLS = 4096
 #: Tokens that small groups of candidates share a task by.
 TASK_TOKENS = 2_000_000
 
@@ -59,10 +61,17 @@ def _shared_counts(docs: DataFrame, n: int) -> DataFrame:
         ids, found = counts(doc[several & (place == 0)])
         return rows(ids, found, np.zeros(len(ids), np.int64))
 
-    found = exchange(
-        docs, bucket_count(docs), lambda t: shingles(t, n), local, judge, "doc_id long, shared long, n long"
-    )
-    return found.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.sum("shared").alias("shared"))
+    def combine(found: pa.Table) -> pa.Table:
+        ids, at = np.unique(found.column(0).to_numpy(), return_inverse=True)
+        shared = np.bincount(at, found.column(1).to_numpy(), len(ids)).astype(np.int64)
+        size = np.zeros(len(ids), np.int64)
+        np.maximum.at(size, at, found.column(2).to_numpy())
+        return pa.table({"doc_id": ids, "n_shingles": size, "shared": shared})
+
+    return exchange(
+        docs, bucket_count(docs), lambda t: shingles(t, n), local, judge, "doc_id long, shared long, n long", combine,
+        "doc_id long, n_shingles long, shared long",
+    )
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -106,32 +115,57 @@ def _prefixes(sets: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
     return sets.select("node", "tokens").mapInArrow(run, "token long, node long")
 
 
+def _columns(sets: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The incidence matrix of some rows by columns: distinct tokens; rows in order of their tokens; where each
+    token's rows begin, and how many they are."""
+    tokens = np.concatenate([sets[r] for r in rows])
+    own = np.repeat(np.arange(len(rows)), [len(sets[r]) for r in rows])
+    order = np.argsort(tokens, kind="stable")
+    distinct, first, count = np.unique(tokens[order], return_index=True, return_counts=True)
+    return distinct, own[order], first, count
+
+
+def _dense(own: np.ndarray, first: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    column = np.repeat(np.arange(len(first)), count)
+    k = np.arange(len(column)) - np.repeat(np.cumsum(count) - count, count)
+    m = np.zeros((n, len(first)), dtype=np.float32)
+    m[own[first[column] + k], column] = 1
+    return m
+
+
 def block_product(
     ids: np.ndarray, sizes: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links between the rows `left` and the rows `right` of a block pair (the same rows for a block with itself).
 
-    Overlap counts are accumulated as the product of the two incidence matrices over the tokens that both hold,
-    some thousand tokens at a time; pairs stay that reach percent% of the union their sizes leave. Returns for each
+    Overlap counts are accumulated as the product of the two incidence matrices over the tokens that both hold, cell by
+    cell for rare tokens and as dense blocks for frequent ones; pairs stay that reach percent% of the union their sizes leave. Returns for each
     row of left, then right: the smallest linked id (through any number of links), and the linked weight.
     """
-    rows = np.r_[left, right]
-    tokens = np.concatenate([sets[r] for r in rows])
-    own = np.repeat(np.arange(len(rows)), sizes[rows])
-    order = np.argsort(tokens, kind="stable")
-    tokens, own = tokens[order], own[order]
-    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    lengths = np.diff(np.r_[starts, len(tokens)])
-    several = np.repeat(lengths > 1, lengths)
-    column = np.repeat(np.cumsum(lengths > 1) - 1, lengths)[several]
-    own = own[several]
-    overlap = np.zeros((len(left), len(right)), dtype=np.float32)
-    width, step = int((lengths > 1).sum()), 4096
-    for at in range(0, width, step):
-        a, b = np.searchsorted(column, [at, at + step])
-        m = np.zeros((len(rows), min(step, width - at)), dtype=np.float32)
-        m[own[a:b], column[a:b] - at] = 1
-        overlap += m[: len(left)] @ m[len(left) :].T
+    n_left, n_right = len(left), len(right)
+    same = n_left == n_right and bool((left == right).all())
+    token_l, own_l, first_l, count_l = _columns(sets, left)
+    token_r, own_r, first_r, count_r = _columns(sets, right)
+    _, at_l, at_r = np.intersect1d(token_l, token_r, assume_unique=True, return_indices=True)
+    if same:
+        at_l = at_r = at_l[count_l[at_l] > 1]  # alone, a document only meets itself
+    first_l, count_l, first_r, count_r = first_l[at_l], count_l[at_l], first_r[at_r], count_r[at_r]
+    cells = count_l * count_r
+    overlap = np.zeros(n_left * n_right, dtype=np.float32)
+    # tokens of few documents: add up their cells
+    few = np.flatnonzero(cells <= SPARSE_CELLS)
+    steps = np.searchsorted(np.cumsum(cells[few]), np.arange(0, int(cells[few].sum()) + 1, 8_000_000)[1:]) + 1
+    for some in np.split(few, np.unique(steps[steps < len(few)])):
+        t = np.repeat(some, cells[some])
+        k = np.arange(len(t)) - np.repeat(np.cumsum(cells[some]) - cells[some], cells[some])
+        i, j = own_l[first_l[t] + k // count_r[t]], own_r[first_r[t] + k % count_r[t]]
+        overlap += np.bincount(i * n_right + j, minlength=len(overlap)).astype(np.float32)
+    overlap = overlap.reshape(n_left, n_right)
+    # tokens of many: a dense product of some thousand columns at a time
+    many = np.flatnonzero(cells > SPARSE_CELLS)
+    for start in range(0, len(many), 4096):
+        some = many[start : start + 4096]
+        overlap += _dense(own_l, first_l[some], count_l[some], n_left) @ _dense(own_r, first_r[some], count_r[some], n_right).T
     union = sizes[left][:, None] + sizes[right][None, :] - overlap
     linked = (100 * overlap.astype(np.int64) >= percent * union.astype(np.int64)) & (overlap > 0)
     linked &= ids[left][:, None] != ids[right][None, :]
@@ -177,11 +211,13 @@ def ngram_join(
     by_set = sets.groupBy("key", "n").agg(F.min("doc_id").alias("node"), F.countDistinct("doc_id").alias("weight"))
     by_set = written(by_set, "ngram-nodes")
     members = sets.select("doc_id", "key", "n").distinct().join(by_set, ["key", "n"]).select("doc_id", "node", "weight")
+    members = written(members, "ngram-members")
     # one row for each node, whatever repeats there are
-    nodes = sets.join(by_set.select("node", "weight"), F.col("doc_id") == F.col("node")).groupBy("node").agg(
+    nodes = sets.join(by_set.select("node", "weight").hint("shuffle_merge"), F.col("doc_id") == F.col("node")).groupBy("node").agg(
         F.first("weight").alias("weight"), F.first("n").alias("n"), F.first("tokens").alias("tokens")
     )
     nodes = written(nodes, "ngram-nodes")
+    discard(sets)
 
     none = np.zeros(0, dtype=np.uint64)
     rough = _prefixes(nodes, percent, none)
@@ -195,9 +231,9 @@ def ngram_join(
     ties = prefixes.join(stars, "token").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     groups = connected_components(ties)
 
-    grouped = nodes.join(groups, "node").withColumn("one", F.lit(1))
+    grouped = nodes.drop("tokens").join(groups, "node").withColumn("one", F.lit(1))
     ranked = running_totals(grouped, ["component"], ["n", "node"], "one", "ngram-groups").select(
-        "node", "weight", "n", "tokens", "component", (F.col("before") / BLOCK).cast("int").alias("block"),
+        "node", "weight", "n", "component", (F.col("before") / BLOCK).cast("int").alias("block"),
         F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"),
     )
     ranked = written(ranked, "ngram-blocks")
@@ -209,7 +245,7 @@ def ngram_join(
     pairs = pairs.select("a.component", F.col("a.block").alias("i"), F.col("b.block").alias("j"))
     sides = pairs.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     small_tasks = max(1, int((ranked.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) / TASK_TOKENS) * 2)
-    tasks = ranked.join(sides, ["component", "block"]).select(
+    tasks = ranked.join(sides, ["component", "block"]).hint("shuffle_merge").join(nodes.select("node", "tokens"), "node").select(
         "component", "block", "node", "weight", "n", "tokens", "i", "j",
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(small_tasks)).cast("string"))
         .otherwise(F.concat_ws("-", "component", "i", "j")).alias("task"),
@@ -243,6 +279,7 @@ def ngram_join(
         )
 
     found = written(tasks.groupBy("task").applyInArrow(multiply, "node long, least long, weight long"), "ngram-links")
+    discard(nodes)
     links = found.groupBy("node").agg(F.sum("weight").alias("linked"))
     component = connected_components(found.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
     classes = members.join(component, "node", "left").join(links, "node", "left")
