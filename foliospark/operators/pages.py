@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import pad_number
-from .ordinals import numbered
+from .ordinals import numbered, running
 
 
 def parse_page_ranges(spec: Column, page_count: Column) -> Column:
@@ -95,8 +95,8 @@ def page_stamp(page: Column, total: Column, template: str, start: int = 1) -> Co
 
 def merge_offsets(documents: DataFrame, order: str) -> DataFrame:
     """documents: one row a document with page_count. Adds first_page, the page at which it starts in the merged file."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return documents.withColumn("first_page", F.coalesce(F.sum("page_count").over(w), F.lit(0)) + 1)
+    upto = running(documents, [], order, F.col("page_count"), "_upto")
+    return upto.withColumn("first_page", F.col("_upto") - F.col("page_count") + 1).drop("_upto")
 
 
 def is_permutation(df: DataFrame, group: list[str], target: str) -> DataFrame:
