@@ -15,6 +15,8 @@ from .packed import bucket_count, exchange
 
 #: Documents of a block of the product.
 BLOCK = 1024
+#: How often frequent tokens are looked for, and how many of them are kept each time.
+ORDER_ROUNDS, ORDER_TOKENS = 2, 500_000
 #: Cells of the product up to which a token is added up cell by cell.
 SPARSE_CELLS = 4096
 #: Tokens that small groups of candidates share a task by.
@@ -92,9 +94,9 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, key binary, tokens binary")
 
 
-def _prefixes(sets: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
-    """(token, node): the first n - ceil(percent% n) + 1 tokens of each set, in hash order with the hot ones last. Two
-    sets that link share one of them."""
+def _prefixes(sets: DataFrame, percent: int, known: np.ndarray, level: np.ndarray) -> DataFrame:
+    """(token, node): the first n - ceil(percent% n) + 1 tokens of each set, in one order for all: by level (0 where
+    it isn't known), then by hash. Two sets that link share one of them, whatever the levels are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,9 +104,9 @@ def _prefixes(sets: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
             for node, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = np.frombuffer(tokens, dtype=np.uint64)
                 keep = len(s) - -(-percent * len(s) // 100) + 1
-                if len(hot):
-                    is_hot = np.isin(s, hot)
-                    s = np.r_[s[~is_hot], s[is_hot]]
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[at] == s, level[at], 0), kind="stable")]
                 parts.append(s[:keep])
                 nodes += [node] * len(s[:keep])
             if nodes:
@@ -115,6 +117,26 @@ def _prefixes(sets: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
     return sets.select("node", "tokens").mapInArrow(run, "token long, node long")
 
 
+def _frequency_levels(nodes: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens that are frequent in prefixes, and the logarithm of how often. Ordering prefixes by these levels
+    keeps shared passages from tying unlike documents into one group. Looked for ORDER_ROUNDS times, each time in the
+    prefixes that the levels so far give; at most ORDER_TOKENS of a round come to the driver."""
+    known, level = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+    for _ in range(ORDER_ROUNDS):
+        counts = _prefixes(nodes, percent, known, level).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+        counts = written(counts.where("c >= 4"), "ngram-levels")
+        total = counts.agg(F.sum("c")).first()[0] or 0
+        found = counts.where(F.col("c") >= max(4, total // ORDER_TOKENS)).toPandas()
+        discard(counts)
+        tokens = np.r_[known, found["token"].to_numpy(np.int64).view(np.uint64)]
+        levels = np.r_[level, np.log2(found["c"].to_numpy(np.float64)).astype(np.int8)]
+        order = np.lexsort((-levels, tokens))
+        tokens, levels = tokens[order], levels[order]
+        first = np.r_[True, tokens[1:] != tokens[:-1]] if len(tokens) else np.zeros(0, bool)
+        known, level = tokens[first], levels[first]
+    return known, level
+
+
 def _columns(sets: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The incidence matrix of some rows by columns: distinct tokens; rows in order of their tokens; where each
     token's rows begin, and how many they are."""
@@ -154,7 +176,7 @@ def block_product(
     overlap = np.zeros(n_left * n_right, dtype=np.float32)
     # tokens of few documents: add up their cells
     few = np.flatnonzero(cells <= SPARSE_CELLS)
-    steps = np.searchsorted(np.cumsum(cells[few]), np.arange(0, int(cells[few].sum()) + 1, 8_000_000)[1:]) + 1
+    steps = np.searchsorted(np.cumsum(cells[few]), np.arange(0, int(cells[few].sum()) + 1, 2_000_000)[1:]) + 1
     for some in np.split(few, np.unique(steps[steps < len(few)])):
         t = np.repeat(some, cells[some])
         k = np.arange(len(t)) - np.repeat(np.cumsum(cells[some]) - cells[some], cells[some])
@@ -194,8 +216,8 @@ def ngram_join(
     1. Count, over all shingles of all documents, how many of a document's shingles any other document has. Below
        percent% of its size it can't link: few documents stay.
     2. Collapse equal sets to one node (smallest doc_id).
-    3. Nodes that share a token of their prefixes (very frequent tokens ordered last) form groups of candidates. Hot
-       tokens only tie their holders to one another; they make no pairs.
+    3. Nodes that share a token of their prefixes (frequent tokens ordered last) form groups of candidates. A token only
+       ties its holders to the smallest of them; it makes no pairs.
     4. Inside each group, sorted by size and cut into blocks of 1,024 nodes, multiply the incidence matrices of the
        block pairs whose sizes can reach the bound. A task emits a spanning tree and link counts, not pairs.
     5. Components of these links, then back to the documents.
@@ -219,14 +241,7 @@ def ngram_join(
     nodes = written(nodes, "ngram-nodes")
     discard(sets)
 
-    none = np.zeros(0, dtype=np.uint64)
-    rough = _prefixes(nodes, percent, none)
-    n_rough = rough.count()
-    # at most 100,000 tokens are this frequent, as there are n_rough rows
-    often = max(64, n_rough // 100_000)
-    hot_rows = rough.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > often).select("token").collect()
-    hot = np.array([r[0] for r in hot_rows], dtype=np.int64).view(np.uint64)
-    prefixes = _prefixes(nodes, percent, np.sort(hot))
+    prefixes = _prefixes(nodes, percent, *_frequency_levels(nodes, percent))
     stars = prefixes.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     ties = prefixes.join(stars, "token").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     groups = connected_components(ties)

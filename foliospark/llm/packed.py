@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import mixed, shuffle_partitions
 
 #: Words of a chunk: bounds the memory of a map task (about 60 bytes a word).
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 1_200_000
 #: Hashes a bucket should hold: bounds the memory of a reduce task (about 100 bytes a hash).
 BUCKET_HASHES = 1_000_000
 
