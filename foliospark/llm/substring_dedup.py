@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +82,20 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
 def _removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = repeated_windows(base.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), window)
-    return base.join(found, "doc_id", "left").select("doc_id", "text", "starts")
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = [None if t is None else packer.compress(t) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+    # texts travel compressed: they are the larger part of what this join shuffles
+    return base.mapInArrow(squeeze, "doc_id long, text binary").join(found, "doc_id", "left").select("doc_id", "text", "starts")
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    unpacker = zstandard.ZstdDecompressor()
+    return [None if t is None else unpacker.decompress(t) for t in batch.column(1).to_pylist()]
 
 
 def _covered(starts: bytes, n: int, window: int) -> np.ndarray:
@@ -121,7 +135,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n, removed, spans = [], [], [], []
-            for text, starts in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, starts in zip(_texts(batch), batch.column(2).to_pylist(), strict=True):
                 words = len((text or b"").split())
                 gone = _covered(starts, words, window) if starts else np.zeros(0, bool)
                 edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).tolist()
@@ -146,7 +160,7 @@ def kept_digests(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, sha = [], [], []
-            for text, starts in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, starts in zip(_texts(batch), batch.column(2).to_pylist(), strict=True):
                 words = (text or b"").split()
                 n.append(len(words))
                 if starts:
