@@ -21,6 +21,8 @@ RATES, DRAWS = range(11), 16
 #: Hex digits of a subset's hash, and what stands for a subset of which no term occurs.
 DIGITS, EMPTY = 3, "000"
 _TOP = -(1 << 63)
+_DRAW_KEYS = np.array([k * 0x9E3779B9 + 1 for k in range(DRAWS)], dtype=np.uint64)
+_HEX = [f"{v:0{DIGITS}x}" for v in range(16**DIGITS)]
 
 
 def terms(text: bytes) -> np.ndarray:
@@ -68,14 +70,18 @@ def fingerprint(found: np.ndarray, words: np.ndarray) -> str:
     kept = found[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == found)] if len(words) else found[:0]
     if not len(kept):
         kept = found
-    parts = [hashlib.md5(kept.tobytes()).hexdigest()[:16]]
-    for draw in range(DRAWS):
-        # the zero bits that a term's number in this draw begins with say up to which rate it is in
-        number = mixed(mixed(kept ^ np.uint64(draw * 0x9E3779B9 + 1)))
-        for rate in RATES:
-            chosen = kept[number < np.uint64(1 << (64 - rate))] if rate else kept
-            parts.append(f"{zlib.crc32(chosen.tobytes()) % (16**DIGITS - 1) + 1:0{DIGITS}x}" if len(chosen) else EMPTY)
-    return "".join(parts)
+    # a term's number in each draw: the zero bits that it begins with say up to which rate the term is in
+    numbers = mixed(mixed(kept[None, :] ^ _DRAW_KEYS[:, None]))
+    level = np.minimum(63 - np.log2(np.maximum(numbers, 1).astype(np.float64)).astype(np.int64), len(RATES) - 1)
+    cell = (level + np.arange(DRAWS)[:, None] * len(RATES)).ravel()
+    # a subset's hash: the sum of its terms' hashes, from the sparse subsets to the full ones that hold them
+    sums = np.zeros(DRAWS * len(RATES), dtype=np.uint64)
+    np.add.at(sums, cell, numbers.ravel())
+    sums = np.cumsum(sums.reshape(DRAWS, -1)[:, ::-1], axis=1)[:, ::-1]
+    counts = np.bincount(cell, minlength=DRAWS * len(RATES)).reshape(DRAWS, -1)
+    some = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] > 0
+    shown = np.where(some, (mixed(sums) % np.uint64(16**DIGITS - 1)).astype(np.int64) + 1, 0)
+    return hashlib.md5(kept.tobytes()).hexdigest()[:16] + "".join([_HEX[v] for v in shown.ravel().tolist()])
 
 
 def likeness(a: str, b: str) -> float:
