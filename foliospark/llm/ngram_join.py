@@ -76,12 +76,45 @@ def _shared_counts(docs: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, key, tokens): set size, 128-bit hash of the set, sorted shingles as bytes."""
+def _slots(ids: np.ndarray, size: int) -> np.ndarray:
+    """Three slots of a filter of `size` bits for each id."""
+    first = mixed(ids.view(np.uint64) + np.uint64(1))
+    second = mixed(first ^ np.uint64(0xC2B2AE3D27D4EB4F))
+    return np.stack([first, second, mixed(second)]) % np.uint64(size)
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """Bloom filter of a table of ids, as 64-bit words. Spark sets the bits; 16 MB come to the driver at most, and
+    beyond some ten million ids the filter lets more and more others pass, which costs time only."""
+    size = 1 << min(27, max(10, (32 * ids.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = _slots(batch.column(0).to_numpy(), size).ravel()
+            bits = (np.uint64(1) << (slots & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((slots >> np.uint64(6)).astype(np.int64)), pa.array(bits)], ["word", "bits"])
+
+    rows = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = np.zeros(size // 64, dtype=np.uint64)
+    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return words
+
+
+def _passes(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
+    slots = _slots(ids, len(words) * 64)
+    return ((words[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1)).all(axis=0)
+
+
+def _sets(docs: DataFrame, n: int, words: np.ndarray) -> DataFrame:
+    """(doc_id, n, key, tokens) of the documents whose ids pass the filter: set size, 128-bit hash of the set, sorted
+    shingles as bytes."""
     import hashlib
 
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(_passes(batch.column(0).to_numpy(), shared.value)))
             sets = [shingles(t or b"", n).tobytes() for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -91,7 +124,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 ["doc_id", "n", "key", "tokens"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, tokens binary")
+    return docs.mapInArrow(run, "doc_id long, n long, key binary, tokens binary").where("n > 0")
 
 
 def _prefixes(sets: DataFrame, percent: int, known: np.ndarray, level: np.ndarray) -> DataFrame:
@@ -229,7 +262,8 @@ def ngram_join(
     usable = base.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     counts = written(_shared_counts(usable, n), "ngram-counts")
     near = counts.where(F.col("shared") * 100 >= F.col("n_shingles") * percent).select("doc_id")
-    sets = written(_sets(usable.join(near, "doc_id", "left_semi").select("doc_id", "text"), n), "ngram-sets")
+    # a few others may pass the filter: more candidates, the same links
+    sets = written(_sets(usable, n, _id_filter(near)), "ngram-sets")
     by_set = sets.groupBy("key", "n").agg(F.min("doc_id").alias("node"), F.countDistinct("doc_id").alias("weight"))
     by_set = written(by_set, "ngram-nodes")
     members = sets.select("doc_id", "key", "n").distinct().join(by_set, ["key", "n"]).select("doc_id", "node", "weight")
