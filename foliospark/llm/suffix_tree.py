@@ -3,35 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, written
+from .common import discard, hash_words, mixed, written
 
 #: Stands for a text's end among the word hashes.
 END = np.uint64(0x8000000000000001)
+#: Tells the key of a context from that of the same words as a shorter context and its next word.
+CONTEXT = 0x2545F4914F6CDD1D
 #: Tokens that a task works on at once.
 CHUNK_TOKENS = 2_000_000
+#: The same in scoring, where a token has several keys.
+SCORE_TOKENS = 500_000
 
 
 @dataclass
 class Level:
-    """Retained contexts of one length: sorted keys; kept mass by (state, word); what is left to the suffix."""
+    """The head of one context length, its most common part: sorted context keys; kept mass by (state, word); what is
+    left to the suffix; log10 of what a kept word gains over its share of what is left."""
 
     keys: np.ndarray
     pairs: np.ndarray
     mass: np.ndarray
     rest: np.ndarray
+    gain: np.ndarray
 
 
 @dataclass
 class SuffixTree:
-    """words/counts: the common words (sorted hashes), which alone can be in contexts or have own probabilities there.
-    Their number is at most 1 / common_share, that of contexts of a length 1 / least_context."""
+    """words/counts: the common words (sorted hashes), and levels: the common contexts and next words, all of which
+    number at most 1 / common_share each. They only spare a join: grams, tables in Spark of any size, have all other
+    retained contexts and next words (key, value), and passing is a bounded Bloom filter of their keys."""
 
     words: np.ndarray
     counts: np.ndarray
@@ -39,6 +47,9 @@ class SuffixTree:
     distinct: int
     discount: float
     levels: list[Level] = field(default_factory=list)
+    depth: int = 0
+    passing: np.ndarray | None = None
+    grams: DataFrame | None = None
 
     def root(self, count: np.ndarray) -> np.ndarray:
         """Probability of a token by its training count; all unknown tokens are one symbol with the discounted mass."""
@@ -66,14 +77,14 @@ def _tokens(texts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.array(sizes, dtype=np.int64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, hashes, sizes) for slices of about CHUNK_TOKENS tokens (or one text)."""
+def _chunks(batches: Iterator[pa.RecordBatch], text_at: int, tokens: int = CHUNK_TOKENS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, hashes, sizes) for slices of about so many tokens (or one text)."""
     for batch in batches:
         texts, start, held = [], 0, 0
         for k, t in enumerate(batch.column(text_at).cast(pa.large_binary())):
             texts.append(t.as_py() or b"")
             held += len(texts[-1]) // 6 + 1
-            if held >= CHUNK_TOKENS:
+            if held >= tokens:
                 yield batch.slice(start, len(texts)), *_tokens(texts)
                 texts, start, held = [], k + 1, 0
         if texts:
@@ -88,18 +99,22 @@ def _index(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.where(words[at] == h, at, -1)
 
 
-def _context_keys(index: np.ndarray, sizes: np.ndarray, length: int, n_words: int) -> np.ndarray:
-    """For each token the `length` common words before it as one number, or -1."""
-    key = np.zeros(len(index), dtype=np.int64)
-    ok = np.ones(len(index), dtype=bool)
-    place = np.arange(len(index)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    ok &= place >= length
-    for back in range(length, 0, -1):
-        before = np.full(len(index), -1, dtype=np.int64)
-        before[back:] = index[:-back]
-        ok &= before >= 0
-        key = key * n_words + before
-    return np.where(ok, key, -1)
+def _combined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Key of n + 1 words from those of its first n and of its last n."""
+    return mixed(mixed(x) + (y ^ np.uint64(0xD6E8FEB86659FD93)))
+
+
+def _grams(h: np.ndarray, sizes: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By context length: where there is a context; there, the key of the context, of its words and the next one, and
+    of the latter without the first word."""
+    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    own = h
+    for length in range(1, depth + 1):
+        longer = np.zeros_like(h)
+        longer[1:] = _combined(own[:-1], own[1:])
+        at = np.flatnonzero(place >= length)
+        yield at, own[at - 1], longer[at], own[at]
+        own = longer
 
 
 def _find(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
@@ -109,6 +124,35 @@ def _find(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
+def _slots(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A filter's word for each key, and three bits in it."""
+    m = mixed(mixed(keys.view(np.uint64) + np.uint64(1)))
+    one, low = np.uint64(1), np.uint64(63)
+    bits = (one << (m & low)) | (one << ((m >> np.uint64(6)) & low)) | (one << ((m >> np.uint64(12)) & low))
+    return ((m >> np.uint64(18)) % np.uint64(size)).astype(np.int64), bits
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """Bloom filter of a table of keys, as 64-bit words. Spark sets the bits; 16 MB come to the driver at most, and
+    beyond some ten million keys the filter lets more and more others pass, which costs time only."""
+    size = 1 << min(21, max(4, keys.count().bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, bits = _slots(batch.column(0).to_numpy(), size)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits.view(np.int64))], ["at", "bits"])
+
+    rows = keys.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(size, dtype=np.uint64)
+    words[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return words
+
+
+def _passes(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    at, bits = _slots(keys, len(words))
+    return words[at] & bits == bits
+
+
 def _conditional(tree: SuffixTree, index: np.ndarray, states: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(a, b) with P(token | context) = a + b * P_root(token), by interpolation along the suffixes."""
     a, b = np.zeros(len(index)), np.ones(len(index))
@@ -124,22 +168,23 @@ def _conditional(tree: SuffixTree, index: np.ndarray, states: list[np.ndarray])
 
 def train(
     docs: DataFrame,
-    depth: int = 2,
+    depth: int = 3,
     common_share: float = 3e-6,
-    least_context: float = 1e-4,
-    least_next: float = 0.005,
+    least_context: int = 4,
+    least_next: int = 2,
     divergence: float = 0.02,
     text_col: str = "text",
 ) -> tuple[SuffixTree, DataFrame]:
     """The tree, and the table (word, c) of all distinct tokens' counts, which stays in Spark.
 
-    Contexts up to `depth` words: a context is a candidate when it makes up least_context of all tokens; a next word
-    gets its own probability there when it makes up least_next of what follows. A context is retained when the
-    divergence of its next-word distribution from that of its longest retained suffix (own words one by one, all
-    others together) is `divergence` nats or more and not within chance. Its words' counts are discounted by a half;
-    the mass left goes to the suffix.
+    Contexts up to `depth` words: a context is a candidate when it occurs least_context times; a next word gets its own
+    probability there when it is seen least_next times. A context is retained when the divergence of its next-word
+    distribution from that of its longest retained suffix (own words one by one, all others together) is `divergence`
+    nats or more and not within chance. Its words' counts are discounted by a half; the mass left goes to the suffix.
+    No bound depends on the number of tokens, so the tree grows with the corpus.
     """
     texts = docs.select(F.col(text_col).alias("text"))
+    spark = docs.sparkSession
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, h, _sizes in _chunks(batches, 0):
@@ -153,66 +198,94 @@ def train(
     ).first()
     n = n or 0
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    common = vocabulary.where(F.col("c") >= max(2, common_share * n)).toPandas()
+    often = max(2, common_share * n)
+    common = vocabulary.where(F.col("c") >= often).toPandas()
     hashes = common["word"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    tree = SuffixTree(hashes[order], common["c"].to_numpy(dtype=np.int64)[order], n, v, discount)
+    tree = SuffixTree(hashes[order], common["c"].to_numpy(dtype=np.int64)[order], n, v, discount, depth=depth)
     width = max(1, len(tree.words))
-    enough = max(2.0, least_context * n)
-    often = np.flatnonzero((tree.counts >= enough) & (tree.words != END))
-    keys, sizes = often, tree.counts[often]
+    root = (F.col("c") - F.lit(discount)) / F.lit(float(max(1, n)))
+    contexts = vocabulary.where(F.col("c") >= least_context).select(F.col("word").alias("ctx"), F.col("c").alias("size"))
+    lower, grams = None, []
     for length in range(1, depth + 1):
-        if not len(keys):
-            break
-        shared = docs.sparkSession.sparkContext.broadcast((tree, keys))
+        shared = spark.sparkContext.broadcast((tree.words, tree.counts, _filter(contexts.select("ctx"))))
 
         def count_next(batches: Iterator[pa.RecordBatch], length: int = length, shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            tree, keys = shared.value
             for _, h, sizes in _chunks(batches, 0):
-                index = _index(h, tree.words)
-                state = _find(_context_keys(index, sizes, length, width), keys)
-                some = (state >= 0) & (index >= 0)
-                pair, n = np.unique(state[some] * width + index[some], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
-
-        counted = texts.mapInArrow(count_next, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-        least = np.maximum(2, np.ceil(least_next * sizes)).astype(np.int64)
-        bounds = docs.sparkSession.createDataFrame(
-            pa.table({"state": pa.array(np.arange(len(keys))), "least": pa.array(np.minimum(least, enough).astype(np.int64))})
+                for at, (_, ctx, both, below) in enumerate(_grams(h, sizes, length), start=1):
+                    if at < length:
+                        continue
+                    some = _passes(ctx.view(np.int64), shared.value[2])
+                    ctx, both, below = ctx[some], both[some], below[some]
+                    _, first, n = np.unique(both, return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ctx[first].view(np.int64)), pa.array(below[first].view(np.int64)), pa.array(n)], ["ctx", "below", "n"]
+                    )
+
+        def keyed(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            words, counts, _ = shared.value
+            for batch in batches:
+                ctx, below = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+                at = _index(below, words)
+                c = pa.array(counts[at] if len(counts) else at, mask=at < 0)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(_combined(ctx, below).view(np.int64)), c], ["ctx", "below", "n", "gram", "c"]
+                )
+
+        counted = texts.mapInArrow(count_next, "ctx long, below long, n long").groupBy("ctx", "below").agg(F.sum("n").alias("n"))
+        pairs = written(
+            counted.where(F.col("n") >= least_next).mapInArrow(keyed, "ctx long, below long, n long, gram long, c long"), "lm-pairs"
+        )
+        if lower is None:
+            # common words bring their counts along; each of the others is a small share of all rows
+            rare = pairs.where("c is null").drop("c").join(vocabulary.withColumnRenamed("word", "below"), "below")
+            rows = pairs.where("c is not null").unionByName(rare).withColumn("q", root).withColumn("word", F.col("below"))
+        else:
+            rows = pairs.join(lower, "below")
+        rows = written(rows.join(contexts, "ctx").select("ctx", "gram", "word", "n", "size", "q"), "lm-rows")
+        discard(pairs)
+        p, own = F.col("n") / F.col("size"), F.col("own")
+        said = rows.groupBy("ctx", "size").agg(
+            F.count(F.lit(1)).alias("own"), F.sum("n").alias("seen"), F.sum("q").alias("q"), F.sum(p * F.log(p / F.col("q"))).alias("d")
+        )
+        left = F.greatest(1 - F.col("seen") / F.col("size"), F.lit(0.0))
+        others = F.when(left > 1e-12, left * F.log(F.greatest(left, F.lit(1e-300)) / (1 - F.least("q", F.lit(1 - 1e-12))))).otherwise(0.0)
+        said = said.withColumn("d", F.col("d") + others)
+        kept = said.where(
+            (F.col("d") >= divergence) & (2 * F.col("size") * F.col("d") >= own + 4 * F.sqrt(2 * own + 1))
+        ).select("ctx", "size", (1 - (F.col("seen") - 0.5 * own) / F.col("size")).alias("rest"))
+        kept = written(kept, "lm-contexts")
+        mass = (F.col("n") - 0.5) / F.col("size")
+        known = F.col("rest").isNotNull()
+        found = rows.join(kept.select("ctx", "rest"), "ctx", "left").select(
+            "gram",
+            F.when(F.col("n") >= often, F.col("word")).alias("word"),
+            "n",
+            F.when(known, mass + F.col("rest") * F.col("q")).otherwise(F.col("q")).alias("p"),
+            F.when(known, F.log10(1 + mass / (F.col("rest") * F.col("q")))).alias("gain"),
+        )
+        found = written(found if length < depth else found.where("gain is not null").drop("word", "p"), "lm-grams")
+        grams.append(kept.select(F.col("ctx").bitwiseXOR(F.lit(CONTEXT)).alias("key"), F.log10("rest").alias("value"), F.col("size").alias("n")))
+        grams.append(found.where("gain is not null").select(F.col("gram").alias("key"), F.col("gain").alias("value"), "n"))
+        # the head: at most 1 / common_share contexts and next words
+        top = kept.where(F.col("size") >= often).toPandas().sort_values("ctx")
+        gain = F.log10(1 + mass / (F.col("rest") * F.col("q"))).alias("gain")
+        head = rows.where(F.col("n") >= often).join(kept.drop("size"), "ctx").select("ctx", "word", mass.alias("mass"), gain).toPandas()
+        discard(rows)
+        keys = top["ctx"].to_numpy(np.int64)
+        state = _find(head["ctx"].to_numpy(np.int64), keys)
+        both = state * width + _index(head["word"].to_numpy(np.int64).view(np.uint64), tree.words)
+        order = np.argsort(both)
+        tree.levels.append(
+            Level(keys, both[order], head["mass"].to_numpy(float)[order], top["rest"].to_numpy(float), head["gain"].to_numpy(float)[order])
         )
-        state_of = F.floor(F.col("pair") / F.lit(width)).cast("long")
-        # at most 1 / least_context states with 1 / least_next words each, and 1 / least_context longer contexts
-        rows = counted.withColumn("state", state_of).join(F.broadcast(bounds), "state").where("n >= least").toPandas()
-        pair, seen = rows["pair"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-        order = np.argsort(pair)
-        pair, seen = pair[order], seen[order]
-        state, word = pair // width, pair % width
-        longer = (seen >= enough) & (tree.words[word] != END)
-        next_keys, next_sizes = keys[state[longer]] * width + word[longer], seen[longer]
-        own = seen >= least[state]
-        pair, seen, state, word = pair[own], seen[own], state[own], word[own]
-        # what the retained suffixes say about the same next words
-        states = []
-        for k, level in enumerate(tree.levels, start=1):
-            suffix = keys % width**k
-            states.append(_find(suffix, level.keys)[state])
-        a, b = _conditional(tree, word, states)
-        suffix_p = a + b * tree.root(tree.counts[word])
-        mass = (seen - 0.5) / sizes[state]
-        p = seen / sizes[state]
-        sum_p = np.bincount(state, p, len(keys))
-        sum_q = np.minimum(np.bincount(state, suffix_p, len(keys)), 1 - 1e-12)
-        gain = np.bincount(state, p * np.log(p / suffix_p), len(keys))
-        rest_p = np.maximum(1 - sum_p, 0)
-        gain += np.where(rest_p > 1e-12, rest_p * np.log(np.maximum(rest_p, 1e-300) / (1 - sum_q)), 0.0)
-        n_own = np.bincount(state, minlength=len(keys))
-        kept = (gain >= divergence) & (2 * sizes * gain >= n_own + 4 * np.sqrt(2 * n_own + 1)) & (n_own > 0)
-        number = np.cumsum(kept) - 1
-        mine = kept[state]
-        rest = 1 - np.bincount(number[state[mine]], mass[mine], int(kept.sum()))
-        tree.levels.append(Level(keys[kept], number[state[mine]] * width + word[mine], mass[mine], rest))
-        order = np.argsort(next_keys)
-        keys, sizes = next_keys[order], next_sizes[order]
+        # a longer context is a pair of this length
+        contexts = found.where(F.col("n") >= least_context).select(F.col("gram").alias("ctx"), F.col("n").alias("size"))
+        if length < depth:
+            lower = found.select(F.col("gram").alias("below"), "word", F.col("p").alias("q"))
+    # what is not in the head
+    tree.grams = reduce(DataFrame.unionByName, grams).where(F.col("n") < often).select("key", "value")
+    tree.passing = _filter(tree.grams.select("key"))
     return tree, vocabulary
 
 
@@ -220,68 +293,87 @@ def score(docs: DataFrame, tree: SuffixTree, vocabulary: DataFrame, id_col: str
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens: words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased), then one end. score: log10 probability under the tree, each
-    token by the longest retained suffix of the words before it. base_score: unigrams with add-one smoothing. Common
-    words are looked up in the worker; the others, each of which is a small share of all tokens, meet their counts in
-    a join. Null texts are empty; rows that share an id are scored as one document with all their tokens (distinct
-    ids are expected); a null id is an id of its own. Other columns are not read.
+    token by the longest retained suffix of the words before it. base_score: unigrams with add-one smoothing. The
+    logarithm is a sum: that of the token's own share, then for every retained suffix that of what it leaves, and the
+    gain of a word that it keeps. So common words and contexts are looked up in the worker; the others, each of which is
+    a small share of all tokens, meet the tables in one join, a row for each document and key. Null texts are empty;
+    rows that share an id are scored as one document with all their tokens (distinct ids are expected); a null id is an
+    id of its own. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(tree, grams=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         width = max(1, len(tree.words))
-        for rows, h, sizes in _chunks(batches, 1):
+        for rows, h, sizes in _chunks(batches, 1, SCORE_TOKENS):
             index = _index(h, tree.words)
-            states = [_find(_context_keys(index, sizes, k + 1, width), level.keys) for k, level in enumerate(tree.levels)]
-            a, b = _conditional(tree, index, states)
             own = np.repeat(np.arange(len(sizes)), sizes)
             known = index >= 0
             count = tree.counts[np.maximum(index, 0)] if len(tree.counts) else np.zeros(len(index))
-            log = np.log10(np.where(known, a + b * tree.root(count), b))
+            log = np.log10(np.where(known, tree.root(count), 1.0))
+            # the rest: one row for each document and word, context or next word
+            rest = [(own[~known], h[~known])]
+            for level, (at, ctx, both, _) in zip(tree.levels, _grams(h, sizes, tree.depth), strict=True):
+                state = _find(ctx.view(np.int64), level.keys)
+                here = state >= 0
+                log[at[here]] += np.log10(level.rest[state[here]])
+                pair = _find(np.where(here & (index[at] >= 0), state * width + index[at], -1), level.pairs)
+                log[at[pair >= 0]] += level.gain[pair[pair >= 0]]
+                ctx = ctx ^ np.uint64(CONTEXT)
+                for keys, absent in ((ctx, ~here), (both, pair < 0)):
+                    some = np.flatnonzero(absent)
+                    some = some[_passes(keys[some].view(np.int64), tree.passing)]
+                    rest.append((own[at[some]], keys[some]))
+            is_word = np.repeat(np.arange(len(rest)) == 0, [len(keys) for _, keys in rest])
+            whose, key = (np.concatenate(c) for c in zip(*rest, strict=True))
             base = np.where(known, np.log10(count + 1), 0.0)
             n_docs = len(sizes)
             ids = rows.column(0)
-            # the rest: one row for each document and word
-            rare = np.flatnonzero(~known)
-            order = rare[np.lexsort((h[rare], own[rare]))]
-            edge = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (own[order][1:] != own[order][:-1])]) if len(order) else order
-            times = np.diff(np.r_[edge, len(order)]) if len(order) else order
-            first = order[edge] if len(order) else order
+            order = np.lexsort((is_word, key, whose))
+            key, whose, is_word = key[order], whose[order], is_word[order]
+            first = np.flatnonzero(
+                np.r_[len(key) > 0, (key[1:] != key[:-1]) | (whose[1:] != whose[:-1]) | (is_word[1:] != is_word[:-1])][: len(key)]
+            )
+            times = np.diff(np.r_[first, len(key)])
             spread = pa.array(np.arange(n_docs) * 7919 % (1 << 31))  # no word: dealt out evenly
             yield pa.RecordBatch.from_arrays(
                 [
                     ids, spread, pa.array(sizes), pa.array(np.bincount(own, known, n_docs).astype(np.int64)),
                     pa.array(np.bincount(own, base, n_docs)), pa.array(np.bincount(own, log, n_docs)), pa.nulls(n_docs, pa.int64()),
+                    pa.nulls(n_docs, pa.bool_()),
                 ],
-                ["doc_id", "word", "n_tokens", "n_known", "base", "log", "times"],
+                ["doc_id", "key", "n_tokens", "n_known", "base", "log", "times", "is_word"],
             )
             if len(first):
                 none = pa.nulls(len(first), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(pa.array(own[first])), pa.array(h[first].view(np.int64)), none, none,
+                        ids.take(pa.array(whose[first])), pa.array(key[first].view(np.int64)), none, none,
                         none.cast(pa.float64()), none.cast(pa.float64()), pa.array(times.astype(np.int64)),
+                        pa.array(is_word[first]),
                     ],
-                    ["doc_id", "word", "n_tokens", "n_known", "base", "log", "times"],
+                    ["doc_id", "key", "n_tokens", "n_known", "base", "log", "times", "is_word"],
                 )
 
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, word long, n_tokens long, n_known long, base double, log double, times long"
+        run, f"doc_id {kind}, key long, n_tokens long, n_known long, base double, log double, times long, is_word boolean"
     )
     common = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"word": pa.array(tree.words.view(np.int64))})))
-    rare = vocabulary.join(common, "word", "left_anti")
+    rare = vocabulary.join(common, "word", "left_anti").select(F.col("word").alias("key"), "c", F.lit(None).cast("double").alias("value"))
+    table = rare.unionByName(tree.grams.withColumn("c", F.lit(None).cast("long")))
     c = F.coalesce(F.col("c"), F.lit(0))
-    times = F.col("times")
+    times, is_word = F.col("times"), F.col("is_word")
     root = F.when(c > 0, F.log10((c - F.lit(tree.discount)) / F.lit(float(max(1, tree.tokens))))).otherwise(
         F.lit(float(np.log10(tree.unknown)) if tree.unknown > 0 else -300.0)
     )
-    joined = found.join(rare, "word", "left").select(
+    # a key is that of a word or of a context or next word; the filter also lets keys pass that are in no table
+    joined = found.join(table, "key", "left").select(
         "doc_id",
         "n_tokens",
-        F.coalesce(F.when(times.isNotNull() & (c > 0), times), F.col("n_known")).alias("n_known"),
-        F.coalesce("base", times * F.log10(c + 1)).alias("base"),
-        F.coalesce("log", times * root).alias("log"),
+        F.coalesce(F.when(is_word & (c > 0), times), F.col("n_known")).alias("n_known"),
+        F.coalesce("base", F.when(is_word, times * F.log10(c + 1)), F.lit(0.0)).alias("base"),
+        F.coalesce("log", times * F.when(is_word, root).otherwise(F.coalesce("value", F.lit(0.0)))).alias("log"),
     )
     total = F.lit(float(np.log10(tree.tokens + tree.distinct + 1)))
     return joined.groupBy("doc_id").agg(

@@ -316,3 +316,29 @@ def test_repeated_rows_and_null_ids(spark):
         assert ids == {r[0] for r in X.rows()}, name
         if name not in ("packing", "suffix tree"):
             assert len(rows) == n, name
+
+
+def test_suffix_tree_keeps_contexts_at_any_size(spark):
+    """A context is retained by its own count, however large the rest of the corpus, and also beyond two words."""
+    phrase = "red green blue gold"
+    filler = [" ".join(f"f{(k * 7919 + i * 104729) % 5003}" for i in range(2000)) for k in range(100)]
+    others = [f"red blue{i % 5} green blue other{i % 7} green red" for i in range(40)]
+    for more in ([], filler):
+        texts = [f"{phrase} x{i % 9}" for i in range(25)] + others + more
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        tree, vocabulary = suffix_tree.train(docs)
+        assert tree.depth >= 3
+        asked = [(1, phrase), (2, "blue green red gold")]
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score(spark.createDataFrame(asked, docs.schema), tree, vocabulary).collect()}
+        assert got[1] > got[2] + 3, len(more)
+
+
+@pytest.mark.parametrize("common_share", [1e-3, 1])
+def test_suffix_tree_head_only_spares_a_join(spark, sf_dir, common_share):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id % 4 = 0")
+    want = {r[0]: r for r in suffix_tree.score(docs, *suffix_tree.train(docs, common_share=0)).collect()}
+    got = {r[0]: r for r in suffix_tree.score(docs, *suffix_tree.train(docs, common_share=common_share)).collect()}
+    assert len(got) == len(want)
+    for i, r in got.items():
+        assert (r["n_tokens"], r["n_known"]) == (want[i]["n_tokens"], want[i]["n_known"])
+        assert (r["base_score"], r["score"]) == (pytest.approx(want[i]["base_score"]), pytest.approx(want[i]["score"]))
