@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import running_totals, written
 
 #: Entries of a worker's word memory; it is emptied when full, which costs time only.
 MEMORY_WORDS = 500_000
@@ -90,7 +90,6 @@ def pack(
     tokenizer_path: str,
     window: int = 4096,
     end_id: int = 2,
-    least_share: float = 1 / 64,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -98,15 +97,17 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked).
 
-    Every document is its tokens and end_id. Every source with at least least_share of all tokens is a queue; the
-    other sources share one more queue, one after the other, so there are at most 1/least_share + 1 queues. A window
-    serves the queues in turn. Each round a queue gains credit for its share of all tokens; it is served the whole
-    part of its credit and carries the rest, its deficit, into the next window. As shares are fixed, the credit
-    served to the first j queues up to window k is floor(k * window * T_j / T), T_j being these queues' tokens and T
-    all: so any task can tell which windows hold a document's tokens, deficits carry across partitions, all queues
-    end together, and only the last window can be short.
-
-    A queue's order is that of the written token table (partition, then row within it). Null texts are empty; null
+    Every document is its tokens and end_id. Every source whose share of a window is a token or more is a queue, so
+    there are at most `window` of them; the other sources share the last queue. A window serves the queues in turn. Each
+    round a queue gains credit for its share of all tokens; it is served the whole part of its credit and carries the
+    rest, its deficit, into the next window. As shares are fixed, the credit served to the first j queues up to window k
+    is floor(k * window * T_j / T), T_j being these queues' tokens and T all: so any task can tell which windows hold a
+    document's tokens, deficits carry across partitions, all queues end together, and only the last window can be short.
+    (For a smaller share in front of other queues the difference of two floors may fall, so the closed form needs that
+    bound.) In the last queue documents come in the order of the share of their source's tokens up to their middle, so
+    that each source is spread evenly over all windows, to a document.
+
+    The order within a source is that of the written token table (partition, then row within it). Null texts are empty; null
     sources form one source; repeated rows are packed each; other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -142,19 +143,18 @@ def pack(
     )
     parts = written(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "pack-parts")
     total = parts.agg(F.sum("n")).first()[0] or 0
-    # at most 1 / least_share rows
-    large = [
-        (r["source"], int(r["n"]))
-        for r in parts.groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") >= total * least_share).orderBy("source").collect()
-    ]
+    sums = parts.groupBy("source").agg(F.sum("n").alias("own"))
+    # at most `window` rows
+    large = [(r["source"], int(r["own"])) for r in sums.where(F.col("own") * window >= total).orderBy("source").collect()]
     shares = [n for _, n in large]
     shares.append(total - sum(shares))
-    queue = F.lit(len(large))
-    for k, (name, _) in enumerate(large):
-        queue = F.when(F.col("source") == F.lit(name), k).otherwise(queue)
-    in_queue = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.withColumn("queue", queue).select(
-        "part", "source", "queue", F.coalesce(F.sum("n").over(in_queue), F.lit(0)).alias("base")
+    queues = spark.createDataFrame([(name, k) for k, (name, _) in enumerate(large)], "source string, queue int")
+    in_source = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (
+        parts.withColumn("base", F.coalesce(F.sum("n").over(in_source), F.lit(0)))
+        .drop("n")
+        .join(sums, "source")
+        .join(F.broadcast(queues), "source", "left")
     )
     n_bases = parts.count()
     if n_bases <= 200_000:  # partitions times sources; else Spark chooses
@@ -185,16 +185,22 @@ def pack(
                         offset = served(q, k + 1) - served(q, k) + at + done - since
                         rows.append((doc_id, done, take, zlib.crc32(own), n, k, offset, own.astype("i4") if keep_ids else None))
                         done += take
-                    k += 1
+                    k = max(k + 1, (at + done) * total // (shares[q] * window) - 1)
                 if len(rows) >= 20_000:
                     yield _piece_batch(rows, keep_ids)
                     rows = []
             if rows:
                 yield _piece_batch(rows, keep_ids)
 
-    placed = tokens.join(bases, ["part", "source"]).select(
-        "doc_id", "n", "ids", "queue", (F.col("base") + F.col("before")).alias("at")
-    )
+    placed = tokens.join(bases, ["part", "source"]).withColumn("at", F.col("base") + F.col("before"))
+    columns = ["doc_id", "n", "ids", "queue", "at"]
+    if shares[-1]:
+        middle = ((F.col("at") + F.col("n") / 2) / F.col("own")).alias("middle")
+        small = placed.where("queue is null").select(F.lit(len(large)).alias("queue"), middle, "source", "doc_id", "n", "ids")
+        ordered = running_totals(small, ["queue"], ["middle", "source"], "n", "pack-small")
+        placed = placed.where("queue is not null").select(columns).unionByName(ordered.withColumnRenamed("before", "at").select(columns))
+    else:
+        placed = placed.select(columns)
     extra = ", ids array<int>" if keep_ids else ""
     return placed.mapInArrow(
         place,

@@ -342,3 +342,51 @@ def test_suffix_tree_head_only_spares_a_join(spark, sf_dir, common_share):
     for i, r in got.items():
         assert (r["n_tokens"], r["n_known"]) == (want[i]["n_tokens"], want[i]["n_known"])
         assert (r["base_score"], r["score"]) == (pytest.approx(want[i]["base_score"]), pytest.approx(want[i]["score"]))
+
+
+def _packed(spark, sources, window):
+    """Per window, tokens by source; all windows are checked to be full and without gaps."""
+    rows = [(k, f"word{k} " * (3 + k % 5), s) for k, s in enumerate(sources)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    source, mix, starts = {r[0]: r[2] for r in rows}, defaultdict(Counter), defaultdict(list)
+    done = defaultdict(list)
+    for p in pack(docs, tokenizer("word_bpe_49k.json"), window=window).collect():
+        mix[p["sequence_id"]][source[p["doc_id"]]] += p["length"]
+        starts[p["sequence_id"]].append((p["offset"], p["length"]))
+        done[p["doc_id"]].append((p["start"], p["length"], p["doc_tokens"]))
+    assert sorted(mix) == list(range(len(mix))) and len(done) == len(rows)
+    for k, own in starts.items():
+        own.sort()
+        assert [o for o, _ in own] == list(np.cumsum([0, *[n for _, n in own]])[:-1])
+        assert sum(n for _, n in own) == window or k == len(mix) - 1
+    for own in done.values():
+        own.sort()
+        assert [s for s, _, _ in own] == list(np.cumsum([0, *[n for _, n, _ in own]])[:-1])
+        assert sum(n for _, n, _ in own) == own[0][2]
+    return mix
+
+
+def test_packing_keeps_proportions_of_many_sources(spark):
+    sources = ["hot" if k % 3 == 0 else f"s{k % 100}" for k in range(3000)]
+    mix = _packed(spark, sources, 512)
+    total = Counter()
+    for own in mix.values():
+        total.update(own)
+    every = sum(total.values())
+    assert len(total) > 65
+    for k, own in mix.items():
+        if k < len(mix) - 1:
+            assert all(abs(own[s] - 512 * n / every) <= 2 for s, n in total.items()), k
+
+
+def test_packing_spreads_sources_below_a_token_a_window(spark):
+    """Also where all sources are so small, and where only a few documents are."""
+    for sources in ([f"s{k // 50}" for k in range(2000)], ["hot"] * 1500 + [f"s{k // 10}" for k in range(40)]):
+        mix = _packed(spark, sources, 16)
+        total, half = Counter(), Counter()
+        for k, own in mix.items():
+            total.update(own)
+            if k < len(mix) / 2:
+                half.update(own)
+        for s, n in total.items():
+            assert abs(half[s] - n / 2) <= 40, s
