@@ -16,10 +16,11 @@ from .common import hash_words, mixed, shuffle_partitions
 
 #: Share of all documents that a term of the lexicon is in, least and most: the band of inverse document frequency.
 BAND = (0.001, 0.2)
-#: A subset of rate k holds each lexicon term with probability 2**-k; so many subsets are drawn at each rate.
+#: A subset of rate k holds each lexicon term with probability 2**-k; so many subsets are drawn at each rate. The
+#: sparsest subset of a draw is the one term with its smallest number, whatever the number of terms.
 RATES, DRAWS = range(11), 16
-#: Hex digits of a subset's hash, and what stands for a subset of which no term occurs.
-DIGITS, EMPTY = 3, "000"
+#: Hex digits of a subset's hash; zeros stand for a subset of which no term occurs.
+DIGITS = 3
 _TOP = -(1 << 63)
 _DRAW_KEYS = np.array([k * 0x9E3779B9 + 1 for k in range(DRAWS)], dtype=np.uint64)
 _HEX = [f"{v:0{DIGITS}x}" for v in range(16**DIGITS)]
@@ -61,7 +62,7 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, text_col: str = "
 
 
 def fingerprint(found: np.ndarray, words: np.ndarray) -> str:
-    """Hex digits: 16 for all lexicon terms, then DIGITS for each subset, draw by draw, from full to sparse.
+    """Hex digits: 16 for all lexicon terms, then DIGITS for each subset, draw by draw, from full to a single term.
 
     found: the document's sorted distinct terms; words: the sorted lexicon. A document without a lexicon term is
     fingerprinted by all its terms.
@@ -81,22 +82,20 @@ def fingerprint(found: np.ndarray, words: np.ndarray) -> str:
     counts = np.bincount(cell, minlength=DRAWS * len(RATES)).reshape(DRAWS, -1)
     some = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] > 0
     shown = np.where(some, (mixed(sums) % np.uint64(16**DIGITS - 1)).astype(np.int64) + 1, 0)
+    lone = numbers.min(axis=1) if len(kept) else np.zeros(DRAWS, dtype=np.uint64)
+    lone = np.where(len(kept) > 0, (mixed(mixed(lone)) % np.uint64(16**DIGITS - 1)).astype(np.int64) + 1, 0)
+    shown = np.concatenate([shown, lone[:, None]], axis=1)
     return hashlib.md5(kept.tobytes()).hexdigest()[:16] + "".join([_HEX[v] for v in shown.ravel().tolist()])
 
 
 def likeness(a: str, b: str) -> float:
-    """Over all draws, how often the sparsest subset in which either document has a term agrees; 1 for equal
-    fingerprints. Sparse subsets hold a term or two, so the share is near that of common terms."""
+    """Over all draws, how often the sparsest subset, a single term, agrees; 1 for equal fingerprints. The share is near
+    that of common terms among all terms of both, at any number of terms."""
     if a == b:
         return 1.0
-    width, same = len(RATES) * DIGITS, 0
-    for start in range(16, 16 + DRAWS * width, width):
-        for at in range(start + width - DIGITS, start - 1, -DIGITS):
-            x, y = a[at : at + DIGITS], b[at : at + DIGITS]
-            if x != EMPTY or y != EMPTY:
-                same += x == y
-                break
-    return same / DRAWS
+    width = (len(RATES) + 1) * DIGITS
+    ends = range(16 + width, 17 + DRAWS * width, width)
+    return sum(a[end - DIGITS : end] == b[end - DIGITS : end] for end in ends) / DRAWS
 
 
 def fingerprints(docs: DataFrame, words: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -390,3 +390,15 @@ def test_packing_spreads_sources_below_a_token_a_window(spark):
                 half.update(own)
         for s, n in total.items():
             assert abs(half[s] - n / 2) <= 40, s
+
+
+@pytest.mark.parametrize("size", [20, 1_000, 10_000])
+def test_imatch_likeness_means_the_same_at_every_length(size):
+    random, none = np.random.default_rng(size), np.zeros(0, dtype=np.uint64)
+    for kept, want in ((0.6, 0.6 / 1.4), (0.95, 0.95 / 1.05), (0, 0)):
+        got = []
+        for _ in range(20):
+            a, new = (random.integers(0, 1 << 63, size, dtype=np.uint64) for _ in range(2))
+            b = np.r_[a[: int(kept * size)], new[int(kept * size) :]]
+            got.append(imatch.likeness(*(imatch.fingerprint(np.unique(t), none) for t in (a, b))))
+        assert np.mean(got) == pytest.approx(want, abs=0.1)
