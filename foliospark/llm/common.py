@@ -27,9 +27,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; one of this machine only where none is set."""
+    """The folder of spark.checkpoint.dir, which all executors see. Where none is set, a local session gets a folder of
+    its machine; on a cluster that is an error, as each executor would write to its own disk."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='foliospark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -45,7 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(table: DataFrame) -> None:
-    """Deletes a table of written() that no later step reads."""
+    """Deletes a table of written(), or the one that a frame of running_totals() reads, when no later step reads it."""
     context = table.sparkSession.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(table._written_to)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
@@ -70,12 +73,14 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], weight: st
         F.sum("range_sum").over(Window.partitionBy(*group)).alias("total"),
     )
     inside = Window.partitionBy(*group, "range_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
+    result = (
         ranged.withColumn("run", F.sum(weight).over(inside))
         .join(bases, [*group, "range_id"])
         .withColumn("before", (F.col("range_base") + F.col("run") - F.col(weight)).cast("long"))
         .drop("run", "range_id", "range_base")
     )
+    result._written_to = ranged._written_to
+    return result
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = written(large.where("u <> v"), "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = written(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+        done, pairs = pairs, written(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+        discard(done)
+        discard(large)
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

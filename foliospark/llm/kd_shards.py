@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_totals, written
+from .common import discard, running_totals, written
 
 
 def kd_shards(
@@ -46,6 +46,7 @@ def kd_shards(
     whole = meta.agg(*[(F.max(c).cast("double") - F.min(c)).alias(c) for c in dims]).first()
     spans = {c: max(1.0, float(whole[c] or 0)) for c in dims}
     n_leaves = n_shards
+    last = meta
     rows = meta.withColumn("shard", F.lit(0)).withColumn("leaves", F.lit(n_shards))
     while n_shards > 1:
         # a node holds the leaves shard .. shard + leaves - 1
@@ -64,7 +65,10 @@ def kd_shards(
             F.when((F.col("leaves") == 1) | goes_left, F.col("shard")).otherwise(F.col("shard") + left).alias("shard"),
             F.when(F.col("leaves") == 1, 1).when(goes_left, left).otherwise(F.col("leaves") - left).alias("leaves"),
         )
-        rows = written(rows, "kd-level")
+        before, rows = last, written(rows, "kd-level")
+        last = rows
+        discard(cut)
+        discard(before)
         n_shards = math.ceil(n_shards / 2)
     ranked = running_totals(rows.withColumn("one", F.lit(1)), ["shard"], ["order_id"], "one", "kd-slots")
     return ranked.select("doc_id", "size", "text_crc32", "shard", F.col("before").alias("slot"))
