@@ -83,11 +83,11 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], weight: st
     return result
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    """64-bit SipHash of each word."""
+def hash_words(words: list[bytes], key: str = "0123456789123456") -> np.ndarray:
+    """64-bit SipHash of each word, under a key of 16 characters."""
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    return pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+    return pd.util.hash_array(np.array(words, dtype=object), hash_key=key, categorize=False)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

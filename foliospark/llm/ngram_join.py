@@ -46,21 +46,25 @@ def _shared_counts(docs: DataFrame, n: int) -> DataFrame:
     def counts(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(doc, return_counts=True)
 
-    def local(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple:
-        first = np.r_[True, h[1:] != h[:-1]]
-        several = ~first | np.r_[~first[1:], False]  # another document of the chunk has it
-        ids, n_all = counts(doc)
+    def shared_by(new: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Masks: first entry of its document for a shingle (repeated rows have more); shingle of several documents."""
+        own = new | np.r_[True, doc[1:] != doc[:-1]]
+        run = np.cumsum(new) - 1
+        return own, (np.bincount(run, own) > 1)[run]
+
+    def local(new: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple:
+        own, several = shared_by(new, doc)
+        ids, n_all = counts(doc[own])
         hit = np.zeros(len(ids), np.int64)
-        some, found = counts(doc[several])
+        some, found = counts(doc[own & several])
         hit[np.searchsorted(ids, some)] = found
         # the place has served; from here on it says whether the entry is counted already
         place[:] = several
-        return first, rows(ids, hit, n_all)
+        return new, rows(ids, hit, n_all)
 
-    def judge(h: np.ndarray, doc: np.ndarray, place: np.ndarray, chunk: np.ndarray) -> list[pa.RecordBatch]:
-        same = h[1:] == h[:-1]
-        several = np.r_[False, same] | np.r_[same, False]
-        ids, found = counts(doc[several & (place == 0)])
+    def judge(new: np.ndarray, doc: np.ndarray, place: np.ndarray) -> list[pa.RecordBatch]:
+        own, several = shared_by(new, doc)
+        ids, found = counts(doc[own & several & (place == 0)])
         return rows(ids, found, np.zeros(len(ids), np.int64))
 
     def combine(found: pa.Table) -> pa.Table:
@@ -243,8 +247,9 @@ def ngram_join(
 
     A document's set: its distinct word n-grams (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased), or the whole sequence
     if it has fewer words. Two documents link when 100 * intersection >= percent * union. component_id is the smallest
-    doc_id reachable by links; n_links counts the documents that a document links with. The work is exact (up to
-    64-bit hashes of shingles) at any group size:
+    doc_id reachable by links; n_links counts the documents that a document links with. The work is exact at any group
+    size. Shingles are compared as 64-bit hashes; only the sets of two candidates meet, never all shingles of the
+    corpus, so that sets of 1,000 shingles differ from the words with a chance of some 10**-13 a pair:
 
     1. Count, over all shingles of all documents, how many of a document's shingles any other document has. Below
        percent% of its size it can't link: few documents stay.

@@ -15,19 +15,25 @@ from pyspark.sql import functions as F
 from .common import hash_words, mixed
 from .packed import bucket_count, exchange
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Odd bases of the two polynomials, and the keys of the word hashes that they are over.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_KEYS = ("first window key", "other window key")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def window_hashes(text: bytes, window: int) -> np.ndarray:
-    """Hash of the words i .. i + window - 1 for every i: a polynomial in an odd base modulo 2**64 over the words'
-    64-bit hashes, rolled by doubling (a window of 2k words is two windows of k)."""
-    h = hash_words(text.split())
-    n = len(h) - window + 1
+    """Two hashes, 128 bits, of the words i .. i + window - 1 for every i: polynomials in odd bases modulo 2**64 over
+    the words' 64-bit hashes, rolled by doubling (a window of 2k words is two windows of k)."""
+    words = text.split()
+    return np.stack([_rolled(mixed(hash_words(words, key)), base, window) for key, base in zip(_KEYS, _BASES, strict=True)])
+
+
+def _rolled(level: np.ndarray, base: int, window: int) -> np.ndarray:
+    n = len(level) - window + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     out: np.ndarray | None = None
-    done, power, level, size = 0, _BASE, mixed(h), 1
+    done, power, size = 0, np.uint64(base), 1
     while True:
         if window & size:
             part = level[done : done + n]
@@ -54,18 +60,17 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
         starts = [place[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return [pa.RecordBatch.from_arrays([pa.array(doc[edges[:-1]]), pa.array(starts, pa.binary())], ["doc_id", "starts"])]
 
-    def later(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Masks: first of its hash; not at the place of the first one (a repeated row is)."""
-        first = np.r_[True, h[1:] != h[:-1]]
-        at = np.flatnonzero(first)[np.cumsum(first) - 1]
-        return first, (doc != doc[at]) | (place != place[at])
+    def later(new: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Mask: not at the place of the first one with its words (a repeated row is)."""
+        at = np.flatnonzero(new)[np.cumsum(new) - 1]
+        return (doc != doc[at]) | (place != place[at])
 
-    def local(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple:
-        first, gone = later(h, doc, place)
-        return first, rows(doc[gone], place[gone])
+    def local(new: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple:
+        gone = later(new, doc, place)
+        return new, rows(doc[gone], place[gone])
 
-    def judge(h: np.ndarray, doc: np.ndarray, place: np.ndarray, chunk: np.ndarray) -> list[pa.RecordBatch]:
-        _, gone = later(h, doc, place)
+    def judge(new: np.ndarray, doc: np.ndarray, place: np.ndarray) -> list[pa.RecordBatch]:
+        gone = later(new, doc, place)
         return rows(doc[gone], place[gone])
 
     def combine(found: pa.Table) -> pa.Table:
@@ -79,18 +84,27 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     return exchange(docs, bucket_count(docs), lambda text: window_hashes(text, window), local, judge, schema, combine, schema)
 
 
-def _removals(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = repeated_windows(base.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), window)
+def _removals(docs: DataFrame, window: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, starts) and the columns of carry as c0, c1, ...; texts are compressed."""
+    base = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
+    )
+    names = base.columns
+    found = repeated_windows(base.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"), window)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             texts = [None if t is None else packer.compress(t) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), *batch.columns[2:]], names)
 
-    # texts travel compressed: they are the larger part of what this join shuffles
-    return base.mapInArrow(squeeze, "doc_id long, text binary").join(found, "doc_id", "left").select("doc_id", "text", "starts")
+    # texts travel once, and compressed: they are the larger part of what this join shuffles
+    schema = f"doc_id long, text binary{_kinds(docs, carry)}"
+    return base.mapInArrow(squeeze, schema).join(found, "doc_id", "left").select("doc_id", "text", "starts", *base.columns[2:])
+
+
+def _kinds(docs: DataFrame, carry: tuple[str, ...]) -> str:
+    return "".join(f", c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
@@ -119,14 +133,16 @@ def _without(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, kept_text, n_words, n_removed, spans (array of removed word intervals).
+def substring_dedup(
+    docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per document: doc_id, kept_text, n_words, n_removed, spans (array of removed word intervals), and the
+    columns of `carry` as c0, c1, ..., unchanged.
 
     A word goes when it is covered by a window of `window` consecutive words (`[^\\x20\\x09-\\x0D]+`, unchanged) whose
     sequence also starts earlier: in a document with a smaller id, or earlier in its own. All windows are hashed and
     compared across the corpus on the input as it is; overlapping windows merge into maximal intervals. Windows are
-    the same when their 64-bit hashes are (a false match among 10**9 windows has a chance of some 3 %, among 10**8 of
-    0.03 %).
+    the same when two independent 64-bit hashes of them are: among 10**13 windows a false match has a chance of 10**-13.
 
     Texts without repeats stay byte for byte; null texts stay null and have no words; rows with a null id stay as they
     are; rows with equal ids and texts count as one place. Other columns are not read.
@@ -144,13 +160,15 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
                 removed.append(int(gone.sum()))
                 spans.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            found = [pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)],
-                ["doc_id", "kept_text", "n_words", "n_removed", "spans"],
+                [batch.column(0), *found, *batch.columns[3:]],
+                ["doc_id", "kept_text", "n_words", "n_removed", "spans", *[f"c{k}" for k in range(len(carry))]],
             )
 
-    return _removals(docs, window, id_col, text_col).mapInArrow(
-        apply, "doc_id long, kept_text string, n_words long, n_removed long, spans array<struct<start:long,end:long>>"
+    return _removals(docs, window, id_col, text_col, carry).mapInArrow(
+        apply,
+        f"doc_id long, kept_text string, n_words long, n_removed long, spans array<struct<start:long,end:long>>{_kinds(docs, carry)}",
     )
 
 
