@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, hash_words, mixed, written
+from .packed import arrow_schema, bucket_count, bucket_width, pack_buckets, to_groups, unpack_bodies, unpack_table, wrap
 
 #: Stands for a text's end among the word hashes.
 END = np.uint64(0x8000000000000001)
+_ENDS = np.array([END])
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 #: Tells the key of a context from that of the same words as a shorter context and its next word.
 CONTEXT = 0x2545F4914F6CDD1D
-#: Tokens that a task works on at once.
-CHUNK_TOKENS = 2_000_000
-#: The same in scoring, where a token has several keys.
-SCORE_TOKENS = 500_000
+#: Tokens that a task works on at once: some 200 bytes each, in scoring 600, where a token has several keys.
+CHUNK_TOKENS = 1_000_000
+SCORE_TOKENS = 250_000
+#: Tokens a range of keys should have in scoring: few ranges, so that each sums up several keys of a document.
+SCORE_BUCKET = 2_500_000
+#: A word that makes up more than this share of all tokens is counted as a context in so many parts.
+HOT_SHARE, HOT_PARTS = 1 / 200, 8
 
 
 @dataclass
@@ -39,7 +48,8 @@ class Level:
 class SuffixTree:
     """words/counts: the common words (sorted hashes), and levels: the common contexts and next words, all of which
     number at most 1 / common_share each. They only spare a join: grams, tables in Spark of any size, have all other
-    retained contexts and next words (key, value), and passing is a bounded Bloom filter of their keys."""
+    retained contexts and next words (key, value), and passing is a bounded Bloom filter of their keys. gains: by context
+    length, nats that its contexts gain for each training token."""
 
     words: np.ndarray
     counts: np.ndarray
@@ -48,6 +58,7 @@ class SuffixTree:
     discount: float
     levels: list[Level] = field(default_factory=list)
     depth: int = 0
+    gains: list[float] = field(default_factory=list)
     passing: np.ndarray | None = None
     grams: DataFrame | None = None
 
@@ -63,32 +74,32 @@ class SuffixTree:
 
 def _tokens(texts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, an end after each, and the number of tokens of each text."""
-    words: list[bytes] = []
-    sizes = []
+    parts, sizes = [], []
     for t in texts:
-        own = t.lower().split()
-        words += own
-        words.append(b"")
+        own = hash_words(t.lower().split())
+        own[own == END] ^= np.uint64(2)
+        parts += [own, _ENDS]
         sizes.append(len(own) + 1)
-    h = hash_words(words)
-    ends = np.cumsum(sizes) - 1
-    h[h == END] ^= np.uint64(2)
-    h[ends] = END
-    return h, np.array(sizes, dtype=np.int64)
+    return np.concatenate(parts), np.array(sizes, dtype=np.int64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text_at: int, tokens: int = CHUNK_TOKENS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, hashes, sizes) for slices of about so many tokens (or one text)."""
+def _chunks(
+    batches: Iterator[pa.RecordBatch], text_at: int, tokens: int = CHUNK_TOKENS
+) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(first column, hashes, sizes) for about so many tokens of one or more batches, or for one text."""
+    firsts, texts, held = [], [], 0
     for batch in batches:
-        texts, start, held = [], 0, 0
+        start = 0
         for k, t in enumerate(batch.column(text_at).cast(pa.large_binary())):
             texts.append(t.as_py() or b"")
             held += len(texts[-1]) // 6 + 1
             if held >= tokens:
-                yield batch.slice(start, len(texts)), *_tokens(texts)
-                texts, start, held = [], k + 1, 0
-        if texts:
-            yield batch.slice(start, len(texts)), *_tokens(texts)
+                firsts.append(batch.column(0).slice(start, k + 1 - start))
+                yield pa.concat_arrays(firsts), *_tokens(texts)
+                firsts, texts, held, start = [], [], 0, k + 1
+        firsts.append(batch.column(0).slice(start) if text_at else batch.column(0).slice(0, 0))
+    if texts:
+        yield pa.concat_arrays(firsts), *_tokens(texts)
 
 
 def _index(h: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -132,10 +143,10 @@ def _slots(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return ((m >> np.uint64(18)) % np.uint64(size)).astype(np.int64), bits
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """Bloom filter of a table of keys, as 64-bit words. Spark sets the bits; 16 MB come to the driver at most, and
-    beyond some ten million keys the filter lets more and more others pass, which costs time only."""
-    size = 1 << min(21, max(4, keys.count().bit_length()))
+def _filter(keys: DataFrame, n: int) -> np.ndarray:
+    """Bloom filter of a table of about n keys, as 64-bit words. Spark sets the bits; 16 MB come to the driver at most,
+    and beyond some ten million keys the filter lets more and more others pass, which costs time only."""
+    size = 1 << min(21, max(4, n.bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,22 +177,98 @@ def _conditional(tree: SuffixTree, index: np.ndarray, states: list[np.ndarray])
     return a, b
 
 
+def _counted(
+    texts: DataFrame, tree: SuffixTree, length: int, candidates: np.ndarray | None, n_buckets: int, least_context: int, least_next: int
+) -> DataFrame:
+    """(ctx, below, n, size, gram, c): how often each next word follows each context of `length` words, from least_next
+    times and for contexts from least_context times on; the count of a common word.
+
+    A chunk's pairs go packed to ranges of contexts, where each context's differ little from one another; those of
+    the most frequent words are dealt out further by the next word.
+    """
+    width, most = bucket_width(n_buckets), tree.words[tree.counts > HOT_SHARE * tree.tokens]
+    shared = texts.sparkSession.sparkContext.broadcast((tree.words, tree.counts, most, candidates))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, _, most, candidates = shared.value
+        packer = zstandard.ZstdCompressor(level=1)
+        for _, h, sizes in _chunks(batches, 0):
+            shorter = np.zeros_like(h)
+            for at, (place, ctx, _, below) in enumerate(_grams(h, sizes, length), start=1):
+                if at < length:
+                    shorter[place] = ctx  # the context of this length before a token
+                    continue
+                if candidates is not None:
+                    some = _passes(ctx.view(np.int64), candidates) & _passes((shorter[place] ^ np.uint64(CONTEXT)).view(np.int64), candidates)
+                    ctx, below = ctx[some], below[some]
+                bucket = (mixed(ctx) // width).astype(np.int64)
+                if length == 1:
+                    often = _index(ctx, most) >= 0
+                    bucket[often] += n_buckets * (1 + (below[often] % np.uint64(HOT_PARTS)).astype(np.int64))
+                    known = _index(below, words)
+                    below = np.where(known >= 0, known.astype(np.uint64), below)
+                order = np.lexsort((below, ctx, bucket))
+                bucket, ctx, below = bucket[order], ctx[order], below[order]
+                first = np.flatnonzero(_first(ctx, below))
+                n = np.diff(np.r_[first, len(ctx)]).astype(np.uint32)
+                for some, bodies in pack_buckets(bucket[first], [ctx[first], below[first], n], packer):
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(bodies, pa.binary())], ["bucket", "body"])
+
+    def tally(table: pa.Table) -> pa.Table:
+        words, counts, _, _ = shared.value
+        ctx, below, n = unpack_bodies(table.column("body"), ["u8", "u8", "u4"])
+        order = np.lexsort((below, ctx))
+        ctx, below, n = ctx[order], below[order], n[order].astype(np.int64)
+        first = np.flatnonzero(_first(ctx, below))
+        n = np.add.reduceat(n, first) if len(first) else n
+        ctx, below = ctx[first], below[first]
+        runs = np.flatnonzero(_first(ctx))
+        size = np.repeat(np.add.reduceat(n, runs), np.diff(np.r_[runs, len(ctx)])) if len(runs) else n
+        if length == 1:
+            known = _index(ctx, words)
+            size = np.where(known >= 0, counts[np.maximum(known, 0)], size) if len(counts) else size
+        some = (n >= least_next) & (size >= least_context)
+        ctx, below, n, size = ctx[some], below[some], n[some], size[some]
+        c = pa.nulls(len(n), pa.int64())
+        if length == 1 and len(words):
+            known = below < len(words)
+            at = np.where(known, below, 0).astype(np.int64)
+            below, c = np.where(known, words[at], below), pa.array(counts[at], mask=~known)
+        names = ["ctx", "below", "n", "size", "gram", "c"]
+        keys = [pa.array(x.view(np.int64)) for x in (ctx, below)]
+        return pa.table([*keys, pa.array(n), pa.array(size), pa.array(_combined(ctx, below).view(np.int64)), c], names)
+
+    packed = texts.mapInArrow(count, "bucket long, body binary")
+    return packed.groupBy("bucket").applyInArrow(tally, "ctx long, below long, n long, size long, gram long, c long")
+
+
+def _first(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys change."""
+    n = len(keys[0])
+    return np.r_[n > 0, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])][:n]
+
+
 def train(
     docs: DataFrame,
-    depth: int = 3,
-    common_share: float = 3e-6,
-    least_context: int = 4,
-    least_next: int = 2,
+    max_depth: int | None = None,
+    common_share: float = 1e-6,
+    least_context: int = 24,
+    least_next: int = 6,
     divergence: float = 0.02,
+    min_depth: int = 3,
+    least_gain: float = 0.1,
     text_col: str = "text",
 ) -> tuple[SuffixTree, DataFrame]:
     """The tree, and the table (word, c) of all distinct tokens' counts, which stays in Spark.
 
-    Contexts up to `depth` words: a context is a candidate when it occurs least_context times; a next word gets its own
-    probability there when it is seen least_next times. A context is retained when the divergence of its next-word
-    distribution from that of its longest retained suffix (own words one by one, all others together) is `divergence`
-    nats or more and not within chance. Its words' counts are discounted by a half; the mass left goes to the suffix.
-    No bound depends on the number of tokens, so the tree grows with the corpus.
+    A context of any number of words is a candidate when it occurs least_context times and its suffix, one word less, is
+    not always followed by the same word; a next word gets its own probability there when it is seen least_next times. A
+    context is retained when the divergence of its next-word distribution from that of its longest retained suffix (own
+    words one by one, all others together) is `divergence` nats or more and not within chance. Its words' counts are
+    discounted by a half; the mass left goes to the suffix. Contexts of min_depth words are always looked for;
+    longer ones as long as those of the last length gain least_gain nats for each training token (count times divergence,
+    over all of them; among many near copies chance retains some at any length), or up to max_depth words. No bound on a
+    context depends on the number of tokens, so the tree grows with the corpus.
     """
     texts = docs.select(F.col(text_col).alias("text"))
     spark = docs.sparkSession
@@ -202,76 +289,63 @@ def train(
     common = vocabulary.where(F.col("c") >= often).toPandas()
     hashes = common["word"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    tree = SuffixTree(hashes[order], common["c"].to_numpy(dtype=np.int64)[order], n, v, discount, depth=depth)
+    tree = SuffixTree(hashes[order], common["c"].to_numpy(dtype=np.int64)[order], n, v, discount)
     width = max(1, len(tree.words))
     root = (F.col("c") - F.lit(discount)) / F.lit(float(max(1, n)))
-    contexts = vocabulary.where(F.col("c") >= least_context).select(F.col("word").alias("ctx"), F.col("c").alias("size"))
-    lower, grams = None, []
-    for length in range(1, depth + 1):
-        shared = spark.sparkContext.broadcast((tree.words, tree.counts, _filter(contexts.select("ctx"))))
-
-        def count_next(batches: Iterator[pa.RecordBatch], length: int = length, shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for _, h, sizes in _chunks(batches, 0):
-                for at, (_, ctx, both, below) in enumerate(_grams(h, sizes, length), start=1):
-                    if at < length:
-                        continue
-                    some = _passes(ctx.view(np.int64), shared.value[2])
-                    ctx, both, below = ctx[some], both[some], below[some]
-                    _, first, n = np.unique(both, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ctx[first].view(np.int64)), pa.array(below[first].view(np.int64)), pa.array(n)], ["ctx", "below", "n"]
-                    )
-
-        def keyed(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            words, counts, _ = shared.value
-            for batch in batches:
-                ctx, below = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-                at = _index(below, words)
-                c = pa.array(counts[at] if len(counts) else at, mask=at < 0)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(_combined(ctx, below).view(np.int64)), c], ["ctx", "below", "n", "gram", "c"]
-                )
-
-        counted = texts.mapInArrow(count_next, "ctx long, below long, n long").groupBy("ctx", "below").agg(F.sum("n").alias("n"))
-        pairs = written(
-            counted.where(F.col("n") >= least_next).mapInArrow(keyed, "ctx long, below long, n long, gram long, c long"), "lm-pairs"
-        )
+    n_buckets = bucket_count(texts)
+    candidates, lower, grams, n_grams = None, None, [], 0
+    while max_depth is None or tree.depth < max_depth:
+        length = tree.depth + 1
+        pairs = _counted(texts, tree, length, candidates, n_buckets, least_context, least_next)
         if lower is None:
             # common words bring their counts along; each of the others is a small share of all rows
+            pairs = written(pairs, "lm-pairs")
             rare = pairs.where("c is null").drop("c").join(vocabulary.withColumnRenamed("word", "below"), "below")
             rows = pairs.where("c is not null").unionByName(rare).withColumn("q", root).withColumn("word", F.col("below"))
         else:
             rows = pairs.join(lower, "below")
-        rows = written(rows.join(contexts, "ctx").select("ctx", "gram", "word", "n", "size", "q"), "lm-rows")
-        discard(pairs)
-        p, own = F.col("n") / F.col("size"), F.col("own")
-        said = rows.groupBy("ctx", "size").agg(
-            F.count(F.lit(1)).alias("own"), F.sum("n").alias("seen"), F.sum("q").alias("q"), F.sum(p * F.log(p / F.col("q"))).alias("d")
+        in_context = Window.partitionBy("ctx")
+        own, seen = F.count(F.lit(1)).over(in_context), F.sum("n").over(in_context)
+        p, q = F.col("n") / F.col("size"), F.sum("q").over(in_context)
+        left = F.greatest(1 - seen / F.col("size"), F.lit(0.0))
+        others = F.when(left > 1e-12, left * F.log(F.greatest(left, F.lit(1e-300)) / (1 - F.least(q, F.lit(1 - 1e-12))))).otherwise(0.0)
+        rows = rows.select("ctx", "gram", "word", "n", "size", "q").withColumns(
+            {
+                "own": own,
+                "d": F.sum(p * F.log(p / F.col("q"))).over(in_context) + others,
+                "open": (own > 1) | (seen < F.col("size")),
+                "rest": 1 - (seen - 0.5 * own) / F.col("size"),
+                "one": F.min("gram").over(in_context) == F.col("gram"),
+            }
         )
-        left = F.greatest(1 - F.col("seen") / F.col("size"), F.lit(0.0))
-        others = F.when(left > 1e-12, left * F.log(F.greatest(left, F.lit(1e-300)) / (1 - F.least("q", F.lit(1 - 1e-12))))).otherwise(0.0)
-        said = said.withColumn("d", F.col("d") + others)
-        kept = said.where(
-            (F.col("d") >= divergence) & (2 * F.col("size") * F.col("d") >= own + 4 * F.sqrt(2 * own + 1))
-        ).select("ctx", "size", (1 - (F.col("seen") - 0.5 * own) / F.col("size")).alias("rest"))
-        kept = written(kept, "lm-contexts")
+        own = F.col("own")
+        retained = (F.col("d") >= divergence) & (2 * F.col("size") * F.col("d") >= own + 4 * F.sqrt(2 * own + 1))
         mass = (F.col("n") - 0.5) / F.col("size")
-        known = F.col("rest").isNotNull()
-        found = rows.join(kept.select("ctx", "rest"), "ctx", "left").select(
-            "gram",
+        gain = F.log10(1 + mass / (F.col("rest") * F.col("q")))
+        found = rows.withColumn("retained", retained).select(
+            "ctx", "gram", "n", "size", "d", "open", "one", "retained", "rest",
             F.when(F.col("n") >= often, F.col("word")).alias("word"),
-            "n",
-            F.when(known, mass + F.col("rest") * F.col("q")).otherwise(F.col("q")).alias("p"),
-            F.when(known, F.log10(1 + mass / (F.col("rest") * F.col("q")))).alias("gain"),
-        )
-        found = written(found if length < depth else found.where("gain is not null").drop("word", "p"), "lm-grams")
+            F.when(F.col("retained"), mass + F.col("rest") * F.col("q")).otherwise(F.col("q")).alias("p"),
+            F.when(F.col("retained"), gain).alias("gain"),
+        )
+        found = written(found, "lm-grams")
+        if lower is None:
+            discard(pairs)
+        kept = found.where("retained and one")
+        longer, is_open = F.col("n") >= least_context, F.col("one") & F.col("open")
+        gained, n_next, n_kept = found.agg(
+            F.sum(F.when(F.col("retained") & F.col("one"), F.col("size") * F.col("d"))),
+            F.count_if(longer) + F.count_if(is_open),
+            F.count_if("retained") + F.count_if(F.col("retained") & F.col("one")),
+        ).first()
+        gained, n_grams = gained or 0.0, n_grams + n_kept
         grams.append(kept.select(F.col("ctx").bitwiseXOR(F.lit(CONTEXT)).alias("key"), F.log10("rest").alias("value"), F.col("size").alias("n")))
         grams.append(found.where("gain is not null").select(F.col("gram").alias("key"), F.col("gain").alias("value"), "n"))
         # the head: at most 1 / common_share contexts and next words
-        top = kept.where(F.col("size") >= often).toPandas().sort_values("ctx")
-        gain = F.log10(1 + mass / (F.col("rest") * F.col("q"))).alias("gain")
-        head = rows.where(F.col("n") >= often).join(kept.drop("size"), "ctx").select("ctx", "word", mass.alias("mass"), gain).toPandas()
-        discard(rows)
+        head = found.where("retained").where((F.col("n") >= often) | (F.col("one") & (F.col("size") >= often)))
+        head = head.select("ctx", F.coalesce("word", F.lit(0)).alias("word"), mass.alias("mass"), "gain", "rest", "one", "size", "n").toPandas()
+        top = head[head["one"] & (head["size"] >= often)].sort_values("ctx")
+        head = head[head["n"] >= often]
         keys = top["ctx"].to_numpy(np.int64)
         state = _find(head["ctx"].to_numpy(np.int64), keys)
         both = state * width + _index(head["word"].to_numpy(np.int64).view(np.uint64), tree.words)
@@ -279,13 +353,16 @@ def train(
         tree.levels.append(
             Level(keys, both[order], head["mass"].to_numpy(float)[order], top["rest"].to_numpy(float), head["gain"].to_numpy(float)[order])
         )
-        # a longer context is a pair of this length
-        contexts = found.where(F.col("n") >= least_context).select(F.col("gram").alias("ctx"), F.col("n").alias("size"))
-        if length < depth:
-            lower = found.select(F.col("gram").alias("below"), "word", F.col("p").alias("q"))
+        tree.depth, tree.gains = length, [*tree.gains, gained / max(1, n)]
+        if length >= min_depth and gained <= least_gain * n:
+            break
+        # a longer context is a pair of this length; its suffix is a context of this length that is not settled
+        keys = F.explode(F.array(F.when(longer, F.col("gram")), F.when(is_open, F.col("ctx").bitwiseXOR(F.lit(CONTEXT)))))
+        candidates = _filter(found.select(keys.alias("key")).where("key is not null"), n_next)
+        lower = found.select(F.col("gram").alias("below"), "word", F.col("p").alias("q"))
     # what is not in the head
     tree.grams = reduce(DataFrame.unionByName, grams).where(F.col("n") < often).select("key", "value")
-    tree.passing = _filter(tree.grams.select("key"))
+    tree.passing = _filter(tree.grams.select("key"), n_grams)
     return tree, vocabulary
 
 
@@ -296,90 +373,96 @@ def score(docs: DataFrame, tree: SuffixTree, vocabulary: DataFrame, id_col: str
     token by the longest retained suffix of the words before it. base_score: unigrams with add-one smoothing. The
     logarithm is a sum: that of the token's own share, then for every retained suffix that of what it leaves, and the
     gain of a word that it keeps. So common words and contexts are looked up in the worker; the others, each of which is
-    a small share of all tokens, meet the tables in one join, a row for each document and key. Null texts are empty;
+    a small share of all tokens, meet the tables by ranges of keys, packed, and go back as sums by document. Null texts are empty;
     rows that share an id are scored as one document with all their tokens (distinct ids are expected); a null id is an
     id of its own. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(replace(tree, grams=None))
+    n_buckets = bucket_count(docs, text_col, SCORE_BUCKET)
+    width, missing = bucket_width(n_buckets), math.log10(tree.unknown) if tree.unknown > 0 else -300.0
+    parts = "doc_id long, n_tokens long, n_known long, base double, log double"
+    schema = arrow_schema(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
-        width = max(1, len(tree.words))
-        for rows, h, sizes in _chunks(batches, 1, SCORE_TOKENS):
+        states = max(1, len(tree.words))
+        packer = zstandard.ZstdCompressor(level=1)
+        for ids, h, sizes in _chunks(batches, 1, SCORE_TOKENS):
+            ids, n_docs = ids.to_numpy(), len(sizes)
             index = _index(h, tree.words)
-            own = np.repeat(np.arange(len(sizes)), sizes)
+            own = np.repeat(np.arange(n_docs), sizes)
             known = index >= 0
             count = tree.counts[np.maximum(index, 0)] if len(tree.counts) else np.zeros(len(index))
-            log = np.log10(np.where(known, tree.root(count), 1.0))
-            # the rest: one row for each document and word, context or next word
+            log = np.where(known, np.log10(np.where(known, tree.root(count), 1.0)), missing)
+            # the rest: one entry for each document and word, context or next word
             rest = [(own[~known], h[~known])]
             for level, (at, ctx, both, _) in zip(tree.levels, _grams(h, sizes, tree.depth), strict=True):
                 state = _find(ctx.view(np.int64), level.keys)
                 here = state >= 0
                 log[at[here]] += np.log10(level.rest[state[here]])
-                pair = _find(np.where(here & (index[at] >= 0), state * width + index[at], -1), level.pairs)
+                pair = _find(np.where(here & (index[at] >= 0), state * states + index[at], -1), level.pairs)
                 log[at[pair >= 0]] += level.gain[pair[pair >= 0]]
-                ctx = ctx ^ np.uint64(CONTEXT)
-                for keys, absent in ((ctx, ~here), (both, pair < 0)):
+                for keys, absent in ((ctx ^ np.uint64(CONTEXT), ~here), (both, pair < 0)):
                     some = np.flatnonzero(absent)
                     some = some[_passes(keys[some].view(np.int64), tree.passing)]
                     rest.append((own[at[some]], keys[some]))
-            is_word = np.repeat(np.arange(len(rest)) == 0, [len(keys) for _, keys in rest])
-            whose, key = (np.concatenate(c) for c in zip(*rest, strict=True))
             base = np.where(known, np.log10(count + 1), 0.0)
-            n_docs = len(sizes)
-            ids = rows.column(0)
-            order = np.lexsort((is_word, key, whose))
-            key, whose, is_word = key[order], whose[order], is_word[order]
-            first = np.flatnonzero(
-                np.r_[len(key) > 0, (key[1:] != key[:-1]) | (whose[1:] != whose[:-1]) | (is_word[1:] != is_word[:-1])][: len(key)]
-            )
-            times = np.diff(np.r_[first, len(key)])
-            spread = pa.array(np.arange(n_docs) * 7919 % (1 << 31))  # no word: dealt out evenly
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids, spread, pa.array(sizes), pa.array(np.bincount(own, known, n_docs).astype(np.int64)),
-                    pa.array(np.bincount(own, base, n_docs)), pa.array(np.bincount(own, log, n_docs)), pa.nulls(n_docs, pa.int64()),
-                    pa.nulls(n_docs, pa.bool_()),
-                ],
-                ["doc_id", "key", "n_tokens", "n_known", "base", "log", "times", "is_word"],
-            )
-            if len(first):
-                none = pa.nulls(len(first), pa.int64())
+            sums = [sizes, np.bincount(own, known, n_docs).astype(np.int64), np.bincount(own, base, n_docs), np.bincount(own, log, n_docs)]
+            yield wrap(pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, *sums)], schema=schema))
+            whose, key = (np.concatenate(c) for c in zip(*rest, strict=True))
+            order = np.lexsort((whose, key))
+            key, whose = key[order], whose[order]
+            first = np.flatnonzero(_first(key, whose))
+            times = np.diff(np.r_[first, len(key)]).astype(np.uint32)
+            key, doc = key[first], ids[whose[first]]
+            for some, bodies in pack_buckets((key // width).astype(np.int32), [key, doc, times], packer):
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(whose[first])), pa.array(key[first].view(np.int64)), none, none,
-                        none.cast(pa.float64()), none.cast(pa.float64()), pa.array(times.astype(np.int64)),
-                        pa.array(is_word[first]),
-                    ],
-                    ["doc_id", "key", "n_tokens", "n_known", "base", "log", "times", "is_word"],
-                )
-
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, key long, n_tokens long, n_known long, base double, log double, times long, is_word boolean"
-    )
+                    [pa.array(some, pa.int32()), pa.array(bodies, pa.binary()), pa.nulls(len(some), pa.binary())], ["bucket", "body", "done"]
+                )
+
+    def look_up(asked: pa.Table, table: pa.Table) -> pa.Table:
+        done = [unpack_table(x.as_py()) for x in asked.column("done") if x.is_valid]
+        key, doc, times = unpack_bodies(asked.column("body"), ["u8", "i8", "u4"])
+        order = np.argsort(table.column("key").to_numpy())
+        at = _find(key.view(np.int64), table.column("key").to_numpy()[order])
+        some = np.flatnonzero(at >= 0)  # the filter also lets keys pass that are in no table
+        if len(some):
+            row = order[at[some]]
+            ids, whose = np.unique(doc[some], return_inverse=True)
+            c, value = table.column("c").to_numpy()[row], table.column("value").to_numpy()[row]
+            sums = [np.bincount(whose, times[some] * x, len(ids)) for x in (c > 0, np.log10(c + 1.0), value)]
+            found = [ids, np.zeros(len(ids), np.int64), sums[0].astype(np.int64), *sums[1:]]
+            done.append(pa.table([pa.array(x) for x in found], schema=schema))
+        return to_groups(done, schema, n_buckets)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        found = pa.concat_tables([unpack_table(x.as_py()) for x in table.column("findings")])
+        ids, whose = np.unique(found.column(0).to_numpy(), return_inverse=True)
+        sums = [np.bincount(whose, found.column(k).to_numpy(), len(ids)) for k in range(1, 5)]
+        return pa.table([pa.array(x) for x in (ids, sums[0].astype(np.int64), sums[1].astype(np.int64), *sums[2:])], schema=schema)
+
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     common = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"word": pa.array(tree.words.view(np.int64))})))
-    rare = vocabulary.join(common, "word", "left_anti").select(F.col("word").alias("key"), "c", F.lit(None).cast("double").alias("value"))
-    table = rare.unionByName(tree.grams.withColumn("c", F.lit(None).cast("long")))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    times, is_word = F.col("times"), F.col("is_word")
-    root = F.when(c > 0, F.log10((c - F.lit(tree.discount)) / F.lit(float(max(1, tree.tokens))))).otherwise(
-        F.lit(float(np.log10(tree.unknown)) if tree.unknown > 0 else -300.0)
-    )
-    # a key is that of a word or of a context or next word; the filter also lets keys pass that are in no table
-    joined = found.join(table, "key", "left").select(
-        "doc_id",
-        "n_tokens",
-        F.coalesce(F.when(is_word & (c > 0), times), F.col("n_known")).alias("n_known"),
-        F.coalesce("base", F.when(is_word, times * F.log10(c + 1)), F.lit(0.0)).alias("base"),
-        F.coalesce("log", times * F.when(is_word, root).otherwise(F.coalesce("value", F.lit(0.0)))).alias("log"),
+    gained = F.log10((F.col("c") - F.lit(tree.discount)) / F.lit(float(max(1, tree.tokens)))) - F.lit(missing)
+    rare = vocabulary.join(common, "word", "left_anti").select(F.col("word").alias("key"), F.col("c").cast("long"), gained.alias("value"))
+    table = rare.unionByName(tree.grams.withColumn("c", F.lit(0).cast("long"))).mapInArrow(
+        lambda batches: (
+            pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array((b.column(0).to_numpy().view(np.uint64) // width).astype(np.int32))], ["key", "c", "value", "bucket"]
+            )
+            for b in batches
+        ),
+        "key long, c long, value double, bucket int",
     )
+    asked = rows.mapInArrow(run, "bucket int, body binary, done binary")
+    judged = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(look_up, "group int, findings binary")
     total = F.lit(float(np.log10(tree.tokens + tree.distinct + 1)))
-    return joined.groupBy("doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"),
+    return judged.groupBy("group").applyInArrow(add_up, parts).select(
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).cast(kind).alias("doc_id"),
+        "n_tokens",
+        "n_known",
         F.lit(tree.tokens).cast("long").alias("train_tokens"),
-        (F.sum("base") - F.sum("n_tokens") * total).alias("base_score"),
-        F.sum("log").alias("score"),
+        (F.col("base") - F.col("n_tokens") * total).alias("base_score"),
+        F.col("log").alias("score"),
     )
