@@ -11,8 +11,8 @@ _TOP = 9223372036854775807
 _STEP = "100000000000000000000"
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the columns of `carry` as c0, c1, ...
 
     Texts are equal when identical without `[\\x20\\x09-\\x0D]`; the longest original (in code points), then the
     smallest id, stays. The group key is the MD5 of the normalised text together with that text, so rows only share
@@ -20,16 +20,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     both, the job stops with an error instead of merging them.
 
     Copies are counted before the shuffle; the join back has no aggregate on top, so that adaptive execution can
-    split a hot group. Null texts count as empty; rows with equal ids are one candidate and all kept or all dropped;
-    a group in which every id is null has a null keep_id and kept = false. Other columns are not read.
+    split a hot group. Null texts count as empty. Of rows that tie in length a null id comes last, and keep_id is null where
+    such a row stays. Rows of a group that agree in id and length, such as repeated rows, are all kept or all dropped.
+    Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)],
+    )
+    carried = rows.columns[2:]
     rows = rows.select(
-        "doc_id", F.length("text").alias("n_chars"), F.regexp_replace("text", SPACE_CLASS, "").alias("norm")
+        "doc_id", *carried, F.length("text").alias("n_chars"), F.regexp_replace("text", SPACE_CLASS, "").alias("norm")
     ).withColumn("content_hash", F.unhex(F.md5("norm")))
     # Longest first, then smallest id, as one number: a fixed-width buffer that hash aggregation can update in place.
     rank = F.col("n_chars").cast("decimal(12,0)") * F.lit(_STEP).cast("decimal(21,0)") + (
-        F.lit(_TOP).cast("decimal(20,0)") - F.col("doc_id").cast("decimal(20,0)")
+        F.lit(_TOP).cast("decimal(20,0)") - F.coalesce("doc_id", F.lit(_TOP)).cast("decimal(20,0)")
     )
     groups = (
         rows.groupBy("content_hash", "norm")
@@ -43,16 +49,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share MD5 and SHA-256")).cast("long"))
             .otherwise(F.col("size"))
             .alias("group_size"),
-            (F.lit(_TOP).cast("decimal(20,0)") - F.col("best") % F.lit(_STEP).cast("decimal(21,0)"))
-            .cast("long")
-            .alias("keep_id"),
+            "best",
+            F.nullif((F.lit(_TOP).cast("decimal(20,0)") - F.col("best") % F.lit(_STEP).cast("decimal(21,0)")).cast("long"), F.lit(_TOP)).alias(
+                "keep_id"
+            ),
         )
     )
-    keyed = rows.select("doc_id", "content_hash", F.sha2("norm", 256).alias("text_sha256"))
+    keyed = rows.select("doc_id", *carried, "content_hash", F.sha2("norm", 256).alias("text_sha256"), rank.alias("rank"))
     return keyed.join(groups, ["content_hash", "text_sha256"]).select(
         "doc_id",
         "keep_id",
         "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        (F.col("rank") == F.col("best")).alias("kept"),
         "text_sha256",
+        *carried,
     )
