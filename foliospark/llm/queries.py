@@ -32,7 +32,7 @@ def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup(documents(spark, sf_dir), run=3)
+    found = line_dedup(documents(spark, sf_dir), run=3, words=20)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -80,10 +80,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-w AS (SELECT doc_id, i, lines[i] || chr(10) || lines[i+1] || chr(10) || lines[i+2] AS win
-      FROM l, unnest(range(1, len(lines) - 1)) AS r(i)),
-f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM w),
-d AS (SELECT DISTINCT doc_id, i + j AS line FROM f, range(0, 3) AS s(j) WHERE k > 1),
+t AS (SELECT doc_id, lines, list_transform(lines, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS n FROM l),
+w AS (SELECT doc_id, lines, i, CASE WHEN n[i] >= 20 THEN 1 WHEN n[i] + n[i+1] >= 20 THEN 2 ELSE 3 END AS size
+      FROM t, unnest(range(1, len(lines) + 1)) AS r(i)),
+f AS (SELECT doc_id, i, size, row_number() OVER (PARTITION BY size, array_to_string(lines[i:i+size-1], chr(10)) ORDER BY doc_id, i) AS k
+      FROM w WHERE i + size - 1 <= len(lines)),
+d AS (SELECT DISTINCT doc_id, i + j AS line FROM f, range(0, 3) AS s(j) WHERE k > 1 AND j < size),
 g AS (SELECT doc_id, list(line) AS gone FROM d GROUP BY doc_id)
 SELECT l.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
        sha256(coalesce(CASE WHEN gone IS NULL THEN text ELSE array_to_string(
@@ -91,6 +93,35 @@ SELECT l.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(gone),
 FROM l LEFT JOIN g USING (doc_id)
 """
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i+4], ' ') AS shingle
+      FROM w, unnest(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1)) AS r(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+both AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(doc_id, low) AS (SELECT a, least(a, min(b)) FROM both GROUP BY a
+                       UNION SELECT b, low FROM reach JOIN both ON a = reach.doc_id WHERE low < b),
+c AS (SELECT doc_id, min(low) AS low FROM reach GROUP BY doc_id),
+k AS (SELECT a AS doc_id, count(*) AS links FROM both GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(c.low, d.doc_id), d.doc_id) AS component_id,
+       coalesce(k.links, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(words[i:i+19], ' ') ORDER BY doc_id, i) AS k
+      FROM w, unnest(range(1, len(words) - 18)) AS r(i)),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS gone FROM p WHERE k > 1 GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE
+         list_transform(list_filter(range(1, len(words) + 1), lambda x: NOT list_contains(gone, x)), lambda x: words[x]) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
 OP10_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars,
              sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
@@ -105,4 +136,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_ngram_join": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op10_exact_dedup": OP10_SQL}

@@ -55,15 +55,18 @@ def exact(table):
     return {i: (best[norm[i]], len(groups[norm[i]]), best[norm[i]] == i, hashlib.sha256(norm[i].encode()).hexdigest()) for i, _ in table}
 
 
-def lines(table, run):
+def lines(table, run, least):
     seen, out = set(), {}
     for i, t in sorted(table):
-        own = (t or "").split("\n") if t is not None else []
+        own = t.split("\n") if t is not None else []
         gone = set()
-        for k in range(len(own) - run + 1):
-            key = tuple(own[k : k + run])
+        for k in range(len(own)):
+            size = next((s for s in range(1, run) if k + s <= len(own) and sum(len(words(x)) for x in own[k : k + s]) >= least), run)
+            key = tuple(own[k : k + size])
+            if len(key) < size:
+                continue
             if key in seen:
-                gone.update(range(k, k + run))
+                gone.update(range(k, k + size))
             seen.add(key)
         kept = None if t is None else "\n".join(x for k, x in enumerate(own) if k not in gone)
         out[i] = (kept, len(own), len(gone))
@@ -121,3 +124,61 @@ def unigrams(table, held_out):
 
 def fold(i, m):
     return zlib.crc32(str(i).encode()) % m
+
+
+def tree_scores(training, asked, least_context=24, least_next=6, divergence=0.02, min_depth=3, least_gain=0.1):
+    """A probabilistic suffix tree in plain dictionaries, contexts as tuples of words; log10 scores of the asked texts, and
+    the lengths of the retained contexts."""
+    cut = lambda t: [*words((t or "").translate(LOWER)), None]
+    texts = [cut(t) for t in training]
+    count = collections.Counter(x for own in texts for x in own)
+    n, v = sum(count.values()), len(count)
+    ones, twos = (sum(c == k for c in count.values()) for k in (1, 2))
+    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+    unknown = discount * v / n
+    root = lambda x: (count[x] - discount) / n if x in count else unknown
+    rest, mass, settled = {}, {}, {(): False}
+
+    def p(x, context):
+        """By the longest retained suffix of a context."""
+        if not context:
+            return root(x)
+        below = p(x, context[1:])
+        return mass.get((context, x), 0.0) + rest[context] * below if context in rest else below
+
+    size = {(x,): c for x, c in count.items()}
+    length = 0
+    while True:
+        length += 1
+        following = collections.defaultdict(collections.Counter)
+        for own in texts:
+            for k in range(length, len(own)):
+                following[tuple(own[k - length : k])][own[k]] += 1
+        gained, retained, longer = 0.0, {}, {}
+        for context, after in following.items():
+            if size.get(context, 0) < least_context or settled.get(context[1:], True):
+                continue
+            own = {x: c for x, c in after.items() if c >= least_next}
+            if not own:
+                continue
+            c, seen = size[context], sum(own.values())
+            settled[context] = len(own) == 1 and seen == c
+            q = {x: p(x, context[1:]) for x in own}
+            d = sum(k / c * math.log(k / c / q[x]) for x, k in own.items())
+            if seen < c:
+                d += (1 - seen / c) * math.log((1 - seen / c) / (1 - sum(q.values())))
+            if d >= divergence and 2 * c * d >= len(own) + 4 * math.sqrt(2 * len(own) + 1):
+                gained += c * d
+                retained[context] = (1 - (seen - 0.5 * len(own)) / c, {x: (k - 0.5) / c for x, k in own.items()})
+            longer |= {(*context, x): k for x, k in own.items()}
+        for context, (left, masses) in retained.items():
+            rest[context] = left
+            mass |= {(context, x): m for x, m in masses.items()}
+        size = longer
+        if length >= min_depth and gained <= least_gain * n:
+            break
+    scores = {}
+    for i, t in asked:
+        own = cut(t)
+        scores[i] = sum(math.log10(p(x, tuple(own[max(0, k - length) : k]))) for k, x in enumerate(own))
+    return scores, {len(c) for c in rest}

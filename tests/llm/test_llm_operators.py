@@ -21,12 +21,23 @@ from foliospark.llm.kd_shards import kd_shards
 from foliospark.llm.line_dedup import line_dedup
 from foliospark.llm.ngram_join import block_product, ngram_join
 from foliospark.llm.packing import pack
-from foliospark.llm.queries import tokenizer
+from foliospark.llm.queries import oracle_sql, queries, tokenizer
 from foliospark.llm.sentence_pieces import PieceCodec, encode_pieces, piece_digests
 from foliospark.llm.substring_dedup import kept_digests, substring_dedup, window_hashes
 from foliospark.session import ship
 
 
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    got, want = queries()[name](spark, sf_dir), con.sql(oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(tuple(r) for r in got.select(want.columns).collect()) == Counter(want.fetchall())
+
+
 @pytest.fixture(scope="module", autouse=True)
 def shipped(spark):
     ship(spark)
@@ -42,9 +53,25 @@ def test_exact_dedup(spark):
 
 
 def test_line_dedup(spark):
-    got = {r[0]: tuple(r)[1:] for r in line_dedup(X.docs(spark), run=3).collect()}
-    assert got == X.lines(table(), 3)
-    assert sum(v[2] for v in got.values()) > 0
+    for run, least in ((3, 20), (3, 1000), (2, 4), (4, 6), (1, 1000)):
+        got = {r[0]: tuple(r)[1:] for r in line_dedup(X.docs(spark), run=run, words=least).collect()}
+        assert got == X.lines(table(), run, least), (run, least)
+        assert sum(v[2] for v in got.values()) > 0
+
+
+def test_line_dedup_on_repeated_rows(spark):
+    some = [r for r in X.awkward(spark).collect() if r[0] is not None]
+    got = line_dedup(X.awkward(spark)).where("doc_id is not null").collect()
+    assert Counter(tuple(r) for r in got) == Counter((r[0], *X.lines(table(), 3, 20)[r[0]]) for r in some)
+
+
+def test_line_dedup_takes_time_in_proportion_to_lines(spark):
+    """A text of many lines, half of them in runs that occurred before: 200,000 lines take seconds."""
+    own = [f"line {k} {k * k % 91}" for k in range(100_000)]
+    text = "\n".join([x for k in range(0, 100_000, 10) for x in (*own[k : k + 10], f"gap {k}", *own[k : k + 10], f"other {k}")])
+    r = line_dedup(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r["n_lines"], r["n_removed"]) == (220_000, 100_000)
+    assert r["kept_text"] == "\n".join([x for k in range(0, 100_000, 10) for x in (*own[k : k + 10], f"gap {k}", f"other {k}")])
 
 
 def test_ngram_join(spark):
@@ -99,13 +126,52 @@ def test_substring_dedup(spark):
 def test_window_hashes_differ_exactly_with_words():
     for size in (1, 3, 20):
         own = [f"w{k % 30}" for k in range(90)]
-        h = window_hashes(" ".join(own).encode(), size)
+        both = window_hashes(" ".join(own).encode(), size)
+        assert both.shape == (2, len(own) - size + 1) and not (both[0] == both[1]).any()
+        h = [tuple(x) for x in both.T.tolist()]
         keys = [tuple(own[k : k + size]) for k in range(len(own) - size + 1)]
         assert len(h) == len(keys)
-        assert len(set(h.tolist())) == len(set(keys))
+        assert len(set(h)) == len(set(keys))
         assert all((a == b) == (x == y) for a, x in zip(h, keys, strict=True) for b, y in zip(h, keys, strict=True))
 
 
+def test_substring_dedup_carries_columns(spark):
+    docs = X.awkward(spark).withColumnsRenamed({"length": "kept_text", "component": "n_removed"})
+    got = substring_dedup(docs, carry=("kept_text", "n_removed", "text")).collect()
+    assert Counter((r["doc_id"], r["c2"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    assert {(r["c0"], r["c1"]) for r in got} <= {("clash", "clash"), (None, None)}
+
+
+def test_exchange_keeps_keys_apart_that_agree_in_one_hash(spark):
+    """Keys of two hashes, all of which share the first one: found equal by both only."""
+    import pyarrow as pa
+
+    from foliospark.llm.packed import exchange
+
+    def hashes(text):
+        own = np.array([int(x) for x in text.split()], dtype=np.uint64)
+        return np.stack([np.full_like(own, 7), own])
+
+    def rows(new, doc):
+        return [pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.ones(len(doc), np.int64))], ["doc_id", "n"])] if len(doc) else []
+
+    def local(new, doc, place):
+        return new, rows(new[~new], doc[~new])
+
+    def judge(new, doc, place):
+        return rows(new[~new], doc[~new])
+
+    def combine(found):
+        ids, n = np.unique(found.column(0).to_numpy(), return_counts=True)
+        return pa.table({"doc_id": ids, "n": n})
+
+    docs = spark.createDataFrame([(3, "1 2 3"), (1, "9 1 9"), (2, "3 2 8"), (4, "5")], "doc_id long, text string").repartition(2)
+    schema = "doc_id long, n long"
+    got = exchange(docs, 5, hashes, local, judge, schema, combine, schema).collect()
+    # of two equal keys the later one counts, by chunk first: 9 in document 1; 1, 2 and 3 of two documents each
+    assert sum(r["n"] for r in got) == 4
+
+
 def test_pieces_match_the_library(spark):
     import sentencepiece
 
@@ -231,6 +297,22 @@ def test_suffix_tree_base_and_held_out(spark, sf_dir):
     assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
 
 
+def test_suffix_tree_scores(spark, sf_dir):
+    """Scores of all documents equal those of a tree of plain dictionaries, with contexts of several lengths."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    table = [tuple(r) for r in docs.collect()]
+    want, lengths = X.tree_scores([t for i, t in table if X.fold(i, 7) != 2], table)
+    assert max(lengths) >= 3
+    got = suffix_tree.score(docs, *suffix_tree.train(docs.where(fold(F.col("doc_id"), 7) != 2))).collect()
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, rel=1e-9)
+
+
+def test_suffix_tree_scores_awkward_rows(spark):
+    docs = X.docs(spark)
+    want, _ = X.tree_scores([t for i, t in table()], table())
+    assert {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, *suffix_tree.train(docs)).collect()} == pytest.approx(want, rel=1e-9)
+
+
 def test_suffix_tree_is_a_distribution(spark):
     """Over every known token and the unknown one, the probabilities after each context sum to 1."""
     text = " ".join(["a b c", "a b d", "x y", "z a b c"] * 50)
@@ -318,6 +400,17 @@ def test_repeated_rows_and_null_ids(spark):
             assert len(rows) == n, name
 
 
+def test_ngram_join_on_repeated_rows(spark):
+    """Repeated rows, in one partition and in several, give what single ones give."""
+    some = X.rows()
+    want = X.links([(r[0], r[1]) for r in some])
+    for parts in (1, 5):
+        docs = spark.createDataFrame([*some, *some[:12], some[0]], X.SCHEMA).repartition(parts)
+        got = ngram_join(docs).collect()
+        assert len(got) == len(some) + 13
+        assert {r[0]: tuple(r)[1:] for r in got} == want
+
+
 def test_suffix_tree_keeps_contexts_at_any_size(spark):
     """A context is retained by its own count, however large the rest of the corpus, and also beyond two words."""
     phrase = "red green blue gold"
