@@ -101,11 +101,11 @@ s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i+4], ' ') AS shingle
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
-both AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-reach(doc_id, low) AS (SELECT a, least(a, min(b)) FROM both GROUP BY a
-                       UNION SELECT b, low FROM reach JOIN both ON a = reach.doc_id WHERE low < b),
+pairs AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(doc_id, low) AS (SELECT a, least(a, min(b)) FROM pairs GROUP BY a
+                       UNION SELECT b, low FROM reach JOIN pairs ON a = reach.doc_id WHERE low < b),
 c AS (SELECT doc_id, min(low) AS low FROM reach GROUP BY doc_id),
-k AS (SELECT a AS doc_id, count(*) AS links FROM both GROUP BY a)
+k AS (SELECT a AS doc_id, count(*) AS links FROM pairs GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(c.low, d.doc_id), d.doc_id) AS component_id,
        coalesce(k.links, 0)::BIGINT AS n_links
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
