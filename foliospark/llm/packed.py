@@ -101,8 +101,8 @@ def exchange(
 ) -> DataFrame:
     """docs: (doc_id long, text). Returns what combine() makes of each document's findings, a row a document.
 
-    hashes_of(text) gives a document's keys in order of their places 0, 1, ...: a row of hashes (uint64, spread evenly)
-    or more, independent ones, that together make up the key. local(new, doc_id, place), of a chunk sorted by key,
+    hashes_of(text) gives a document's keys in order of their places 0, 1, ...: a row of hashes (uint64, spread evenly),
+    and maybe rows of independent ones below 2**16, that together make up the key. local(new, doc_id, place), of a chunk sorted by key,
     doc_id and place, in which new marks the first entry of each key, gives (rows to send as a mask, batches of findings
     to return at once). judge(new, doc_id, place) gets a bucket in the same order and gives such batches, of the schema
     `parts`, whose first column is doc_id. Findings go back packed as well, one row from each bucket to each group of
@@ -128,7 +128,7 @@ def exchange(
                 yield wrap(b)
             keys, doc, place = np.compress(mask, keys, axis=1), doc[mask], place[mask]
             bucket = (keys[0] // width).astype(np.int32)
-            for some, bodies in pack_buckets(bucket, [*keys, doc, place], packer):
+            for some, bodies in pack_buckets(bucket, [keys[0], *keys[1:].astype(np.uint16), doc, place], packer):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some, pa.int32()), pa.array(bodies, pa.binary()), pa.nulls(len(some), pa.binary())], ["bucket", "body", "done"]
                 )
@@ -149,9 +149,9 @@ def exchange(
 
     def reduce(table: pa.Table) -> pa.Table:
         done = [unpack_table(x.as_py()) for x in table.column("done") if x.is_valid]
-        *keys, doc, place = unpack_bodies(table.column("body"), ["u8"] * n_keys + ["i8", "u4"])
+        *keys, doc, place = unpack_bodies(table.column("body"), ["u8"] + ["u2"] * (n_keys - 1) + ["i8", "u4"])
         if len(doc):
-            order, new = _in_order(np.stack(keys), doc, place, dealt=False)
+            order, new = _in_order(np.stack([k.astype(np.uint64) for k in keys]), doc, place, dealt=False)
             done += [pa.Table.from_batches([b]) for b in judge(new, doc[order], place[order])]
         return to_groups(done, parts_schema, n_buckets)
 
