@@ -35,9 +35,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Slots of the hashed n-gram table and lengths of the n-grams, in code points with word bounds.
 SLOTS, GRAMS = 1 << 16, (1, 2, 3, 4)
 #: Entries of a worker's word memory; it is emptied when full, which costs time only.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 250_000
 #: Words whose Viterbi lattices are worked on at once.
-LATTICE_WORDS = 1_000_000
+LATTICE_WORDS = 200_000
 
 
 def script_of(word: str) -> int:
