@@ -36,11 +36,17 @@ def phrase_hits(lines: DataFrame, phrases: DataFrame, words: int, text: str = "t
 
     Every run of `words` words of a line meets the phrases in an equi-join; phrases with no hit drop out.
     """
-    own = F.split(F.lower(F.col(text)), " ")
-    grams = F.when(
-        F.size(own) >= words, F.transform(F.sequence(F.lit(1), F.size(own) - (words - 1)), lambda i: F.array_join(F.slice(own, i, F.lit(words)), " "))
-    )
-    exploded = lines.select(*[c for c in lines.columns if c != text], F.posexplode(grams).alias("word", "needle"))
+    kept = [c for c in lines.columns if c != text]
+
+    def grams(own: Column) -> Column:
+        # the lambda's variable holds the words, so that a line is split once and not again for every run
+        runs = F.transform(F.sequence(F.lit(1), F.size(own) - (words - 1)), lambda i: F.array_join(F.slice(own, i, F.lit(words)), " "))
+        return F.when(F.size(own) >= words, runs)
+
+    # lines are dealt out first: a table of few row groups would be cut up in few tasks
+    dealt = lines.repartition(*[F.col(c) for c in kept]) if kept else lines
+    runs = F.element_at(F.transform(F.array(F.split(F.lower(F.col(text)), " ")), grams), 1)
+    exploded = dealt.select(*kept, F.posexplode(runs).alias("word", "needle"))
     return exploded.join(phrases, "needle")
 
 
