@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import mixed, shuffle_partitions
 
 #: Words of a chunk: bounds the memory of a map task (about 80 bytes a word).
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 500_000
 #: Hashes a bucket should hold: bounds the memory of a reduce task (about 120 bytes a hash).
-BUCKET_HASHES = 800_000
+BUCKET_HASHES = 400_000
 
 
 def _planes(x: np.ndarray) -> list[bytes]:
@@ -144,6 +144,7 @@ def exchange(
                 if held >= CHUNK_WORDS:
                     yield from flush()
                     ids, parts, held = [], [], 0
+                    pa.default_memory_pool().release_unused()
         if parts:
             yield from flush()
 
@@ -153,6 +154,7 @@ def exchange(
         if len(doc):
             order, new = _in_order(np.stack([k.astype(np.uint64) for k in keys]), doc, place, dealt=False)
             done += [pa.Table.from_batches([b]) for b in judge(new, doc[order], place[order])]
+        pa.default_memory_pool().release_unused()
         return to_groups(done, parts_schema, n_buckets)
 
     def gather(table: pa.Table) -> pa.Table:
