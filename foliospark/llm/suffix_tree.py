@@ -23,10 +23,12 @@ _ENDS = np.array([END])
 NO_ID = -(1 << 63)
 #: Tells the key of a context from that of the same words as a shorter context and its next word.
 CONTEXT = 0x2545F4914F6CDD1D
+#: Tells, in a filter, words that may come last from those that may be a context.
+LAST = 0x5851F42D4C957F2D
 #: Tokens that a task works on at once: some 200 bytes each, in scoring 600, where a token has several keys.
 CHUNK_TOKENS = 1_000_000
 SCORE_TOKENS = 250_000
-#: Tokens a range of keys should have in scoring: few ranges, so that each sums up several keys of a document.
+#: Tokens a range of keys should have where entries are short, and in scoring, where each range sums up a document's keys.
 SCORE_BUCKET = 2_500_000
 #: A word that makes up more than this share of all tokens is counted as a context in so many parts.
 HOT_SHARE, HOT_PARTS = 1 / 200, 8
@@ -177,14 +179,43 @@ def _conditional(tree: SuffixTree, index: np.ndarray, states: list[np.ndarray])
     return a, b
 
 
-def _counted(
-    texts: DataFrame, tree: SuffixTree, length: int, candidates: np.ndarray | None, n_buckets: int, least_context: int, least_next: int
-) -> DataFrame:
+def _marks(texts: DataFrame, n_buckets: int, shift: int, least_pair: int) -> DataFrame:
+    """(pair, key, c): the counts of all distinct tokens and, where pair, those of the marks of two words in sequence
+    that are seen least_pair times or more. A mark is a pair's hash without its lowest `shift` bits."""
+    width = bucket_width(n_buckets)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for _, h, sizes in _chunks(batches, 0):
+            _, _, both, _ = next(_grams(h, sizes, 1))
+            for pair, low, keys in ((0, 0, h), (1, shift, both >> np.uint64(shift))):
+                keys, n = np.unique(keys, return_counts=True)
+                bucket = 2 * ((keys << np.uint64(low)) // width).astype(np.int64) + pair
+                for some, bodies in pack_buckets(bucket, [keys, n.astype(np.uint32)], packer):
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(bodies, pa.binary())], ["bucket", "body"])
+
+    def tally(table: pa.Table) -> pa.Table:
+        pair = bool(table.column("bucket")[0].as_py() % 2)
+        keys, n = unpack_bodies(table.column("body"), ["u8", "u4"])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(_first(keys))
+        c = np.add.reduceat(n[order], first, dtype=np.int64)
+        some = c >= (least_pair if pair else 1)
+        keys, c = keys[first][some], c[some]
+        return pa.table([pa.array(np.full(len(c), pair)), pa.array(keys.view(np.int64)), pa.array(c)], ["pair", "key", "c"])
+
+    return texts.mapInArrow(count, "bucket long, body binary").groupBy("bucket").applyInArrow(tally, "pair boolean, key long, c long")
+
+
+def _counted(texts: DataFrame, tree: SuffixTree, length: int, candidates: np.ndarray, shift: int, n_buckets: int, least_next: int) -> DataFrame:
     """(ctx, below, n, size, gram, c): how often each next word follows each context of `length` words, from least_next
-    times and for contexts from least_context times on; the count of a common word.
+    times on; the counts of a common word as context and as next word.
 
-    A chunk's pairs go packed to ranges of contexts, where each context's differ little from one another; those of
-    the most frequent words are dealt out further by the next word.
+    candidates is a filter: of single words in sequence, it has the marks that are seen often enough; of longer
+    contexts, themselves, their suffixes, and what may follow the first word. A chunk's pairs go packed to ranges of
+    contexts, where each context's differ little from one another; those of the most frequent words are dealt out
+    further by the next word.
     """
     width, most = bucket_width(n_buckets), tree.words[tree.counts > HOT_SHARE * tree.tokens]
     shared = texts.sparkSession.sparkContext.broadcast((tree.words, tree.counts, most, candidates))
@@ -194,13 +225,17 @@ def _counted(
         packer = zstandard.ZstdCompressor(level=1)
         for _, h, sizes in _chunks(batches, 0):
             shorter = np.zeros_like(h)
-            for at, (place, ctx, _, below) in enumerate(_grams(h, sizes, length), start=1):
+            for at, (place, ctx, both, below) in enumerate(_grams(h, sizes, length), start=1):
                 if at < length:
                     shorter[place] = ctx  # the context of this length before a token
                     continue
-                if candidates is not None:
-                    some = _passes(ctx.view(np.int64), candidates) & _passes((shorter[place] ^ np.uint64(CONTEXT)).view(np.int64), candidates)
-                    ctx, below = ctx[some], below[some]
+                if length == 1:
+                    some = np.flatnonzero(_passes((both >> np.uint64(shift)).view(np.int64), candidates))
+                else:
+                    some = np.flatnonzero(_passes(ctx.view(np.int64), candidates))
+                    for key in (below ^ np.uint64(LAST), shorter[place] ^ np.uint64(CONTEXT)):
+                        some = some[_passes(key[some].view(np.int64), candidates)]
+                ctx, below = ctx[some], below[some]
                 bucket = (mixed(ctx) // width).astype(np.int64)
                 if length == 1:
                     often = _index(ctx, most) >= 0
@@ -218,25 +253,21 @@ def _counted(
         words, counts, _, _ = shared.value
         ctx, below, n = unpack_bodies(table.column("body"), ["u8", "u8", "u4"])
         order = np.lexsort((below, ctx))
-        ctx, below, n = ctx[order], below[order], n[order].astype(np.int64)
+        ctx, below = ctx[order], below[order]
         first = np.flatnonzero(_first(ctx, below))
-        n = np.add.reduceat(n, first) if len(first) else n
-        ctx, below = ctx[first], below[first]
-        runs = np.flatnonzero(_first(ctx))
-        size = np.repeat(np.add.reduceat(n, runs), np.diff(np.r_[runs, len(ctx)])) if len(runs) else n
-        if length == 1:
-            known = _index(ctx, words)
-            size = np.where(known >= 0, counts[np.maximum(known, 0)], size) if len(counts) else size
-        some = (n >= least_next) & (size >= least_context)
-        ctx, below, n, size = ctx[some], below[some], n[some], size[some]
-        c = pa.nulls(len(n), pa.int64())
+        n = np.add.reduceat(n[order], first, dtype=np.int64)
+        some = n >= least_next
+        ctx, below, n = ctx[first][some], below[first][some], n[some]
+        size = c = pa.nulls(len(n), pa.int64())
         if length == 1 and len(words):
+            known = _index(ctx, words)
+            size = pa.array(counts[np.maximum(known, 0)], mask=known < 0)
             known = below < len(words)
             at = np.where(known, below, 0).astype(np.int64)
             below, c = np.where(known, words[at], below), pa.array(counts[at], mask=~known)
         names = ["ctx", "below", "n", "size", "gram", "c"]
         keys = [pa.array(x.view(np.int64)) for x in (ctx, below)]
-        return pa.table([*keys, pa.array(n), pa.array(size), pa.array(_combined(ctx, below).view(np.int64)), c], names)
+        return pa.table([*keys, pa.array(n), size, pa.array(_combined(ctx, below).view(np.int64)), c], names)
 
     packed = texts.mapInArrow(count, "bucket long, body binary")
     return packed.groupBy("bucket").applyInArrow(tally, "ctx long, below long, n long, size long, gram long, c long")
@@ -273,13 +304,12 @@ def train(
     texts = docs.select(F.col(text_col).alias("text"))
     spark = docs.sparkSession
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, _sizes in _chunks(batches, 0):
-            w, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["word", "c"])
-
-    vocabulary = texts.mapInArrow(count_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    vocabulary = written(vocabulary, "lm-words")
+    n_ranges, n_buckets = bucket_count(texts, hashes=SCORE_BUCKET), bucket_count(texts)
+    # marks as long that few of them are shared by several pairs
+    shift = max(0, 64 - 8 - (n_ranges * SCORE_BUCKET).bit_length())
+    counted = written(_marks(texts, n_ranges, shift, least_next), "lm-words")
+    vocabulary = counted.where("not pair").select(F.col("key").alias("word"), "c")
+    marks = counted.where("pair").select("key")
     n, v, n1, n2 = vocabulary.agg(
         F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
     ).first()
@@ -292,18 +322,20 @@ def train(
     tree = SuffixTree(hashes[order], common["c"].to_numpy(dtype=np.int64)[order], n, v, discount)
     width = max(1, len(tree.words))
     root = (F.col("c") - F.lit(discount)) / F.lit(float(max(1, n)))
-    n_buckets = bucket_count(texts)
-    candidates, lower, grams, n_grams = None, None, [], 0
+    candidates, lower, grams, n_grams = _filter(marks, marks.count()), None, [], 0
+    sizes = vocabulary.where(F.col("c") >= least_context).select(F.col("word").alias("ctx"), F.col("c").alias("size"))
     while max_depth is None or tree.depth < max_depth:
         length = tree.depth + 1
-        pairs = _counted(texts, tree, length, candidates, n_buckets, least_context, least_next)
+        pairs = _counted(texts, tree, length, candidates, shift, n_buckets, least_next)
         if lower is None:
             # common words bring their counts along; each of the others is a small share of all rows
             pairs = written(pairs, "lm-pairs")
-            rare = pairs.where("c is null").drop("c").join(vocabulary.withColumnRenamed("word", "below"), "below")
-            rows = pairs.where("c is not null").unionByName(rare).withColumn("q", root).withColumn("word", F.col("below"))
+            last = vocabulary.where(F.col("c") >= least_next).withColumnRenamed("word", "below")
+            rows = pairs.where("c is not null").unionByName(pairs.where("c is null").drop("c").join(last, "below"))
+            rows = rows.where("size is not null").unionByName(rows.where("size is null").drop("size").join(sizes, "ctx"))
+            rows = rows.where(F.col("size") >= least_context).withColumn("q", root).withColumn("word", F.col("below"))
         else:
-            rows = pairs.join(lower, "below")
+            rows = pairs.drop("size").join(lower, "below").join(sizes, "ctx")
         in_context = Window.partitionBy("ctx")
         own, seen = F.count(F.lit(1)).over(in_context), F.sum("n").over(in_context)
         p, q = F.col("n") / F.col("size"), F.sum("q").over(in_context)
@@ -335,7 +367,7 @@ def train(
         longer, is_open = F.col("n") >= least_context, F.col("one") & F.col("open")
         gained, n_next, n_kept = found.agg(
             F.sum(F.when(F.col("retained") & F.col("one"), F.col("size") * F.col("d"))),
-            F.count_if(longer) + F.count_if(is_open),
+            F.count(F.lit(1)) + F.count_if(longer) + F.count_if(is_open),
             F.count_if("retained") + F.count_if(F.col("retained") & F.col("one")),
         ).first()
         gained, n_grams = gained or 0.0, n_grams + n_kept
@@ -356,10 +388,15 @@ def train(
         tree.depth, tree.gains = length, [*tree.gains, gained / max(1, n)]
         if length >= min_depth and gained <= least_gain * n:
             break
-        # a longer context is a pair of this length; its suffix is a context of this length that is not settled
-        keys = F.explode(F.array(F.when(longer, F.col("gram")), F.when(is_open, F.col("ctx").bitwiseXOR(F.lit(CONTEXT)))))
+        # a longer context is a pair of this length; its suffix is a context of this length that is not settled, and
+        # what may follow its first word is a pair of this length as well
+        keys = F.array(
+            F.when(longer, F.col("gram")), F.when(is_open, F.col("ctx").bitwiseXOR(F.lit(CONTEXT))), F.col("gram").bitwiseXOR(F.lit(LAST))
+        )
+        keys = F.explode(keys)
         candidates = _filter(found.select(keys.alias("key")).where("key is not null"), n_next)
         lower = found.select(F.col("gram").alias("below"), "word", F.col("p").alias("q"))
+        sizes = found.where(longer).select(F.col("gram").alias("ctx"), F.col("n").alias("size"))
     # what is not in the head
     tree.grams = reduce(DataFrame.unionByName, grams).where(F.col("n") < often).select("key", "value")
     tree.passing = _filter(tree.grams.select("key"), n_grams)
