@@ -35,12 +35,14 @@ def export_band_text(c: Column) -> Column:
 
 def looks_like_bates(c: Column) -> Column:
     """A letter, up to 19 more letters or digits, maybe a separator, then 3 to 10 digits."""
+    # Fixed value: the format of such a label.
     return strip(c).rlike(r"^[A-Za-z][A-Za-z0-9]{0,19}[ _.-]?[0-9]{3,10}$")
 
 
 def printed_page(c: Column) -> Column:
-    """The number in `Page 4 of 37`, `- 4 -`, `[4]` or `4`; null otherwise and for 0."""
-    n = F.regexp_extract(strip(c), r"(?i)^(?:page\s+|[-\[(]\s*)?([0-9]{1,4})(?:\s+of\s+[0-9]{1,4}|\s*[-\])])?$", 1)
+    """The number in `Page 4 of 37`, `Page4`, `- 4 -` (any dash), `[4]`, `(4) of 10` or `4`; null otherwise and for 0."""
+    dashes = "\\-\u2013\u2014"
+    n = F.regexp_extract(strip(c), rf"(?i)^(?:page\s*)?[{dashes}\[(]?\s*([0-9]{{1,4}})\s*[{dashes}\])]?(?:\s*of\s+[0-9]{{1,4}})?$", 1)
     value = F.when(n != "", n.cast("int"))
     return F.when(value > 0, value)
 
@@ -75,14 +77,10 @@ def joins_hyphen(previous: Column, following: Column) -> Column:
 
 def fnv1a(c: Column) -> Column:
     """32-bit FNV-1a over UTF-16 code units, in base 36."""
-    units = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.length(F.hex(F.encode(c, "UTF-16BE"))) / 4 - 1, F.lit(0)).cast("int")),
-        lambda i: F.conv(F.substring(F.hex(F.encode(c, "UTF-16BE")), i * 4 + 1, F.lit(4)), 16, 10).cast("long"),
-    )
-    prime, mask = F.lit(16777619), F.lit(4294967295)
-    h = F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: (h.bitwiseXOR(u) * prime).bitwiseAND(mask))
-    empty = F.lit(2166136261).cast("long")
-    return F.lower(F.conv(F.when(F.length(c) == 0, empty).otherwise(h).cast("string"), 10, 36))
+    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("([0-9A-F]{4})"), 1)
+    offset, prime, mask = F.lit(2166136261).cast("long"), F.lit(16777619), F.lit(4294967295)
+    h = F.aggregate(units, offset, lambda h, u: (h.bitwiseXOR(F.conv(u, 16, 10).cast("long")) * prime).bitwiseAND(mask))
+    return F.lower(F.conv(h.cast("string"), 10, 36))
 
 
 def needle_forms(c: Column) -> Column:

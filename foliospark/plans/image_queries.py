@@ -1,7 +1,6 @@
 """Queries of image codecs and pixel operators.
 
-Every document's first bytes stand for a small grey picture (64 wide, as many rows as it has whole ones, 64 at most, the
-size of a thumbnail), so the work follows the table.
+Every document's bytes stand for a grey picture, 64 wide and as high as they need, so the work follows the table.
 """
 
 from __future__ import annotations
@@ -20,10 +19,12 @@ from .registry import query
 WIDTH = 64
 
 
-def thumbnail(data: bytes) -> np.ndarray:
+def picture(data: bytes) -> np.ndarray:
+    """All bytes row by row, the last row filled up with white."""
     x = np.frombuffer(data, np.uint8)
-    rows = min(WIDTH, max(1, len(x) // WIDTH))
-    return np.resize(x if len(x) else np.zeros(1, np.uint8), (rows, WIDTH))
+    whole = np.full(max(1, -(-len(x) // WIDTH)) * WIDTH, 255, np.uint8)
+    whole[: len(x)] = x
+    return whole.reshape(-1, WIDTH)
 
 
 def _per_picture(spark: SparkSession, sf_dir: str, kind: str, f: Callable[[np.ndarray], object], name: str) -> DataFrame:
@@ -31,12 +32,13 @@ def _per_picture(spark: SparkSession, sf_dir: str, kind: str, f: Callable[[np.nd
 
     @F.pandas_udf(kind)
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: f(thumbnail(bytes(b or b""))))
+        return x.map(lambda b: f(picture(bytes(b or b""))))
 
     return load(spark, sf_dir, "documents").select("doc_id", run(F.col("text").cast("binary")).alias(name))
 
 
-@query()
+@query(r"""SELECT doc_id, length(regexp_replace(t, '[^\x01-\x63]', '', 'g'))::DOUBLE / (greatest(1, (octet_length(encode(t)) + 63) // 64) * 64) AS ink
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def agg22_ink_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_picture(spark, sf_dir, "double", lambda p: C.ink_ratio(p, 100), "ink")
 
@@ -53,7 +55,7 @@ def win21_box_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_picture(spark, sf_dir, "double", lambda p: float(np.abs(C.box_mean(p.astype(float), 3) - p).max()), "contrast")
 
 
-@query()
+@query(r"""SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^\x01-\x64]', '', 'g')) AS dark FROM documents""")
 def scl28_bilevel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dark bits of each picture after packing to one bit a pixel."""
     return _per_picture(spark, sf_dir, "long", lambda p: int(np.unpackbits(C.bilevel(p, 101)).sum()), "dark")
@@ -73,7 +75,7 @@ def snk5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, least(612.0::DOUBLE / 64.0::DOUBLE, 792.0::DOUBLE / h::DOUBLE) * 64.0::DOUBLE AS page_width FROM
-(SELECT doc_id, least(64, greatest(1, octet_length(encode(coalesce(text, ''))) // 64)) AS h FROM documents)"""
+(SELECT doc_id, greatest(1, (octet_length(encode(coalesce(text, ''))) + 63) // 64) AS h FROM documents)"""
 )
 def src9_image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page width of each picture, from the header of its PNG: without a density the largest fit on a letter page."""

@@ -191,15 +191,16 @@ def agg24_multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.exceptAll(v).withColumn("side", F.lit("missing")).unionByName(v.exceptAll(w).withColumn("side", F.lit("extra")))
 
 
-@query(f"""WITH {LINES_SQL}, f AS (SELECT doc_id, doc, substr(text, 1, 40) AS head FROM ln WHERE line = 1), b AS (SELECT DISTINCT doc, doc_id, lower(substr(head, i, 2)) AS g FROM f, unnest(range(1, length(head))) AS r(i)),
+@query("""WITH f AS (SELECT doc_id, source AS doc, string_split(lower(text), '') AS c FROM documents WHERE length(text) > 1),
+b AS (SELECT doc, doc_id, unnest(list_distinct(list_transform(list_zip(c[:-2], c[2:]), lambda x: x[1] || x[2]))) AS g FROM f),
 n AS (SELECT doc, g, count(*) AS n FROM b GROUP BY 1, 2) SELECT doc_id, sum(n - 1)::BIGINT AS shared FROM b JOIN n USING (doc, g) GROUP BY doc_id""")
 def agg25_bigram_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many bigrams a page's first words share with the other pages of its document, summed over them: through the
+    """How many bigrams a page's text shares with the other pages of its document, summed over them: through the
     bigrams' counts, without pairing the pages."""
-    first = load(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("doc"), F.substring(F.element_at(F.split("text", "\n"), 1), 1, 40).alias("head"))
-    first = first.where(F.length("head") > 1)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("head") - 1), lambda i: F.lower(F.substring("head", i, F.lit(2)))))
-    b = first.select("doc", "doc_id", F.explode(grams).alias("g"))
+    docs = load(spark, sf_dir, "documents").where(F.length("text") > 1)
+    chars = docs.select("doc_id", F.col("source").alias("doc"), F.split(F.lower("text"), "").alias("c"))
+    both = F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda x, y: F.concat(x, y))
+    b = chars.select("doc", "doc_id", F.explode(F.array_distinct(both)).alias("g"))
     n = b.groupBy("doc", "g").agg(F.count(F.lit(1)).alias("n"))
     return b.join(n, ["doc", "g"]).groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("shared"))
 

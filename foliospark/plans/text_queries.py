@@ -212,16 +212,15 @@ def scl10_block_openers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).where(T.opens_block(F.col("text"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, lower(substr(text, 1, 12)) AS literal, lower(hex(encode(substr(text, 1, 12)))) AS utf8_hex FROM documents""")
+@query("""SELECT doc_id, lower(text) AS literal, lower(hex(encode(text))) AS utf8_hex FROM documents""")
 def scl17_needle_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 12)
-    forms = T.needle_forms(head)
-    return load(spark, sf_dir, "documents").select("doc_id", forms["literal"].alias("literal"), F.lower(F.hex(F.encode(head, "UTF-8"))).alias("utf8_hex"))
+    forms = T.needle_forms(F.col("text"))
+    return load(spark, sf_dir, "documents").select("doc_id", forms["literal"].alias("literal"), F.lower(F.hex(F.encode("text", "UTF-8"))).alias("utf8_hex"))
 
 
 @query()
 def scl18_fnv1a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", T.fnv1a(F.col("source")).alias("source_hash"), T.fnv1a(F.substring("text", 1, 64)).alias("head_hash"))
+    return load(spark, sf_dir, "documents").select("doc_id", T.fnv1a(F.col("source")).alias("source_hash"), T.fnv1a(F.col("text")).alias("text_hash"))
 
 
 @query("""SELECT doc_id, '(' || a || ':' || x || CASE WHEN a = b AND x = y THEN '' WHEN a = b THEN '-' || y ELSE '-' || b || ':' || y END || ')' AS cite FROM (

@@ -12,45 +12,61 @@ from pyspark.sql import functions as F
 from ..functions.codecs import decode_entities
 
 _TAG = re.compile(r"<(/?)(span|div)\b([^>]*)>", re.IGNORECASE)
-_CLASS = re.compile(r"\bclass=['\"]([^'\"]*)['\"]")
-_TITLE = re.compile(r"\btitle=(?:'([^']*)'|\"([^\"]*)\")", re.IGNORECASE)
-_BOX = re.compile(r"\bbbox\s+(-?\d+)\s+(-?\d+)\s+(-?\d+)\s+(-?\d+)")
-_CONF = re.compile(r"\bx_wconf\s+(-?[\d.]+)")
-_BASELINE = re.compile(r"\bbaseline\s+(-?[\d.]+)\s+(-?[\d.]+)")
+_ATTRIBUTE = re.compile(r"""([\w-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+#: The classes of elements that set the line in force.
+LINES = {"ocr_line", "ocr_textfloat", "ocr_header", "ocr_caption"}
+
+
+def fields(title: str) -> dict[str, list[float]]:
+    """The numbers of each property of a title attribute: `bbox 1 2 3 4; x_wconf 90`. Properties without numbers are left out."""
+    found = {}
+    for part in title.split(";"):
+        name, *values = part.split() or [""]
+        try:
+            found[name] = [float(v) for v in values]
+        except ValueError:
+            continue
+    return found
+
+
+def _box(title: dict[str, list[float]]) -> tuple[int, ...] | None:
+    box = title.get("bbox", [])
+    return tuple(int(v) for v in box) if len(box) == 4 else None
 
 
 def words(hocr: str) -> list[tuple]:
-    """(text, x0, y0, x1, y1, confidence, baseline at the word's centre or None). An empty box is an error."""
+    """(text, x0, y0, x1, y1, confidence, baseline at the word's centre or None). A word without a box, with an empty one,
+    or without an end is an error."""
     out: list[tuple] = []
-    open_: list[tuple[str, int, tuple | None]] = []
-    line: tuple | None = None
+    open_: list[tuple[int, tuple[int, ...], float] | None] = []
+    line: tuple[int, int, float, float] | None = None
     for m in _TAG.finditer(hocr):
-        if m[1]:
-            if not open_:
+        if not m[1]:
+            attributes = {name.lower(): double or single for name, double, single in _ATTRIBUTE.findall(m[3])}
+            classes, title = set(attributes.get("class", "").split()), fields(attributes.get("title", ""))
+            box = _box(title)
+            if "ocrx_word" in classes:
+                if box is None:
+                    raise ValueError("a word without a box")
+                open_.append((m.end(), box, (title.get("x_wconf") or [0.0])[0]))
                 continue
-            kind, start, box = open_.pop()
-            if kind == "word":
-                text = decode_entities(re.sub(r"<[^>]*>", "", hocr[start : m.start()])).strip()
-                x0, y0, x1, y1, conf = box
-                if x1 <= x0 or y1 <= y0:
-                    raise ValueError(f"empty box of {text!r}")
-                base = None if line is None else line[1] + line[2] * ((x0 + x1) / 2 - line[0]) + line[3]
-                if text:
-                    out.append((text, x0, y0, x1, y1, conf, base))
+            if box and classes & LINES:
+                base = title.get("baseline", [])
+                line = (box[0], box[3], base[0], base[1]) if len(base) > 1 else None
+            open_.append(None)
+            continue
+        word = open_.pop() if open_ else None
+        if word is None:
             continue
-        classes = (_CLASS.search(m[3]) or ["", ""])[1].split()
-        title_match = _TITLE.search(m[3])
-        title = (title_match[1] or title_match[2] or "") if title_match else ""
-        found = _BOX.search(title)
-        if "ocrx_word" in classes and found:
-            conf = _CONF.search(title)
-            open_.append(("word", m.end(), (*map(int, found.groups()), float(conf[1]) if conf else 0.0)))
-        else:
-            if found and any(c in ("ocr_line", "ocr_textfloat", "ocr_header", "ocr_caption") for c in classes):
-                base = _BASELINE.search(title)
-                box = tuple(map(int, found.groups()))
-                line = (box[0], box[3], float(base[1]), float(base[2])) if base else None
-            open_.append(("other", m.end(), None))
+        start, (x0, y0, x1, y1), conf = word
+        text = decode_entities(re.sub(r"<[^>]*>", "", hocr[start : m.start()])).strip()
+        if x1 <= x0 or y1 <= y0:
+            raise ValueError(f"empty box of {text!r}")
+        base = None if line is None else line[1] + line[2] * ((x0 + x1) / 2 - line[0]) + line[3]
+        if text:
+            out.append((text, x0, y0, x1, y1, conf, base))
+    if any(open_):
+        raise ValueError("a word without an end")
     return out
 
 

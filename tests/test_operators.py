@@ -115,6 +115,11 @@ def test_hocr():
     assert hocr.words(page) == [("a&b", 10, 2, 30, 18, 91.0, 20 + 0.1 * 20 - 2)]
     with pytest.raises(ValueError, match="empty box"):
         hocr.words("<span class='ocrx_word' title='bbox 3 2 3 18'>x</span>")
+    with pytest.raises(ValueError, match="without a box"):
+        hocr.words("<span class='ocrx_word' title='x_wconf 3'>x</span>")
+    with pytest.raises(ValueError, match="without an end"):
+        hocr.words("<span class='ocrx_word' title='bbox 3 2 5 18'>x")
+    assert hocr.fields("bbox 0 0 9 9; image \"a b.png\"; x_size 12.5") == {"bbox": [0, 0, 9, 9], "x_size": [12.5]}
 
 
 def test_sinks(spark, tmp_path):

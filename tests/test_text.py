@@ -31,7 +31,7 @@ def test_band_texts(spark):
 
 
 def test_printed_pages(spark):
-    for value, want in (("Page 4 of 37", 4), ("- 4 -", 4), ("[4]", 4), ("4", 4), ("0", None), ("see 4", None), ("12345", None)):
+    for value, want in (("Page 4 of 37", 4), ("Page4", 4), ("\u2013 4 \u2014", 4), ("(4) of 10", 4), ("- 4 -", 4), ("[4]", 4), ("4", 4), ("0", None), ("see 4", None), ("12345", None)):
         assert one(spark, T.printed_page, value) == want, value
 
 
