@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,42 @@ def otsu(histogram: DataFrame, group: str, bucket: str, count: str) -> DataFrame
     gap = F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / (F.col("n") - F.col("w0"))
     v = h.withColumn("v", F.col("w0").cast("double") * (F.col("n") - F.col("w0")) * gap * gap)
     return v.groupBy(group).agg(F.min_by(bucket, F.struct((-F.col("v")).alias("a"), F.col(bucket).alias("b"))).alias("threshold"))
+
+
+def _middle(values: Column) -> Column:
+    """Median of a sorted array; null if it is empty."""
+    n = F.size(values)
+    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    return F.when(n > 0, (F.get(values, low) + F.get(values, high)) / 2)
+
+
+def _mean(points: Column, name: str) -> Column:
+    return F.try_divide(F.aggregate(points, F.lit(0.0), lambda total, p: total + p[name]), F.size(points))
+
+
+def robust_fit(df: DataFrame, group: list[str], x: str, y: str, share: float = 0.5, least: int = 10) -> DataFrame:
+    """Per group the line through falling points: pitch (fall for each step of x), first (y at x = 1), kept, refitted.
+
+    The first estimate is the median of the slopes of all pairs of points and of where each point puts x = 1. Points more
+    than share * pitch off are left out; if `least` or more remain, they are fitted again by least squares, otherwise the
+    first estimate stands, as it does without a positive pitch. A group is one column of numbers with one point for each x:
+    its pairs stay in its row, so a caller takes one point for each of a bounded range of x. Groups of one point are left out.
+    """
+    points = df.groupBy(*group).agg(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("_p"))
+    p = F.col("_p")
+
+    def falls(a: Column) -> Column:
+        return F.transform(F.filter(p, lambda b: b["x"] > a["x"]), lambda b: (a["y"] - b["y"]) / (b["x"] - a["x"]))
+
+    rough = points.withColumn("_pitch", _middle(F.array_sort(F.flatten(F.transform(p, falls))))).where("_pitch IS NOT NULL")
+    pitch = F.col("_pitch")
+    rough = rough.withColumn("_first", _middle(F.array_sort(F.transform(p, lambda a: a["y"] + (a["x"] - 1) * pitch))))
+    off = lambda a: F.abs(F.col("_first") - (a["x"] - 1) * pitch - a["y"]) - share * F.abs(pitch)
+    near = rough.withColumn("_k", F.filter(p, lambda a: F.round(off(a), 6) <= 0)).withColumn("kept", F.size("_k").cast("long"))
+    k = F.col("_k")
+    near = near.withColumn("_mx", _mean(k, "x")).withColumn("_my", _mean(k, "y"))
+    both = F.aggregate(k, F.lit(0.0), lambda total, a: total + (a["x"] - F.col("_mx")) * (a["y"] - F.col("_my")))
+    own = F.aggregate(k, F.lit(0.0), lambda total, a: total + (a["x"] - F.col("_mx")) * (a["x"] - F.col("_mx")))
+    fitted = near.withColumn("refitted", (F.col("kept") >= least) & (pitch > 0)).withColumn("_fit", F.when(F.col("refitted"), -F.try_divide(both, own)))
+    again = F.col("_my") + F.col("_fit") * (F.col("_mx") - 1)
+    return fitted.select(*group, F.coalesce("_fit", pitch).alias("pitch"), F.coalesce(again, "_first").alias("first"), "kept", "refitted")

@@ -209,3 +209,30 @@ def word_alignment(left: list[str], right: list[str]) -> list[tuple[int, int]]:
         else:
             j += 1
     return out
+
+
+def aligned(items: DataFrame, pieces: DataFrame, group: list[str], item_order: list[str], piece_order: str, text: str = "text") -> DataFrame:
+    """Two cuts of the same text, met by the letters and digits before them: each item's columns without the text, with
+    the piece in which it starts and `straddles`, whether it goes on behind that piece.
+
+    Blanks and signs may differ between the two. Items and pieces without a letter or digit take no part; an item behind
+    the last piece gets none. One pass over both sides together, a group's rows in order.
+    """
+    letters = F.length(F.regexp_replace(F.col(text), "[^A-Za-z0-9]", "")).cast("long")
+
+    def placed(side: DataFrame, order: list[str]) -> DataFrame:
+        upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        some = side.withColumn("_n", letters).where("_n > 0").withColumn("_end", F.sum("_n").over(upto))
+        return some.withColumn("_start", F.col("_end") - F.col("_n")).drop(text, "_n")
+
+    left = placed(items, item_order)
+    right = placed(pieces, [piece_order]).select(*group, "_start", F.struct(F.col(piece_order).alias("piece"), F.col("_end").alias("end")).alias("_piece"))
+    both = left.withColumn("_item", F.lit(True)).unionByName(right.withColumn("_item", F.lit(False)), allowMissingColumns=True)
+    before = Window.partitionBy(*group).orderBy("_start", "_item").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_in", F.last("_piece", ignorenulls=True).over(before)).where("_item")
+    inside = F.col("_start") < F.col("_in.end")
+    return met.select(
+        *[c for c in items.columns if c != text],
+        F.when(inside, F.col("_in.piece")).alias("piece"),
+        F.when(inside, F.col("_end") > F.col("_in.end")).alias("straddles"),
+    )

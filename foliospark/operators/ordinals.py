@@ -15,7 +15,10 @@ def ranges(df: DataFrame, order: str, n: int | None = None) -> Column:
     if not bounds:
         return F.lit(0)
     kind = df.schema[order].dataType
-    return F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in sorted(set(bounds))]), lambda b: b < F.col(order)))
+    sorted_bounds = F.array(*[F.lit(b).cast(kind) for b in sorted(set(bounds))])
+    # its place among the bounds; a lambda here would end up in the self-join of running() with unbound columns
+    place = F.array_position(F.sort_array(F.array_append(sorted_bounds, F.col(order))), F.col(order)) - 1
+    return F.coalesce(place, F.lit(0)).cast("int")
 
 
 def running(df: DataFrame, group: list[str], order: str, weight: Column, name: str) -> DataFrame:

@@ -48,9 +48,14 @@ def extract(pages: DataFrame, chosen: DataFrame, group: list[str]) -> DataFrame:
 
 
 def delete(pages: DataFrame, gone: DataFrame, group: list[str]) -> DataFrame:
-    """The other pages, renumbered from 1. Deleting all pages of a document is an error."""
-    kept = pages.join(gone, [*group, "page"], "left_anti")
-    return numbered(kept, group, "page", "new_page")
+    """The other pages, renumbered from 1. Deleting all pages of a document is an error, when the job runs."""
+    marked = pages.join(gone.select(*group, "page").distinct().withColumn("_gone", F.lit(True)), [*group, "page"], "left")
+    keys = [f"_k{k}" for k in range(len(group))]
+    kept = marked.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]).agg(F.count_if(F.col("_gone").isNull()).alias("_kept"))
+    judged = marked.join(kept, [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys, strict=True)])
+    message = F.concat(F.lit("a document has to keep a page: "), F.concat_ws(", ", *[F.col(g).cast("string") for g in group]))
+    stays = F.when(F.col("_kept") == 0, F.raise_error(message).cast("boolean")).otherwise(F.col("_gone").isNull())
+    return numbered(judged.where(stays).drop("_gone", "_kept", *keys), group, "page", "new_page")
 
 
 def split_parts(pages: DataFrame, parts: DataFrame, group: list[str]) -> DataFrame:
@@ -59,17 +64,19 @@ def split_parts(pages: DataFrame, parts: DataFrame, group: list[str]) -> DataFra
     return pages.join(exploded, [*group, "page"])
 
 
-def insert_blanks(pages: DataFrame, at: int, n: int, group: list[str]) -> DataFrame:
-    """n blank pages in front of page `at` of every document (1 to count + 1); they take their neighbour's size.
+def insert_blanks(pages: DataFrame, at: int, n: int, group: list[str], size: tuple[str, ...] = ()) -> DataFrame:
+    """n blank pages in front of page `at` of every document (1 to count + 1); the columns named in `size` are those of the
+    page before them, of the first page if there is none. Other columns are null.
 
     Documents with fewer than at - 1 pages stay as they are.
     """
     if not 1 <= n <= 500:
         raise ValueError("1 to 500 blank pages")
     moved = pages.withColumn("page", F.when(F.col("page") >= at, F.col("page") + n).otherwise(F.col("page"))).withColumn("blank", F.lit(False))
-    counts = pages.groupBy(*group).agg(F.max("page").alias("_n")).where(F.col("_n") >= at - 1)
+    beside = [F.max(F.when(F.col("page") == max(1, at - 1), F.col(c))).alias(c) for c in size]
+    counts = pages.groupBy(*group).agg(F.max("page").alias("_n"), *beside).where(F.col("_n") >= at - 1)
     numbers = F.array(*[F.lit(k).cast("long") for k in range(at, at + n)])
-    blanks = counts.select(*group, F.explode(numbers).alias("page"), F.lit(True).alias("blank"))
+    blanks = counts.select(*group, *size, F.explode(numbers).alias("page"), F.lit(True).alias("blank"))
     return moved.unionByName(blanks, allowMissingColumns=True)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import aggregates as A
 from ..operators import layout as L
 from ..operators import pages as P
 from ..operators.outline import flatten_tree, promote_children
@@ -134,14 +135,16 @@ def jon17_unique_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("k", F.when(F.col("n") == 1, "paired").when(F.col("n").isNull(), "no mark").otherwise("ambiguous").alias("outcome"))
 
 
-@query(f"""WITH {RUNS_SQL}, a AS (SELECT doc_id, line, word, sum(length(text)) OVER w - length(text) AS s, sum(length(text)) OVER w AS e FROM rn WINDOW w AS (PARTITION BY doc_id ORDER BY line, word))
-SELECT doc_id, (s // 100)::BIGINT AS block, count(*) AS runs, min(s)::BIGINT AS first FROM a GROUP BY 1, 2""")
-def jon18_letter_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs by the letters before them in the document, met by blocks of 100 letters: streams align by offset."""
-    w = Window.partitionBy("doc_id").orderBy("line", "word").rowsBetween(Window.unboundedPreceding, 0)
-    s = F.sum(F.length("text")).over(w) - F.length("text")
-    at = runs(spark, sf_dir).withColumn("s", s)
-    return at.groupBy("doc_id", F.floor(F.col("s") / 100).alias("block")).agg(F.count(F.lit(1)).alias("runs"), F.min("s").alias("first"))
+@query(f"""WITH {RUNS_SQL}, rl AS (SELECT doc_id, line, word, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS n FROM rn),
+it AS (SELECT doc_id, line, word, n, sum(n) OVER (PARTITION BY doc_id ORDER BY line, word) - n AS s FROM rl WHERE n > 0),
+pt AS (SELECT doc_id, string_split_regex(text, '[.,;]') AS t FROM documents), pl AS (SELECT doc_id, i AS piece, length(regexp_replace(t[i], '[^A-Za-z0-9]', '', 'g')) AS n FROM pt, unnest(range(1, len(t) + 1)) AS r(i)),
+op AS (SELECT doc_id, piece, n, sum(n) OVER (PARTITION BY doc_id ORDER BY piece) - n AS s FROM pl WHERE n > 0)
+SELECT it.doc_id, line, word, piece, it.s + it.n > op.s + op.n AS straddles FROM it JOIN op ON it.doc_id = op.doc_id AND it.s >= op.s AND it.s < op.s + op.n""")
+def jon18_aligned_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text runs and the clauses of the same text (cut at stops, commas and semicolons): the clause each run starts in."""
+    clauses = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[.,;]")).alias("p", "text"))
+    clauses = clauses.select("doc_id", (F.col("p") + 1).cast("long").alias("at"), "text")
+    return L.aligned(runs(spark, sf_dir).select("doc_id", "line", "word", "text"), clauses, ["doc_id"], ["line", "word"], "at")
 
 
 @query()
@@ -160,20 +163,35 @@ def jon19_word_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.where("following IS NOT NULL").select("conv_id", "turn", common("text", "following").alias("common"))
 
 
-@query("""WITH p AS (SELECT l_orderkey AS k, l_linenumber::DOUBLE AS x, l_quantity::DOUBLE AS y FROM lineitem), f AS (SELECT k, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, count(*) AS n FROM p GROUP BY k HAVING count(DISTINCT x) > 1),
-i AS (SELECT p.k, x, y FROM p JOIN f USING (k) WHERE round(abs(y - (a * x + b)), 6) <= 10) SELECT k, count(*) AS kept FROM i GROUP BY k""")
+# A column of printed numbers for each part: quantities are the numbers, discounts jitter their baselines, and numbers of
+# late items are misread by five lines. One point for each number, the lowest.
+_COLUMN_SQL = f"""p AS (SELECT l_partkey AS k, l_quantity{D} AS x, min(720.0{D} - 14.85{D} * (l_quantity{D} - 1.0{D}) + 10.0{D} * l_discount{D} + CASE WHEN l_linenumber >= 6 THEN 74.25{D} ELSE 0.0{D} END) AS y FROM lineitem GROUP BY 1, 2),
+s AS (SELECT a.k, median((a.y - b.y) / (b.x - a.x)) AS m FROM p a JOIN p b ON a.k = b.k AND a.x < b.x GROUP BY a.k),
+r AS (SELECT p.k, m, median(y + (x - 1) * m) AS c FROM p JOIN s USING (k) GROUP BY p.k, m),
+i AS (SELECT p.k, x, y FROM p JOIN r USING (k) WHERE round(abs(c - (x - 1) * m - y) - 0.5{D} * abs(m), 6) <= 0),
+g AS (SELECT k, -regr_slope(y, x) AS a, regr_intercept(y, x) + regr_slope(y, x) AS b, count(*) AS n FROM i GROUP BY k),
+f AS (SELECT r.k, coalesce(n, 0) AS kept, coalesce(n >= 10 AND m > 0, false) AS refitted, CASE WHEN n >= 10 AND m > 0 THEN a ELSE m END AS pitch, CASE WHEN n >= 10 AND m > 0 THEN b ELSE c END AS first FROM r LEFT JOIN g ON g.k = r.k)"""
+
+
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("l_quantity").cast("double")
+    y = 720.0 - 14.85 * (x - 1.0) + 10.0 * F.col("l_discount").cast("double") + F.when(F.col("l_linenumber") >= 6, 74.25).otherwise(0.0)
+    points = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k"), x.alias("x")).agg(F.min(y).alias("y"))
+    return A.robust_fit(points, ["k"], "x", "y")
+
+
+@query(f"WITH {_COLUMN_SQL} SELECT k, round(pitch, 3) AS pitch, round(first, 2) AS first, kept, refitted FROM f")
 def agg10_robust_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points near their group's line of best fit; the others would be dropped before a second fit."""
-    p = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("double").alias("x"), F.col("l_quantity").cast("double").alias("y"))
-    f = p.groupBy("k").agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b"), F.countDistinct("x").alias("n")).where("n > 1")
-    near = F.round(F.abs(F.col("y") - (F.col("a") * F.col("x") + F.col("b"))), 6) <= 10
-    return p.join(f, "k").where(near).groupBy("k").agg(F.count(F.lit(1)).alias("kept"))
+    """Pitch and first baseline of each column of numbers, without the misread ones."""
+    return _columns(spark, sf_dir).select("k", F.round("pitch", 3).alias("pitch"), F.round("first", 2).alias("first"), "kept", "refitted")
 
 
-@query(f"""WITH {PAGES_SQL}, p AS (SELECT doc, page, len(string_split(text, chr(10))) AS n FROM pg) SELECT doc, median(n){D} AS pitch, max(n) AS most, count(*) FILTER (WHERE n > 5) * 2 > count(*) AS majority FROM p GROUP BY doc""")
+@query(f"WITH {_COLUMN_SQL} SELECT p_brand AS section, round(median(pitch), 3) AS pitch, max(kept) AS most, count(*) FILTER (WHERE refitted) * 2 > count(*) AS majority FROM f JOIN part ON p_partkey = f.k GROUP BY 1")
 def agg11_section_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pages(spark, sf_dir).withColumn("n", F.size(F.split("text", "\n")))
-    return p.groupBy("doc").agg(F.median("n").alias("pitch"), F.max("n").cast("long").alias("most"), (F.count_if(F.col("n") > 5) * 2 > F.count(F.lit(1))).alias("majority"))
+    """The columns of a section (a brand's parts) vote: median pitch, most numbers, whether most were fitted."""
+    fits = _columns(spark, sf_dir).join(load(spark, sf_dir, "part"), F.col("k") == F.col("p_partkey"))
+    majority = F.count_if("refitted") * 2 > F.count(F.lit(1))
+    return fits.groupBy(F.col("p_brand").alias("section")).agg(F.round(F.median("pitch"), 3).alias("pitch"), F.max("kept").alias("most"), majority.alias("majority"))
 
 
 @query(f"""WITH {RUNS_SQL} SELECT doc_id, count(DISTINCT (line, lower(text))) FILTER (WHERE word % 2 = 0) + count(*) FILTER (WHERE word % 2 = 1) AS instances FROM rn GROUP BY doc_id""")

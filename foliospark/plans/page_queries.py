@@ -52,10 +52,11 @@ def prj5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.extract(every, every.where(_LONG).select("doc", "page"), ["doc"]).select("doc", "page", "new_page", "doc_id")
 
 
-@query(f"""WITH {PAGES_SQL} SELECT doc, page, row_number() OVER (PARTITION BY doc ORDER BY page) AS new_page, doc_id FROM pg WHERE NOT ({_LONG})""")
+@query(f"""WITH {PAGES_SQL} SELECT doc, page, row_number() OVER (PARTITION BY doc ORDER BY page) AS new_page, doc_id FROM pg WHERE NOT ({_LONG}) OR page = 1""")
 def prj6_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All long pages go but a document's first one, as deleting all its pages would be an error."""
     every = pages(spark, sf_dir)
-    return P.delete(every, every.where(_LONG).select("doc", "page"), ["doc"]).select("doc", "page", "new_page", "doc_id")
+    return P.delete(every, every.where(_LONG).where("page > 1").select("doc", "page"), ["doc"]).select("doc", "page", "new_page", "doc_id")
 
 
 @query(f"""WITH {PAGES_SQL}, n AS (SELECT doc, count(*) AS n FROM pg GROUP BY doc)
@@ -70,10 +71,14 @@ def prj7_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.split_parts(every, first.unionByName(second), ["doc"]).select("doc", "part", "page", "doc_id")
 
 
-@query(f"""WITH {PAGES_SQL} SELECT doc, CASE WHEN page >= 3 THEN page + 2 ELSE page END AS page, false AS blank, doc_id FROM pg
-UNION ALL SELECT doc, p, true, NULL FROM (SELECT doc FROM pg GROUP BY doc HAVING count(*) >= 2), (VALUES (3), (4)) AS v(p)""")
+@query(f"""WITH {PAGES_SQL}, z AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 792.0::DOUBLE ELSE 612.0::DOUBLE END AS width, CASE WHEN doc_id % 3 = 0 THEN 612.0::DOUBLE ELSE 792.0::DOUBLE END AS height FROM pg)
+SELECT doc, CASE WHEN page >= 3 THEN page + 2 ELSE page END AS page, false AS blank, doc_id, width, height FROM z
+UNION ALL SELECT doc, p, true, NULL, width, height FROM z, (VALUES (3), (4)) AS v(p) WHERE page = 2""")
 def prj8_insert_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.insert_blanks(pages(spark, sf_dir).select("doc", "page", "doc_id"), 3, 2, ["doc"])
+    """Two blank pages behind the second one, as wide and high as that: every third page lies on its side."""
+    wide = F.col("doc_id") % 3 == 0
+    sized = pages(spark, sf_dir).select("doc", "page", "doc_id", F.when(wide, 792.0).otherwise(612.0).alias("width"), F.when(wide, 612.0).otherwise(792.0).alias("height"))
+    return P.insert_blanks(sized, 3, 2, ["doc"], ("width", "height"))
 
 
 @query(f"""WITH {PAGES_SQL}, o AS (SELECT doc, page, doc_id FROM pg)

@@ -40,6 +40,12 @@ def test_delete_and_insert(spark):
     pages = spark.createDataFrame([("d", p) for p in range(1, 6)], "doc string, page long")
     gone = pages.where("page IN (2, 3)")
     assert sorted((r["page"], r["new_page"]) for r in P.delete(pages, gone, ["doc"]).collect()) == [(1, 1), (4, 2), (5, 3)]
+    others = spark.createDataFrame([(None, 1), ("e", 1)], "doc string, page long")
+    assert P.delete(pages.union(others), gone, ["doc"]).count() == 5
+    with pytest.raises(Exception, match="keep a page: d"):
+        P.delete(pages, pages, ["doc"]).collect()
+    sized = pages.withColumn("width", 600 + F.col("page"))
+    assert [[r["width"] for r in P.insert_blanks(sized, at, 2, ["doc"], ("width",)).where("blank").collect()] for at in (1, 4)] == [[601] * 2, [603] * 2]
     more = P.insert_blanks(pages, 6, 2, ["doc"]).collect()
     assert sorted((r["page"], r["blank"]) for r in more)[-2:] == [(6, True), (7, True)]
     with pytest.raises(ValueError, match="500"):
@@ -159,3 +165,36 @@ def test_decisions(spark):
     p = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:00:00")], "id long, at string").withColumn("at", F.col("at").cast("timestamp"))
     a = spark.createDataFrame([(1, "2024-01-01 00:04:00", "yes"), (2, "2024-01-01 00:06:00", "yes")], "id long, answered string, answer string").withColumn("answered", F.col("answered").cast("timestamp"))
     assert {r["id"]: r["decision"] for r in T.decisions(p, a).collect()} == {1: "yes", 2: "refused"}
+
+
+def test_robust_fit(spark):
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    columns = {"fitted": 25, "few": 8, "two": 2, "one": 1}
+    rows = [(k, float(x), 700 - 14.0 * x + float(rng.normal(0, 0.3)) + (70.0 if x % 7 == 3 else 0.0)) for k, n in columns.items() for x in range(1, n + 1)]
+    rows += [("rising", float(x), 10.0 * x) for x in range(1, 15)]
+    got = {r["k"]: r for r in A.robust_fit(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()}
+    assert set(got) == {"fitted", "few", "two", "rising"}
+    for k, r in got.items():
+        xs, ys = np.array([(x, y) for g, x, y in rows if g == k]).T
+        pitch = np.median([(ys[i] - ys[j]) / (xs[j] - xs[i]) for i, j in itertools.combinations(range(len(xs)), 2)])
+        first = np.median(ys + (xs - 1) * pitch)
+        near = np.abs(first - (xs - 1) * pitch - ys) <= 0.5 * abs(pitch)
+        again = near.sum() >= 10 and pitch > 0
+        if again:
+            slope, at = np.polyfit(xs[near], ys[near], 1)
+            pitch, first = -slope, at + slope
+        assert (r["kept"], r["refitted"]) == (near.sum(), again)
+        assert (r["pitch"], r["first"]) == pytest.approx((pitch, first))
+    assert got["fitted"]["refitted"] and abs(got["fitted"]["pitch"] - 14) < 0.1 and got["fitted"]["kept"] == 21
+
+
+def test_aligned(spark):
+    items = spark.createDataFrame([("d", 1, "Ab c"), ("d", 2, "--"), ("d", 3, "de"), ("d", 4, "fg"), ("d", 5, "h"), ("e", 1, "x"), (None, 1, "q")], "doc string, n long, text string")
+    pieces = spark.createDataFrame([("d", 1, "abc "), ("d", 2, ", "), ("d", 3, "d e f"), ("d", 4, "g"), (None, 1, "q")], "doc string, at long, text string")
+    got = {(r["doc"], r["n"]): (r["piece"], r["straddles"]) for r in L.aligned(items, pieces, ["doc"], ["n"], "at").collect()}
+    assert got == {("d", 1): (1, False), ("d", 3): (3, False), ("d", 4): (3, True), ("d", 5): (None, None), ("e", 1): (None, None), (None, 1): (1, False)}
+    assert L.aligned(items, pieces.limit(0), ["doc"], ["n"], "at").where("piece IS NOT NULL").count() == 0
