@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import suffix_tree
 from .common import documents, fold
+from .conversation_repair import damage, repair
 from .exact_dedup import exact_dedup
 from .imatch import edited_fingerprints, lexicon
 from .kd_shards import kd_shards
@@ -18,6 +20,8 @@ from .ngram_join import ngram_join
 from .packing import pack
 from .sentence_pieces import piece_digests
 from .substring_dedup import kept_digests
+from .suffix_dedup import suffix_digests
+from .whitening import whiten
 
 
 def tokenizer(name: str) -> str:
@@ -78,6 +82,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return repair(damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digests(documents(spark, sf_dir))
+
+
 OP2_SQL = r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 t AS (SELECT doc_id, lines, list_transform(lines, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS n FROM l),
@@ -132,7 +150,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
