@@ -40,9 +40,9 @@ def looks_like_bates(c: Column) -> Column:
 
 
 def printed_page(c: Column) -> Column:
-    """The number in `Page 4 of 37`, `Page4`, `- 4 -` (any dash), `[4]`, `(4) of 10` or `4`; null otherwise and for 0."""
-    dashes = "\\-\u2013\u2014"
-    n = F.regexp_extract(strip(c), rf"(?i)^(?:page\s*)?[{dashes}\[(]?\s*([0-9]{{1,4}})\s*[{dashes}\])]?(?:\s*of\s+[0-9]{{1,4}})?$", 1)
+    """The number in `Page 4 of 37`, `Page4`, `- 4 -` (any dashes), `[[4]]`, `(4) of10` or `4`; null otherwise and for 0."""
+    # Fixed value: the format of a printed page number.
+    n = F.regexp_extract(strip(c), r"(?i)^(?:page\s*)?[\[(\-–—\s]*([0-9]{1,4})[\])\-–—\s]*(?:of\s*[0-9]{1,4})?$", 1)
     value = F.when(n != "", n.cast("int"))
     return F.when(value > 0, value)
 

@@ -18,8 +18,8 @@ from .packed import arrow_schema, bucket_count, bucket_width, pack_buckets, pack
 #: Bytes of the pieces whose least hash anchors a window; a power of two below every window.
 GRAM = 64
 #: Suffixes sorted at a time: bounds the memory of a reduce task (about 400 bytes each).
-SORTED_AT_ONCE = 400_000
-_PIECE = (1 << 20) - 4096
+SORTED_AT_ONCE = 100_000
+_PIECE = 1 << 17
 _LOW = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: A 64-bit value for each byte.
@@ -36,9 +36,9 @@ class Limits:
     #: Distinct surroundings of one anchor that a chunk of documents sends; more also go by single windows.
     sent: int = 16
     #: Anchors, bytes and windows of a chunk.
-    anchors: int = 400_000
-    size: int = 16 << 20
-    windows: int = 300_000
+    anchors: int = 100_000
+    size: int = 8 << 20
+    windows: int = 100_000
 
 
 def _gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -277,13 +277,14 @@ def _first_exchange(docs: DataFrame, n_buckets: int, width: int, limits: Limits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
-        held: list[tuple[np.ndarray, ...]] = []
-        digests: list[bytes] = []
+        # flat bytes: small arrays that stay between large ones that go would keep their memory from being used again
+        anchor_bytes, key_bytes, place_bytes, digests = (bytearray() for _ in range(4))
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            anchor, row, place = (np.concatenate(v) for v in zip(*held, strict=True))
-            d1, d2 = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2).T
+            anchor = np.frombuffer(bytes(anchor_bytes), np.uint64)
+            row, place = (np.frombuffer(bytes(b), np.int64) for b in (key_bytes, place_bytes))
+            d1, d2 = np.frombuffer(bytes(digests), "<u8").reshape(-1, 2).T
             order = np.lexsort((d2, d1, anchor))
             anchor, row, place, d1, d2 = (v[order] for v in (anchor, row, place, d1, d2))
             new = _firsts(anchor, d1, d2)
@@ -311,14 +312,19 @@ def _first_exchange(docs: DataFrame, n_buckets: int, width: int, limits: Limits)
         for key, text in _texts(batches):
             anchor, start, offset, n = anchors(text, width)
             if len(anchor):
-                held.append((anchor, np.full(len(anchor), key, np.int64), (start << 18) | (offset << 10) | (n << 2)))
-                digests += [_digest(text[a : a + b]) for a, b in zip(start.tolist(), (n + width - 1).tolist(), strict=True)]
+                anchor_bytes += anchor.tobytes()
+                key_bytes += np.full(len(anchor), key, np.int64).tobytes()
+                place_bytes += ((start << 18) | (offset << 10) | (n << 2)).tobytes()
+                for a, b in zip(start.tolist(), (start + n + width - 1).tolist(), strict=True):
+                    digests += _digest(text[a:b])
                 size += len(anchor)
             if size >= limits.anchors:
                 yield from flush()
-                held, digests, size = [], [], 0
+                for b in (anchor_bytes, key_bytes, place_bytes, digests):
+                    b.clear()
+                size = 0
                 pa.default_memory_pool().release_unused()
-        if held:
+        if size:
             yield from flush()
 
     return docs.mapInArrow(send, "bucket int, body binary, done binary")

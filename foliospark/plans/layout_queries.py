@@ -362,21 +362,6 @@ def cmp10_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {RUNS_SQL}, v AS (SELECT doc_id, line, word, text, y, x FROM rn) SELECT doc_id, line, word, CASE WHEN regexp_matches(text, '^[0-9]{{1,2}}$') AND text::INT BETWEEN 1 AND 28 AND word = 1 THEN 'line-number'
-WHEN regexp_matches(text, '^[0-9]{{1,4}}$') AND y < 95.0{D} THEN 'page-number' WHEN y > 792.0{D} * (1.0{D} - 0.08{D}) THEN 'header' WHEN y < 792.0{D} * 0.08{D} THEN 'footer' ELSE 'body' END AS role FROM v""")
-def cmp1_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Role of each run: line number, page number, header, footer, body, in this precedence."""
-    number = F.when(F.col("text").rlike("^[0-9]{1,2}$"), F.col("text").cast("int"))
-    role = (
-        F.when(number.between(1, 28) & (F.col("word") == 1), "line-number")
-        .when(F.col("text").rlike("^[0-9]{1,4}$") & (F.col("y") < 95.0), "page-number")
-        .when(F.col("y") > 792.0 * (1.0 - 0.08), "header")
-        .when(F.col("y") < 792.0 * 0.08, "footer")
-        .otherwise("body")
-    )
-    return runs(spark, sf_dir).select("doc_id", "line", "word", role.alias("role"))
-
-
 @query(f"WITH {RUNS_SQL} SELECT doc_id, count(*) FILTER (WHERE regexp_matches(text, '[A-Za-z0-9]{{2,}}')) AS words, count(*) FILTER (WHERE regexp_matches(text, '[A-Za-z0-9]{{2,}}')) < 12 AS picture_page FROM rn GROUP BY doc_id")
 def prj20_picture_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.count_if(F.col("text").rlike("[A-Za-z0-9]{2,}"))
