@@ -71,7 +71,8 @@ def anchors(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         h = _gram_hashes(raw[base : base + m + width - 1])
         at = (_sliding_min((h & ~_LOW) | np.arange(len(h), dtype=np.uint64), width - GRAM + 1) & _LOW).astype(np.int64)
         edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        found.append((h[at[edge]], base + edge, at[edge] - edge, np.diff(np.r_[edge, m])))
+        # hashes that are the least of many are small; mixed again, they spread evenly over buckets
+        found.append((mixed(mixed(h[at[edge]])), base + edge, at[edge] - edge, np.diff(np.r_[edge, m])))
     if not found:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
