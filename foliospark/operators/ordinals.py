@@ -21,13 +21,13 @@ def ranges(df: DataFrame, order: str, n: int | None = None) -> Column:
     return F.coalesce(place, F.lit(0)).cast("int")
 
 
-def running(df: DataFrame, group: list[str], order: str, weight: Column, name: str) -> DataFrame:
+def running(df: DataFrame, group: list[str], order: str, weight: Column, name: str, cut_by: Column | None = None) -> DataFrame:
     """Adds `name`: the sum of weight over the rows of the group up to and including this one.
 
     Each (group, range of order) is summed by itself; the few range sums are added up. `order` is a number that tells
-    the rows of a group apart.
+    the rows of a group apart. cut_by: ranges() of an earlier call, to be used again.
     """
-    cut = df.withColumn("_range", ranges(df, order)).withColumn("_w", weight)
+    cut = df.withColumn("_range", ranges(df, order) if cut_by is None else cut_by).withColumn("_w", weight)
     sums = cut.groupBy(*group, "_range").agg(F.sum("_w").alias("_sum"))
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], F.col("_range").alias("_r"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layout as L
 from ..operators.dispatch import COMMANDS, dispatch
+from ..operators.marked_content import marks_in_force
 from ..session import load, ship
 from ..sources.tables import LINES_SQL, RUNS_SQL, lines, runs
 from ..sources.text_pages import wrap
@@ -45,36 +46,37 @@ def jon23_not_echoed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.join(echoed, ["doc_id", "line"], "left_anti").select("doc_id", "line")
 
 
-@query()
-def jon20_mark_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The open tag in force for the text between tags, by a stack over each page's tags: text pieces per tag."""
-    ship(spark)
+# What structure types hold, and tags without content.
+_ROLES = {"p": "paragraph", "h1": "heading", "h2": "heading", "h3": "heading", "title": "heading", "li": "list-item", "td": "cell", "th": "cell", "caption": "caption", "blockquote": "quote", "code": "paragraph"}
+_VOID = ("br", "meta", "img", "hr", "input", "link")
 
-    @F.pandas_udf("map<string,long>")
-    def in_force(html):  # noqa: ANN001, ANN202
-        import re
 
-        import pandas as pd
+def _marked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, pos, kind, id: tags of `pages` as marks, those of structure types with an id."""
+    pieces = load(spark, sf_dir, "pages").select("page_id", F.posexplode(F.expr("regexp_extract_all(html, '<[^>]*>|[^<]+', 0)")).alias("pos", "piece"))
+    tag = F.lower(F.regexp_extract("piece", "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    kind = F.when(~F.col("piece").startswith("<"), "text").when(F.col("piece").startswith("</"), "end").otherwise("begin")
+    tagged = pieces.withColumn("tag", tag).withColumn("kind", kind).where("kind = 'text' OR tag <> ''")
+    tagged = tagged.where(~((F.col("kind") != "text") & F.col("tag").isin(*_VOID)))
+    named = (F.col("kind") == "begin") & F.col("tag").isin(*_ROLES)
+    return tagged.select("page_id", F.col("pos").cast("long").alias("pos"), "kind", F.when(named, F.concat_ws(":", "tag", "pos")).alias("id"))
 
-        def count(page: str) -> dict[str, int]:
-            stack, found = [], {}
-            for m in re.finditer(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*?(/?)>|([^<]+)", page or ""):
-                if m[4] is not None:
-                    if m[4].strip():
-                        key = stack[-1] if stack else "-"
-                        found[key] = found.get(key, 0) + 1
-                elif m[1]:
-                    if m[2].lower() in stack:
-                        while stack.pop() != m[2].lower():
-                            pass
-                elif not m[3] and m[2].lower() not in ("br", "meta", "img", "hr", "input", "link"):
-                    stack.append(m[2].lower())
-            return found
-
-        return pd.Series([count(p) for p in html])
-
-    found = load(spark, sf_dir, "pages").select("page_id", F.explode(in_force("html")).alias("tag", "pieces"))
-    return found
+
+_VOID_SQL = ", ".join(f"'{t}'" for t in _VOID)
+_ROLES_SQL = ", ".join(f"'{t}'" for t in _ROLES)
+
+
+@query(f"""WITH RECURSIVE pc AS (SELECT page_id, i - 1 AS pos, t[i] AS piece FROM (SELECT page_id, regexp_extract_all(html, '<[^>]*>|[^<]+') AS t FROM pages), unnest(range(1, len(t) + 1)) AS r(i)),
+tg AS (SELECT *, lower(regexp_extract(piece, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pc),
+it AS (SELECT page_id, pos, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k, CASE WHEN NOT starts_with(piece, '<') THEN 'text' WHEN starts_with(piece, '</') THEN 'end' ELSE 'begin' END AS kind,
+  CASE WHEN starts_with(piece, '<') AND NOT starts_with(piece, '</') AND tag IN ({_ROLES_SQL}) THEN tag || ':' || pos::VARCHAR ELSE '' END AS id FROM tg
+  WHERE NOT starts_with(piece, '<') OR (tag <> '' AND tag NOT IN ({_VOID_SQL}))),
+st(page_id, k, kind, pos, stack) AS (SELECT DISTINCT page_id, 0::BIGINT, '', 0::BIGINT, []::VARCHAR[] FROM it UNION ALL
+  SELECT it.page_id, it.k, it.kind, it.pos, CASE it.kind WHEN 'begin' THEN list_append(stack, it.id) WHEN 'end' THEN stack[1:len(stack) - 1] ELSE stack END FROM st JOIN it ON it.page_id = st.page_id AND it.k = st.k + 1)
+SELECT page_id, pos, list_filter(stack, lambda x: x <> '')[-1] AS mark FROM st WHERE kind = 'text'""")
+def jon20_mark_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structure mark in force for every text of every page, tags being closed by whatever end comes next."""
+    return marks_in_force(_marked_items(spark, sf_dir), ["page_id"], "pos")
 
 
 @query(f"""WITH {LINES_SQL}, w AS (SELECT doc_id, line, unnest(string_split(text, ' ')) AS w FROM ln), n AS (SELECT doc_id, line, count(*) AS n FROM w GROUP BY 1, 2)

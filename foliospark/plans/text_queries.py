@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import residue
 from ..operators import search as S
 from ..session import load
 from ..sources.tables import LINES_SQL, PAGES_SQL, lines, pages
@@ -68,6 +69,46 @@ def cmp13_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_UNITS = "flatten(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)] ELSE [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] END))"
+
+
+# Files of redacted documents: the text, and a title (its first six words) stored as hex, masked in every fifth document only.
+RESIDUE_TERMS = ["the", "tion", "und", "é"]
+_HEX = {k: f"CASE WHEN {{t}} = '' THEN '' ELSE array_to_string(list_transform({_UNITS.replace('(text', '({t}')}, lambda u: {v}), '') END" for k, v in (("l", "printf('%02x', u % 256)"), ("u", "printf('%04x', u)"))}
+_FORMS_SQL = ", ".join(f"('{n}', '{residue.stored_forms(n)[0]}', '{residue.stored_forms(n)[1]}', '{residue.stored_forms(n)[2]}')" for n in RESIDUE_TERMS)
+_TIMES = " + ".join(f"(length({{h}}) - length(replace({{h}}, {f}, ''))) // length({f})" for f in ("f0", "f1", "f2"))
+
+
+def _stored(title: str) -> str:
+    return f"' <' || CASE doc_id % 3 WHEN 0 THEN {_HEX['l'].replace('{t}', title)} WHEN 1 THEN {_HEX['u'].replace('{t}', title)} ELSE '' END || '>'"
+
+
+@query(f"""WITH m AS (SELECT doc_id, text, array_to_string(string_split(text, ' ')[1:6], ' ') AS title, regexp_replace(text, '(?i)(the|tion|und|é)', '█', 'g') AS masked FROM documents),
+k AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN regexp_replace(title, '(?i)(the|tion|und|é)', '█', 'g') ELSE title END AS kept FROM m),
+f AS (SELECT doc_id, lower(text) AS plain, lower(text || {_stored('title')}) AS old, lower(masked || {_stored('kept')}) AS new FROM k),
+v(term, f0, f1, f2) AS (VALUES {_FORMS_SQL}),
+c AS (SELECT doc_id, term, {_TIMES.format(h='old')} AS before, {_TIMES.format(h='new')} AS remaining, (length(plain) - length(replace(plain, f0, ''))) // length(f0) AS marked FROM f, v)
+SELECT doc_id, term, before, remaining, marked, greatest(0, before - remaining) AS destroyed,
+CASE WHEN marked = 0 THEN remaining = 0 ELSE greatest(0, before - remaining) >= least(marked, before) END AS proved FROM c WHERE before + remaining + marked > 0""")
+def cmp13_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Census of each term in each redacted file, in all forms: titles stored as hex keep what the text has lost."""
+    pattern = "(?iu)(the|tion|und|é)"
+    title = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", title.alias("title"))
+    docs = docs.withColumn("kept", F.when(F.col("doc_id") % 5 == 0, T.mask_terms(F.col("title"), pattern)).otherwise(F.col("title")))
+
+    def stored(c: str) -> F.Column:
+        form = F.when(F.col("doc_id") % 3 == 0, residue.latin1_hex(F.col(c))).when(F.col("doc_id") % 3 == 1, residue.utf16_hex(F.col(c))).otherwise("")
+        return F.concat(F.lit(" <"), form, F.lit(">"))
+
+    before = docs.select("doc_id", F.concat("text", stored("title")).alias("text"))
+    after = docs.select("doc_id", F.concat(T.mask_terms(F.col("text"), pattern), stored("kept")).alias("text"))
+    low = docs.select("doc_id", F.lower("text").alias("low"))
+    marks = [F.struct(F.lit(n).alias("term"), residue.times(F.col("low"), n).alias("hits")) for n in RESIDUE_TERMS]
+    marked = low.select("doc_id", F.inline(F.filter(F.array(*marks), lambda x: x["hits"] > 0)))
+    return residue.proofs(before, after, marked, ["doc_id"], RESIDUE_TERMS)
+
+
 @query("""SELECT min_by(text, item_id) AS spelling, lower(trim(text)) AS needle, min(item_id) AS item_id FROM benchmark GROUP BY lower(trim(text))""")
 def agg20_distinct_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.first_spelling(load(spark, sf_dir, "benchmark"), "text", "item_id").select(F.col("text").alias("spelling"), "needle", "item_id")
@@ -212,10 +253,12 @@ def scl10_block_openers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).where(T.opens_block(F.col("text"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, lower(text) AS literal, lower(hex(encode(text))) AS utf8_hex FROM documents""")
+@query(f"""SELECT doc_id, lower(text) AS literal, CASE WHEN text = '' THEN '' ELSE array_to_string(list_transform({_UNITS}, lambda u: printf('%02x', u % 256)), '') END AS latin1_hex,
+CASE WHEN text = '' THEN '' ELSE array_to_string(list_transform({_UNITS}, lambda u: printf('%04x', u)), '') END AS utf16_hex FROM documents""")
 def scl17_needle_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = T.needle_forms(F.col("text"))
-    return load(spark, sf_dir, "documents").select("doc_id", forms["literal"].alias("literal"), F.lower(F.hex(F.encode("text", "UTF-8"))).alias("utf8_hex"))
+    """Every text in the forms in which a needle may be stored."""
+    c = F.col("text")
+    return load(spark, sf_dir, "documents").select("doc_id", F.lower(c).alias("literal"), residue.latin1_hex(c).alias("latin1_hex"), residue.utf16_hex(c).alias("utf16_hex"))
 
 
 @query()
