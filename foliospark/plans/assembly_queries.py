@@ -79,14 +79,6 @@ def jon20_mark_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks_in_force(_marked_items(spark, sf_dir), ["page_id"], "pos")
 
 
-@query(f"""WITH {LINES_SQL}, w AS (SELECT doc_id, line, unnest(string_split(text, ' ')) AS w FROM ln), n AS (SELECT doc_id, line, count(*) AS n FROM w GROUP BY 1, 2)
-SELECT doc_id, count(*) AS lines, max(n) AS most, median(n){D} AS mid FROM n GROUP BY doc_id""")
-def agg27_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report a document: lines compared, the most and the middle of what was counted on them."""
-    n = lines(spark, sf_dir).withColumn("n", F.size(F.split("text", " ")))
-    return n.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.max("n").cast("long").alias("most"), F.median("n").alias("mid"))
-
-
 @query(f"""WITH {RUNS_SQL}, l AS (SELECT doc_id, line, min(y) AS y, max(x + width) - min(x) AS w FROM rn GROUP BY 1, 2) SELECT doc_id, min(y) AS rule FROM l WHERE w >= 0.3{D} * 612.0{D} AND y > 80 AND y <= 110 GROUP BY doc_id""")
 def agg32_footer_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lowest level rule of 30 % of the width in the band above the foot."""
