@@ -83,6 +83,19 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], weight: st
     return result
 
 
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A number from a row's id and text, never negative, for which no two different rows agree: that is checked, so a
+    collision only means another seed. Rows equal in both share it, and what holds for one holds for the other. Unlike a
+    row's place it is the same whatever executors come and go."""
+    for seed in range(100):
+        key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).bitwiseAND((1 << 63) - 1)
+        content = F.md5(F.concat_ws(":", F.col(id_col).isNull().cast("string"), F.col(id_col).cast("string"), F.col(text_col)).cast("binary"))
+        by_key = docs.select(key.alias("key"), content.alias("c")).groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"))
+        if by_key.where("a <> b").isEmpty():
+            return key
+    raise RuntimeError("no seed tells the rows apart")
+
+
 def hash_words(words: list[bytes], key: str = "0123456789123456") -> np.ndarray:
     """64-bit SipHash of each word, under a key of 16 characters."""
     if not words:

@@ -27,8 +27,13 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tails = {m.encode(): self._encode([m])[0].astype("<u2").tobytes() for m in (",", ".")}
         vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
+            raise ValueError(f"ids are packed as 16-bit numbers; {path} has larger ones")
+        whole, *parts = self._encode(["Left, RIGHT.\tends", "left", ",", "right", ".", "ends"])
+        if whole.tolist() != np.concatenate(parts).tolist():
+            raise ValueError(f"{path} doesn't lower-case or has tokens that reach across white space or signs")
+        self.tails = {m.encode(): self._encode([m])[0].astype("<u2").tobytes() for m in (",", ".")}
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memory: dict[bytes, bytes] = {}

@@ -9,10 +9,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mixed, written
+from .common import discard, mixed, row_key, written
 from .packed import arrow_schema, bucket_count, bucket_width, pack_buckets, pack_table, to_groups, unpack_bodies, unpack_table, wrap
 
 #: Bytes of the pieces whose least hash anchors a window; a power of two below every window.
@@ -260,18 +260,6 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
             yield key, text.as_py() or b""
 
 
-def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    """A number from a row's id and text, never negative, for which no two different rows agree: that is checked, so a
-    collision only means another seed. Rows equal in both share it, and what holds for one holds for the other."""
-    for seed in range(100):
-        key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).bitwiseAND((1 << 63) - 1)
-        content = F.md5(F.concat_ws(":", F.col(id_col).isNull().cast("string"), F.col(id_col).cast("string"), F.col(text_col)).cast("binary"))
-        by_key = docs.select(key.alias("key"), content.alias("c")).groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"))
-        if by_key.where("a <> b").isEmpty():
-            return key
-    raise RuntimeError("no seed tells the rows apart")
-
-
 def _first_exchange(docs: DataFrame, n_buckets: int, width: int, limits: Limits) -> DataFrame:
     """(bucket, body, done): each run's anchor and a digest of its bytes, packed by anchor."""
     step = bucket_width(n_buckets)
@@ -519,7 +507,7 @@ def _cut(docs: DataFrame, width: int, id_col: str, text_col: str, limits: Limits
         raise ValueError(f"width must be between {GRAM + 1} and {GRAM + 255}")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    keyed = base.select(_row_key(base, "doc_id", "text").alias("key"), "text", "doc_id")
+    keyed = base.select(row_key(base, "doc_id", "text").alias("key"), "text", "doc_id")
     marks = repeated_windows(keyed.where(F.octet_length("text") >= width).select("key", "text"), bucket_count(base, hashes=4_000_000), width, limits)
     full = f"doc_id {kind}, n_bytes long, n_removed long, {ddl}"
     schema = arrow_schema(full)

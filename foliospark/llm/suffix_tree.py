@@ -13,14 +13,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, hash_words, mixed, written
+from .common import discard, hash_words, mixed, row_key, written
 from .packed import arrow_schema, bucket_count, bucket_width, pack_buckets, to_groups, unpack_bodies, unpack_table, wrap
 
 #: Stands for a text's end among the word hashes.
 END = np.uint64(0x8000000000000001)
 _ENDS = np.array([END])
-#: Stands for a null id.
-NO_ID = -(1 << 63)
 #: Tells the key of a context from that of the same words as a shorter context and its next word.
 CONTEXT = 0x2545F4914F6CDD1D
 #: Tokens that a task works on at once: some 200 bytes each, in scoring 600, where a token has several keys.
@@ -374,8 +372,8 @@ def score(docs: DataFrame, tree: SuffixTree, vocabulary: DataFrame, id_col: str
     logarithm is a sum: that of the token's own share, then for every retained suffix that of what it leaves, and the
     gain of a word that it keeps. So common words and contexts are looked up in the worker; the others, each of which is
     a small share of all tokens, meet the tables by ranges of keys, packed, and go back as sums by document. Null texts are empty;
-    rows that share an id are scored as one document with all their tokens (distinct ids are expected); a null id is an
-    id of its own. Other columns are not read.
+    every row is a document of its own and has its row in the result, also where ids are null or repeated. Other columns
+    are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(replace(tree, grams=None))
@@ -442,7 +440,11 @@ def score(docs: DataFrame, tree: SuffixTree, vocabulary: DataFrame, id_col: str
         sums = [np.bincount(whose, found.column(k).to_numpy(), len(ids)) for k in range(1, 5)]
         return pa.table([pa.array(x) for x in (ids, sums[0].astype(np.int64), sums[1].astype(np.int64), *sums[2:])], schema=schema)
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # rows equal in id and text share a key, under which their sums come together; each has its part of them
+    keyed = base.select(row_key(base, "id", "text").alias("doc_id"), "id", "text")
+    rows = keyed.select("doc_id", "text")
+    owners = keyed.groupBy("doc_id").agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     common = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"word": pa.array(tree.words.view(np.int64))})))
     gained = F.log10((F.col("c") - F.lit(tree.discount)) / F.lit(float(max(1, tree.tokens)))) - F.lit(missing)
     rare = vocabulary.join(common, "word", "left_anti").select(F.col("word").alias("key"), F.col("c").cast("long"), gained.alias("value"))
@@ -458,11 +460,13 @@ def score(docs: DataFrame, tree: SuffixTree, vocabulary: DataFrame, id_col: str
     asked = rows.mapInArrow(run, "bucket int, body binary, done binary")
     judged = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(look_up, "group int, findings binary")
     total = F.lit(float(np.log10(tree.tokens + tree.distinct + 1)))
-    return judged.groupBy("group").applyInArrow(add_up, parts).select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).cast(kind).alias("doc_id"),
-        "n_tokens",
-        "n_known",
+    sums = judged.groupBy("group").applyInArrow(add_up, parts).join(owners, "doc_id")
+    part = lambda c: F.col(c) / F.col("copies")
+    return sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
+        F.col("id").cast(kind).alias("doc_id"),
+        part("n_tokens").cast("long").alias("n_tokens"),
+        part("n_known").cast("long").alias("n_known"),
         F.lit(tree.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * total).alias("base_score"),
-        F.col("log").alias("score"),
+        (part("base") - part("n_tokens") * total).alias("base_score"),
+        part("log").alias("score"),
     )
