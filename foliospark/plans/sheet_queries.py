@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import page_roles as R
+from ..operators.running_heads import page_bands, running_heads
 from ..sources.sheets import SHEETS_SQL, sheet_items
 from .registry import query
 
@@ -54,7 +55,7 @@ def cmp2_region_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.join(plan.drop("item"), R.PAGE, "left").select("doc", "page", "multi_up", "printed", "confidence", "ceiling", "quadrant", number)
 
 
-@query(f"""WITH {_FACTS_SQL},
+_ROLES_SQL = f"""{_FACTS_SQL},
 bk AS (SELECT *, regexp_replace(regexp_replace(lower(trim(text)), '[0-9]', '#', 'g'), '\\s+', ' ', 'g') AS band FROM it),
 np AS (SELECT doc, count(DISTINCT page) AS n FROM it GROUP BY 1),
 rt AS (SELECT doc, band FROM (SELECT DISTINCT doc, page, band FROM bk WHERE (cy > 792 * (1 - 0.08::DOUBLE) OR cy < 792 * 0.12::DOUBLE) AND band <> '') JOIN np USING (doc)
@@ -65,9 +66,30 @@ ro AS (SELECT bk.*, fa.multi_up, fa.ceiling, fa.printed, fa.own, nk.item IS NOT
 rb AS (SELECT *, CASE WHEN multi_up THEN NULL WHEN ceiling IS NOT NULL AND cy < ceiling THEN 'footer' WHEN ceiling IS NOT NULL AND cy < 792 * 0.12::DOUBLE THEN NULL
        WHEN cy > 792 * (1 - 0.08::DOUBLE) THEN CASE WHEN again OR cy > 792 * (1 - 0.06::DOUBLE) OR cy < 792 * 0.06::DOUBLE THEN 'header' END
        WHEN cy < 792 * 0.08::DOUBLE THEN CASE WHEN again OR cy < 792 * 0.06::DOUBLE THEN 'footer' END
-       WHEN again AND cy < 792 * 0.12::DOUBLE THEN 'footer' END AS place FROM ro)
-SELECT doc, page, item, CASE WHEN numbered THEN 'line-number' WHEN mini OR item = own THEN 'page-number'
-  WHEN place IS NOT NULL AND regexp_matches(trim(text), '^[A-Za-z][A-Za-z0-9]{{0,19}}[ _.-]?[0-9]{{3,10}}$') THEN 'stamp' ELSE coalesce(place, 'body') END AS role FROM rb""")
+       WHEN again AND cy < 792 * 0.12::DOUBLE THEN 'footer' END AS place FROM ro),
+rl AS (SELECT doc, page, item, text, x, y, printed, CASE WHEN numbered THEN 'line-number' WHEN mini OR item = own THEN 'page-number'
+  WHEN place IS NOT NULL AND regexp_matches(trim(text), '^[A-Za-z][A-Za-z0-9]{{0,19}}[ _.-]?[0-9]{{3,10}}$') THEN 'stamp' ELSE coalesce(place, 'body') END AS role FROM rb)"""
+
+
+@query(f"WITH {_ROLES_SQL} SELECT doc, page, item, role FROM rl")
 def cmp1_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The role of every item of every page, by evidence of the page and of its document."""
     return R.classified(sheet_items(spark, sf_dir)).select("doc", "page", "item", "role")
+
+
+@query(f"""WITH {_ROLES_SQL},
+pb AS (SELECT doc, (page - 1) // 3 AS section, page, coalesce(string_agg(text, ' | ' ORDER BY y DESC, x, item) FILTER (WHERE role = 'header'), '') AS header,
+  regexp_replace(coalesce(string_agg(text, '' ORDER BY y DESC, x, item) FILTER (WHERE role = 'footer'), ''), '\\s+', '', 'g') AS foot, arg_min(text, item) FILTER (WHERE role = 'page-number') AS number,
+  any_value(printed) AS printed FROM rl GROUP BY 1, 2, 3),
+pp AS (SELECT *, regexp_replace(regexp_replace(trim(number), '^([^0-9]*)[0-9]+', '\\1{{n}}'), '(of\\s*)[0-9]+', '\\1{{total}}', 'g') AS pat, row_number() OVER (PARTITION BY doc, section ORDER BY page) AS k,
+  row_number() OVER (PARTITION BY doc, section ORDER BY number IS NULL, page) AS nk, row_number() OVER (PARTITION BY doc, section ORDER BY header = '', page) AS hk FROM pb),
+ag AS (SELECT doc, section, count(*) AS pages, min(page) AS fp, any_value(page) FILTER (WHERE hk = 1 AND header <> '') AS header_page, any_value(header) FILTER (WHERE hk = 1 AND header <> '') AS header,
+  any_value(page) FILTER (WHERE nk = 1 AND number IS NOT NULL) AS numbered_page, any_value(pat) FILTER (WHERE nk = 1) AS pattern, any_value(printed - page) FILTER (WHERE nk = 1 AND number IS NOT NULL) AS ahead,
+  count(DISTINCT pat) = 1 AND count(DISTINCT printed - page) FILTER (WHERE number IS NOT NULL) = 1 AS steady, count(*) FILTER (WHERE k > 1 AND number IS NOT NULL AND printed = page) AS later,
+  bool_or(k = 1 AND number IS NOT NULL) AS first_has, any_value(foot) FILTER (WHERE k = 1) AS f1, any_value(foot) FILTER (WHERE nk = 1 AND number IS NOT NULL) AS fn FROM pp GROUP BY 1, 2)
+SELECT doc, section, pages, header_page, header, numbered_page, pattern, ahead + fp AS start, steady, NOT first_has AND pages > 1 AND later = pages - 1 AS first_differs,
+  CASE WHEN NOT first_has AND f1 <> '' AND f1 = fn THEN numbered_page END AS twin_page FROM ag""")
+def cmp9_section_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running heads and page-number fields of sections of three pages, from all lines of both bands."""
+    roles = R.classified(sheet_items(spark, sf_dir)).withColumn("section", F.floor((F.col("page") - 1) / 3))
+    return running_heads(page_bands(roles, ["doc", "section"]), ["doc", "section"])
