@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import geometry as G
+from ..operators.name_tree import destinations
 from ..session import load
 from ..sources.tables import LINES_SQL, PAGES_SQL, RUNS_SQL, lines, pages, runs
 from .layout_queries import _MARKS_SQL, _line_boxes, _marks
@@ -157,3 +158,37 @@ def cmp18_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named destinations resolved to a page, page 1 where the name leads nowhere."""
     target = load(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("dest")).agg(F.min("l_linenumber").alias("p"))
     return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("dest")).join(target, "dest", "left").select("dest", F.coalesce("p", F.lit(1)).alias("page"))
+
+
+# A name tree: regions, nations, customers and each customer's orders one below the other; some customers hang in a cycle.
+_TREE_SQL = """k AS (SELECT 'root' AS node, r_regionkey AS ordinal, 'r' || r_regionkey AS kid FROM region UNION ALL SELECT 'r' || n_regionkey, n_nationkey, 'n' || n_nationkey FROM nation
+  UNION ALL SELECT CASE WHEN c_custkey % 50 = 7 THEN 'c' || c_custkey ELSE 'n' || c_nationkey END, c_custkey, 'c' || c_custkey FROM customer
+  UNION ALL SELECT CASE WHEN i = 1 THEN 'c' || c ELSE 'o' || p END, o, 'o' || o FROM od),
+nm AS (SELECT 'o' || o AS node, 0 AS place, 'order ' || (o % 9000) AS name, o AS target FROM od)"""
+
+
+@query(f"""WITH RECURSIVE od AS (SELECT o_custkey AS c, o_orderkey AS o, row_number() OVER w AS i, lag(o_orderkey) OVER w AS p FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), {_TREE_SQL},
+t(node, depth, path) AS (SELECT 'root', 0, []::BIGINT[] UNION ALL SELECT kid, depth + 1, list_append(path, ordinal) FROM t JOIN k USING (node) WHERE depth < 32),
+f AS (SELECT name, target FROM nm JOIN t USING (node) QUALIFY row_number() OVER (PARTITION BY name ORDER BY path, place, target) = 1),
+pg AS (SELECT l_orderkey AS target, min(l_linenumber) AS page FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT o_orderkey AS item, 'order ' || o_orderkey AS name, coalesce(page, 1) AS page FROM orders LEFT JOIN f ON f.name = 'order ' || o_orderkey LEFT JOIN pg USING (target)""")
+def cmp18_name_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of each order's name: looked up in a tree that is as deep as a customer has orders, with cycles and repeated names."""
+    c = F.col
+    label = lambda sign, col: F.concat(F.lit(sign), c(col).cast("string"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    orders = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.lag("o_orderkey").over(w).alias("before"))
+    kid = lambda df, node, ordinal, kid: df.select(F.lit(0).alias("doc"), node.alias("node"), c(ordinal).cast("long").alias("ordinal"), kid.alias("kid"))
+    kids = kid(load(spark, sf_dir, "region"), F.lit("root"), "r_regionkey", label("r", "r_regionkey"))
+    kids = kids.unionByName(kid(load(spark, sf_dir, "nation"), label("r", "n_regionkey"), "n_nationkey", label("n", "n_nationkey")))
+    own = F.when(c("c_custkey") % 50 == 7, label("c", "c_custkey")).otherwise(label("n", "c_nationkey"))
+    kids = kids.unionByName(kid(load(spark, sf_dir, "customer"), own, "c_custkey", label("c", "c_custkey")))
+    kids = kids.unionByName(kid(orders, F.when(c("before").isNull(), label("c", "o_custkey")).otherwise(label("o", "before")), "o_orderkey", label("o", "o_orderkey")))
+    named = orders.select(
+        F.lit(0).alias("doc"), label("o", "o_orderkey").alias("node"), F.lit(0).alias("ordinal"),
+        F.concat(F.lit("order "), (c("o_orderkey") % 9000).cast("string")).alias("name"), c("o_orderkey").alias("target"),
+    )
+    pages = load(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.lit(0).alias("doc"), c("l_orderkey").alias("target")).agg(F.min("l_linenumber").alias("page"))
+    roots = spark.range(1).select(F.lit(0).alias("doc"), F.lit("root").alias("node"))
+    items = load(spark, sf_dir, "orders").select(F.lit(0).alias("doc"), c("o_orderkey").alias("item"), label("order ", "o_orderkey").alias("name"))
+    return destinations(items, named, kids, roots, pages, ["doc"]).select("item", "name", "page")

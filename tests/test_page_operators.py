@@ -238,3 +238,99 @@ def test_fidelity(spark):
         "numbers": 4, "off_lines": 3, "off_paper": 4,
     }
     assert (got[2]["source_words"], got[2]["exported_words"], got[2]["matched"], got[2]["missing"], got[2]["median_dy"], got[2]["numbers"]) == (1, 0, 0, 1, 0.0, 0)
+
+
+def chains_of(sightings, step):
+    """Greedy chains by the plain loop."""
+    chains = []
+    for band, lo, hi in sorted(sightings):
+        centre = (lo + hi) / 2
+        home = next((c for c in chains if 0 < band - c[-1][0] <= 4 and abs(centre - (c[-1][1] + c[-1][2]) / 2) <= step * (band - c[-1][0])), None)
+        if home is None:
+            chains.append([(band, lo, hi)])
+        else:
+            home.append((band, lo, hi))
+    out = []
+    for c in chains:
+        if len(c) >= 0.7 * (c[-1][0] - c[0][0] + 1):
+            thick, centre = (sorted(v)[len(c) // 2] for v in ([hi - lo for _, lo, hi in c], [(lo + hi) / 2 for _, lo, hi in c]))
+            out.append((c[0][0], c[-1][0], len(c), centre - thick / 2, thick))
+    return sorted(out)
+
+
+def test_tracked_rules(spark):
+    """Chains with gaps, crossings, ties and noise; slanted strokes; a gap of four bands ends one."""
+    rng = random.Random(9)
+    pages = {0: [(b, 10.0 + b, 12.0 + b) for b in range(12) if b not in (4, 5)], 1: [(b, 50.0, 53.0) for b in (0, 1, 2, 7, 8, 9)], 2: [(3, 5.0, 6.0)] * 3}
+    for p in range(3, 20):
+        pages[p] = [(rng.randrange(15), float(x), float(x + rng.randrange(1, 4))) for x in (rng.choice([10, 11, 13, 40, 60]) for _ in range(rng.randrange(40)))]
+    rows = [(p, *s) for p, own in pages.items() for s in own]
+    got = P_rules(spark, rows)
+    assert got == {p: chains_of(own, 2.0) for p, own in pages.items() if chains_of(own, 2.0)}
+    assert got[0] == [(0, 11, 10, 17.0, 2.0)] and len(got[1]) == 2
+
+
+def P_rules(spark, rows):
+    from foliospark.operators import pictures
+
+    found = {}
+    for r in pictures.tracked_rules(spark.createDataFrame(rows, "page long, band long, lo double, hi double"), ["page"], 2.0).collect():
+        found.setdefault(r["page"], []).append((r["first_band"], r["last_band"], r["seen"], r["at"], r["thick"]))
+    return {p: sorted(v) for p, v in found.items()}
+
+
+def test_planned_pictures(spark):
+    from foliospark.operators import pictures
+
+    boxes = [
+        (1, 1, 0.0, 0.0, 600.0, 780.0), (1, 2, 72.0, 100.0, 3.0, 50.0),  # a scan under hidden text, a speck
+        (2, 1, 0.0, 0.0, 600.0, 780.0), (2, 2, 100.0, 500.0, 50.0, 50.0), (2, 3, 440.0, 100.0, 100.0, 50.0), (2, 4, 256.0, 100.0, 100.0, 50.0),
+        (2, 5, 90.0, 100.0, 100.0, 50.0), (2, 6, 60.0, 100.0, 936.0, 50.0), (3, 1, 0.0, 0.0, 600.0, 780.0), *((4, k, 72.0, 100.0 + k, 10.0, 10.0) for k in range(13)),
+    ]
+    made = spark.createDataFrame(boxes, "page long, picture long, x double, y double, width double, height double")
+    runs = spark.createDataFrame([(1, 300.0, "seen by a machine", True), (2, 520.0, "a line", False), (2, 149.0, "just touches", False), (2, 120.0, "  ", False)], "page long, y double, text string, hidden boolean")
+    pages = spark.createDataFrame([(p, 612.0, 792.0, 72.0, 540.0) for p in range(1, 5)], "page long, page_width double, page_height double, left double, right double")
+    got = {(r["page"], r["picture"]): (r["plan"], r["alignment"], r["indent"], r["plan_width"], r["plan_height"]) for r in pictures.planned_pictures(made, runs, pages, ["page"]).collect()}
+    none = (None, None, None, None)
+    assert got[1, 1] == ("scan", *none) and got[1, 2] == ("small", *none) and got[2, 1] == ("backdrop", *none)
+    assert got[2, 2] == ("pinned", "left", 0.0, 50.0, 50.0)
+    assert got[2, 3] == ("inline", "right", 0.0, 100.0, 50.0) and got[2, 4] == ("inline", "center", 0.0, 100.0, 50.0)
+    assert got[2, 5] == ("inline", "left", 18.0, 100.0, 50.0) and got[2, 6] == ("inline", "left", 0.0, 468.0, 25.0)
+    assert got[3, 1][0] == "inline" and {got[4, k][0] for k in range(13)} == {"many"}
+    assert pictures.planned_pictures(made, runs, pages, ["page"], scans="behind").where("plan = 'behind'").count() == 1
+
+
+def test_running_heads(spark):
+    from foliospark.operators.running_heads import page_bands, running_heads
+
+    rows = []
+    for section, numbers in (("steady", ["- 4 -", "- 5 -", "- 6 -"]), ("first", [None, "Page 2 of 9", "Page 3 of 9"]), ("mixed", ["1", "[2]", "7"]), ("none", [None, None])):
+        for page, number in enumerate(numbers, 1):
+            rows += [(section, page, 10, "Smith v. Jones", 200.0, 760.0, "header", None), (section, page, 11, "left", 72.0, 750.0, "header", None)] if page > 1 else []
+            rows += [(section, page, 20, " My  foot", 72.0, 40.0, "footer", None), (section, page, 30, "body", 72.0, 400.0, "body", None)]
+            rows += [(section, page, 40, number, 300.0, 40.0, "page-number", None)] if number else []
+    printed = {("steady", p): p + 3 for p in (1, 2, 3)} | {("first", p): p for p in (2, 3)} | {("mixed", 1): 1, ("mixed", 2): 2, ("mixed", 3): 7}
+    rows = [(*r[:7], printed.get((r[0], r[1]))) for r in rows]
+    items = spark.createDataFrame(rows, "doc string, page long, item long, text string, x double, y double, role string, printed int")
+    got = {r["doc"]: tuple(r)[1:] for r in running_heads(page_bands(items, ["doc"]), ["doc"]).collect()}
+    head = (2, "Smith v. Jones | left")
+    assert got == {
+        "steady": (3, *head, 1, "- {n} -", 4, True, False, None), "first": (3, *head, 2, "Page {n} of {total}", 1, True, True, 2),
+        "mixed": (3, *head, 1, "{n}", 1, False, False, None), "none": (2, *head, None, None, None, False, False, None),
+    }
+
+
+def test_name_tree(spark):
+    """A chain of 40 nodes, a cycle, a node with two parents, names that stand twice, targets that are no page."""
+    from foliospark.operators.name_tree import destinations
+
+    kids = [("d", f"n{k}", 0, f"n{k + 1}") for k in range(40)] + [("d", "n0", 1, "b"), ("d", "b", 0, "x"), ("d", "n0", 2, "x"), ("d", "y", 0, "z"), ("d", "z", 0, "y"), ("d", "x", 0, "b")]
+    names = [("d", f"n{k}", 0, f"deep {k}", k) for k in range(41)] + [("d", "x", 1, "twice", 90), ("d", "b", 3, "twice", 91), ("d", "y", 0, "cycle", 92), ("d", "n0", 5, "no page", 999), ("e", "n0", 0, "other", 1)]
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    asked = [("d", f"deep {k}") for k in range(41)] + [("d", n) for n in ("twice", "cycle", "no page", "absent", "other")]
+    got = destinations(
+        made(asked, "doc string, name string"), made(names, "doc string, node string, ordinal int, name string, target long"), made(kids, "doc string, node string, ordinal int, kid string"),
+        made([("d", "n0")], "doc string, node string"), made([("d", k, 1000 + k) for k in range(100)], "doc string, target long, page int"), ["doc"],
+    )
+    got = {r["name"]: r["page"] for r in got.collect()}
+    assert got == {f"deep {k}": 1000 + k if k <= 32 else 1 for k in range(41)} | {"twice": 1091, "cycle": 1, "no page": 1, "absent": 1, "other": 1}
