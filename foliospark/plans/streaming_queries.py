@@ -103,19 +103,39 @@ def src2_encryption_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", is_encrypted(F.col("html").cast("binary")).alias("encrypted"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ')) AS t FROM documents) SELECT doc_id, count(*) FILTER (WHERE t <> '') AS words FROM w GROUP BY doc_id""")
+@query(r"""WITH l AS (SELECT doc_id, i - 1 AS i, list_filter(string_split_regex(t[i], '\s+'), lambda w: w <> '') AS ws FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents), unnest(range(1, len(t) + 1)) AS r(i)),
+w AS (SELECT doc_id, i, j, ws[j + 1] AS w FROM l, unnest(range(0, len(ws))) AS r(j))
+SELECT doc_id, i * 20 AS y0, count(*) AS words, sum(length(w))::BIGINT AS letters, sum(j * 10)::BIGINT AS x0, sum(j * 10 + 8)::BIGINT AS x1, sum((60 + (i + j) % 40)::DOUBLE) AS conf,
+sum(CASE WHEN i % 5 <> 4 THEN (i * 20 + 18) + 0.125::DOUBLE * (j * 10 + 4) - 2 END) AS baseline, sum(CASE WHEN i % 5 <> 4 THEN CASE WHEN i % 3 = 2 THEN 18.0::DOUBLE ELSE 12.5::DOUBLE END END) AS size,
+5000 AS page_width FROM w GROUP BY doc_id, i""")
 def src12_hocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as hOCR, a box a word, and parsed back: every word returns."""
+    """Documents written as hOCR and parsed back: boxes, confidences, baselines and sizes of the words, summed up by line."""
     ship(spark)
+    c = F.col
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # the file may be one row group; its texts are dealt out before they are written as hOCR
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text").repartition(n, "doc_id")
     escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    words = F.filter(F.split(F.regexp_replace(escaped, r"\s+", " "), " "), lambda w: w != "")
-    spans = F.transform(
-        words, lambda w, i: F.concat(F.lit("<span class='ocrx_word' title='bbox "), (i * 10).cast("string"), F.lit(" 0 "), (i * 10 + 8).cast("string"), F.lit(" 9; x_wconf 90'>"), w, F.lit("</span>"))
+    text = lambda x: x.cast("string")
+
+    def line(t: F.Column, i: F.Column) -> F.Column:
+        metrics = F.concat(F.when(i % 5 == 4, "").otherwise("; baseline 0.125 -2"), F.when(i % 3 == 2, "").otherwise("; x_size 12.5"))
+        words = F.transform(
+            F.filter(F.split(t, r"\s+"), lambda w: w != ""),
+            lambda w, j: F.concat(
+                F.lit("<span class='ocrx_word' title='bbox "), text(j * 10), F.lit(" "), text(i * 20), F.lit(" "), text(j * 10 + 8), F.lit(" "), text(i * 20 + 9),
+                F.lit("; x_wconf "), text((i + j) % 40 + 60), F.lit("'>"), w, F.lit("</span>"),
+            ),
+        )
+        head = F.concat(F.lit("<span class='ocr_line' title='bbox 0 "), text(i * 20), F.lit(" 5000 "), text(i * 20 + 18), metrics, F.lit("'>"))
+        return F.concat(head, F.array_join(words, " "), F.lit("</span>"))
+
+    hocr = F.concat(F.lit("<div class='ocr_page' title='bbox 0 0 5000 9999'>"), F.array_join(F.transform(F.split(escaped, "\n"), line), " "), F.lit("</div>"))
+    found = hocr_words(docs.select("doc_id", hocr.alias("hocr")), "doc_id", "hocr")
+    total = lambda col: F.sum(col).alias(col)
+    return found.groupBy(c("id").alias("doc_id"), "y0").agg(
+        F.count(F.lit(1)).alias("words"), F.sum(F.length("text")).alias("letters"), *[total(k) for k in ("x0", "x1", "conf", "baseline", "size")], F.first("page_width").alias("page_width")
     )
-    hocr = F.concat(F.lit("<div class='ocr_page' title='bbox 0 0 9999 9999'>"), F.array_join(spans, " "), F.lit("</div>"))
-    docs = load(spark, sf_dir, "documents").select("doc_id", hocr.alias("hocr"))
-    found = hocr_words(docs, "doc_id", "hocr").groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("words"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("words", F.lit(0)).alias("words"))
 
 
 @query("SELECT doc_id, true AS same, octet_length(encode(text)) AS n_bytes FROM documents")

@@ -34,55 +34,82 @@ def _box(title: dict[str, list[float]]) -> tuple[int, ...] | None:
     return tuple(int(v) for v in box) if len(box) == 4 else None
 
 
+def page_box(hocr: str) -> tuple[int, ...]:
+    """The box of the page element; a text without one is an error."""
+    for m in _TAG.finditer(hocr):
+        attributes = _attributes(m[3]) if not m[1] else {}
+        if "ocr_page" in attributes.get("class", "").split():
+            box = _box(fields(attributes.get("title", "")))
+            if box is not None:
+                return box
+    raise ValueError("no page with a box")
+
+
+def _attributes(tag: str) -> dict[str, str]:
+    return {name.lower(): double or single for name, double, single in _ATTRIBUTE.findall(tag)}
+
+
 def words(hocr: str) -> list[tuple]:
-    """(text, x0, y0, x1, y1, confidence, baseline at the word's centre or None). A word without a box, with an empty one,
-    or without an end is an error."""
+    """(text, x0, y0, x1, y1, confidence, baseline, size). A word with a text but without a box, with an empty one, or without
+    an end is an error; one without a text is left out.
+
+    The line that began last is in force. If it has a baseline, a word's is that at its centre, and its size is the line's
+    x_size or else the height of its box; they are None otherwise.
+    """
     out: list[tuple] = []
-    open_: list[tuple[int, tuple[int, ...], float] | None] = []
-    line: tuple[int, int, float, float] | None = None
+    open_: list[tuple[int, tuple[int, ...] | None, float, tuple | None] | None] = []
+    line: tuple[int, int, float, float, float] | None = None
     for m in _TAG.finditer(hocr):
         if not m[1]:
-            attributes = {name.lower(): double or single for name, double, single in _ATTRIBUTE.findall(m[3])}
+            attributes = _attributes(m[3])
             classes, title = set(attributes.get("class", "").split()), fields(attributes.get("title", ""))
             box = _box(title)
             if "ocrx_word" in classes:
-                if box is None:
-                    raise ValueError("a word without a box")
-                open_.append((m.end(), box, (title.get("x_wconf") or [0.0])[0]))
+                open_.append((m.end(), box, (title.get("x_wconf") or [0.0])[0], line))
                 continue
             if box and classes & LINES:
                 base = title.get("baseline", [])
-                line = (box[0], box[3], base[0], base[1]) if len(base) > 1 else None
+                size = (title.get("x_size") or [float(box[3] - box[1])])[0]
+                line = (box[0], box[3], base[0], base[1], size) if len(base) > 1 else None
             open_.append(None)
             continue
         word = open_.pop() if open_ else None
         if word is None:
             continue
-        start, (x0, y0, x1, y1), conf = word
-        text = decode_entities(re.sub(r"<[^>]*>", "", hocr[start : m.start()])).strip()
+        start, box, conf, own = word
+        text = " ".join(decode_entities(re.sub(r"<[^>]*>", "", hocr[start : m.start()])).split())
+        if not text:
+            continue
+        if box is None:
+            raise ValueError(f"{text!r} has no box")
+        x0, y0, x1, y1 = box
         if x1 <= x0 or y1 <= y0:
             raise ValueError(f"empty box of {text!r}")
-        base = None if line is None else line[1] + line[2] * ((x0 + x1) / 2 - line[0]) + line[3]
-        if text:
-            out.append((text, x0, y0, x1, y1, conf, base))
+        base = None if own is None else own[1] + own[2] * ((x0 + x1) / 2 - own[0]) + own[3]
+        out.append((text, x0, y0, x1, y1, conf, base, own[4] if own is not None and own[4] > 0 else None))
     if any(open_):
         raise ValueError("a word without an end")
     return out
 
 
 def hocr_words(pages: DataFrame, id_col: str, hocr_col: str) -> DataFrame:
-    """id, word_idx, text, x0, y0, x1, y1, conf, baseline: a row a word."""
+    """id, word_idx, text, x0, y0, x1, y1, conf, baseline, size, page_width, page_height: a row a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "word_idx", "text", "x0", "y0", "x1", "y1", "conf", "baseline"]
+        names = ["id", "word_idx", "text", "x0", "y0", "x1", "y1", "conf", "baseline", "size", "page_width", "page_height"]
         for batch in batches:
-            rows = [(i, k, *w) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, w in enumerate(words(t or ""))]
+            rows = []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if t is None:
+                    continue
+                x0, y0, x1, y1 = page_box(t)
+                rows += [(i, k, *w, x1 - x0, y1 - y0) for k, w in enumerate(words(t))]
             if rows:
                 columns = list(zip(*rows, strict=True))
-                kinds = [batch.column(0).type, pa.int64(), pa.string(), *[pa.int64()] * 4, pa.float64(), pa.float64()]
+                kinds = [batch.column(0).type, pa.int64(), pa.string(), *[pa.int64()] * 4, *[pa.float64()] * 3, pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     kind = pages.schema[id_col].dataType.simpleString()
     return pages.select(F.col(id_col).alias("id"), F.col(hocr_col).alias("hocr")).mapInArrow(
-        run, f"id {kind}, word_idx long, text string, x0 long, y0 long, x1 long, y1 long, conf double, baseline double"
+        run, f"id {kind}, word_idx long, text string, x0 long, y0 long, x1 long, y1 long, conf double, baseline double, size double, page_width long, page_height long"
     )

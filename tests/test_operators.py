@@ -118,10 +118,17 @@ def test_wrap_and_pages(spark):
 def test_hocr():
     page = """<div class='ocr_page' title='bbox 0 0 100 100'><span class='ocr_line' title="bbox 0 0 90 20; baseline 0.1 -2">
     <span class='ocrx_word' title='bbox 10 2 30 18; x_wconf 91'><em>a</em>&amp;b</span></span></div>"""
-    assert hocr.words(page) == [("a&b", 10, 2, 30, 18, 91.0, 20 + 0.1 * 20 - 2)]
+    assert hocr.words(page) == [("a&b", 10, 2, 30, 18, 91.0, 20 + 0.1 * 20 - 2, 20.0)]
+    assert hocr.page_box(page) == (0, 0, 100, 100)
+    sized = page.replace("0.1 -2", "0.1 -2; x_size 13.5").replace("<em>a</em>&amp;b", " two \n words ")
+    assert hocr.words(sized)[0][0] == "two words" and hocr.words(sized)[0][-1] == 13.5
+    assert hocr.words(page.replace("; baseline 0.1 -2", ""))[0][-2:] == (None, None)
+    assert hocr.words("<span class='ocrx_word' title='x_wconf 3'> </span>") == []
+    with pytest.raises(ValueError, match="no page"):
+        hocr.page_box("<div class='ocr_page'></div>")
     with pytest.raises(ValueError, match="empty box"):
         hocr.words("<span class='ocrx_word' title='bbox 3 2 3 18'>x</span>")
-    with pytest.raises(ValueError, match="without a box"):
+    with pytest.raises(ValueError, match="has no box"):
         hocr.words("<span class='ocrx_word' title='x_wconf 3'>x</span>")
     with pytest.raises(ValueError, match="without an end"):
         hocr.words("<span class='ocrx_word' title='bbox 3 2 5 18'>x")
