@@ -84,9 +84,14 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], weight: st
 
 
 def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    """A number from a row's id and text, never negative, for which no two different rows agree: that is checked, so a
-    collision only means another seed. Rows equal in both share it, and what holds for one holds for the other. Unlike a
+    """A number for each row, never negative, that no two different rows share: the id where all ids are distinct whole numbers
+    (they pack well), else a hash of id and text. That no two different rows agree in it is checked, so a collision only
+    means another seed. Rows equal in id and text then share it, and what holds for one holds for the other. Unlike a
     row's place it is the same whatever executors come and go."""
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        by_id = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        if by_id.where("id is null or id < 0 or n > 1").isEmpty():
+            return F.col(id_col).cast("long")
     for seed in range(100):
         key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).bitwiseAND((1 << 63) - 1)
         content = F.md5(F.concat_ws(":", F.col(id_col).isNull().cast("string"), F.col(id_col).cast("string"), F.col(text_col)).cast("binary"))
