@@ -149,9 +149,60 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id)
 """
 
 
+# crc32 bit by bit, then a walk over each conversation's turns that keeps, for each state of the grammar (0 nothing yet, 1 system,
+# 2 user, 3 assistant), the cheapest edits and of those the ASCII-least, with the turns that they leave.
+OP11_SQL = r"""
+WITH RECURSIVE c0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS name FROM conversations),
+c1 AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, octet_length(name)), lambda i:
+    list_transform(range(0, 8), lambda b: ((('0x' || hex(name)[2 * i + 1 : 2 * i + 2])::BIGINT) >> b) & 1)))),
+  lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT) % 20 AS kind FROM c0),
+tn AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM c1, unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS r(copy)),
+od AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS k FROM tn),
+ft AS (SELECT *, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, role[1:1] AS ini, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+  lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM od),
+fa AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN again THEN 'd' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS fault FROM ft),
+su AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+  count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM fa GROUP BY 1),
+ins(s, u, cost, audit, lines) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']),
+  (3, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])),
+act(u, v, ini, cost, audit, role) AS (SELECT * FROM (VALUES (0, 0, NULL, 3, 'D', NULL), (1, 1, NULL, 3, 'D', NULL), (2, 2, NULL, 3, 'D', NULL), (3, 3, NULL, 3, 'D', NULL), (0, 1, 's', 0, 'K', NULL), (0, 2, 'u', 0, 'K', NULL),
+  (1, 2, 'u', 0, 'K', NULL), (3, 2, 'u', 0, 'K', NULL), (2, 3, 'a', 0, 'K', NULL), (0, 2, NULL, 2, 'R', 'user'), (1, 2, NULL, 2, 'R', 'user'), (2, 3, NULL, 2, 'R', 'assistant'), (3, 2, NULL, 2, 'R', 'user'))),
+edit AS (SELECT s, v, ini, ins.cost + act.cost AS cost, ins.audit || act.audit AS audit, lines, role, act.audit AS last FROM ins JOIN act USING (u)),
+dp(conv_id, k, s, cost, audit, lines) AS (SELECT conv_id, 0::BIGINT, 0, 0, '', []::VARCHAR[] FROM su UNION ALL
+  SELECT f.conv_id, f.k, v, dp.cost + e.cost + CASE WHEN fault = 't' AND last <> 'D' THEN 1 ELSE 0 END, dp.audit || e.audit,
+    list_concat(dp.lines, e.lines, CASE WHEN last = 'D' THEN [] ELSE [coalesce(e.role, f.role) || ':' || f.text] END)
+  FROM dp JOIN fa f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.k = dp.k + 1 JOIN edit e ON e.s = dp.s AND (e.ini IS NULL OR e.ini = f.ini) AND (last = 'D' OR fault IN ('k', 't'))
+  QUALIFY row_number() OVER (PARTITION BY f.conv_id, v ORDER BY dp.cost + e.cost + CASE WHEN fault = 't' AND last <> 'D' THEN 1 ELSE 0 END, dp.audit || e.audit) = 1),
+en AS (SELECT dp.conv_id, dp.cost + ins.cost AS cost, dp.audit || ins.audit AS audit, list_concat(dp.lines, ins.lines) AS lines FROM dp JOIN su ON su.conv_id IS NOT DISTINCT FROM dp.conv_id AND su.n = dp.k
+  JOIN ins ON ins.s = dp.s AND ((dp.s IN (0, 3) AND ins.cost = 0) OR (dp.s IN (1, 2) AND ins.u = 3)) QUALIFY row_number() OVER (PARTITION BY dp.conv_id ORDER BY dp.cost + ins.cost, dp.audit || ins.audit) = 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN su ON su.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN en ON en.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+# Bytes as pairs of hex digits, cut twice, as cutting takes time in proportion to a string; windows by MD5.
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, q, h[1024 * q + 1 : 1024 * q + 1424] AS part FROM d, unnest(range(0, (len(h) + 1023) // 1024)) AS t(q)),
+w AS (SELECT r, 512 * q + j AS i, md5(part[2 * j + 1 : 2 * j + 400]) AS key FROM c, unnest(range(0, least(512, len(part) // 2 - 199))) AS t(j)),
+g AS (SELECT r, i FROM w JOIN (SELECT key FROM w GROUP BY key HAVING count(*) > 1) USING (key)),
+s AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM g),
+t AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS span FROM s),
+p AS (SELECT r, span, min(i) AS a, max(i) + 200 AS b FROM t GROUP BY 1, 2),
+q AS (SELECT r, list(a ORDER BY a) AS froms, list(b ORDER BY a) AS tos, sum(b - a) AS n_removed, count(*) AS n_spans FROM p GROUP BY 1)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN froms IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(froms) + 1), lambda k:
+    h[2 * CASE WHEN k = 0 THEN 0 ELSE tos[k] END + 1 : 2 * CASE WHEN k = len(froms) THEN len(h) // 2 ELSE froms[k + 1] END]), '') END)) AS kept_sha256
+FROM d LEFT JOIN q USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_ngram_join": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_ngram_join": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op13_suffix_dedup": OP13_SQL}

@@ -32,7 +32,8 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     got, want = queries()[name](spark, sf_dir), con.sql(oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert Counter(tuple(r) for r in got.select(want.columns).collect()) == Counter(want.fetchall())
