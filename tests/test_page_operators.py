@@ -334,3 +334,89 @@ def test_name_tree(spark):
     )
     got = {r["name"]: r["page"] for r in got.collect()}
     assert got == {f"deep {k}": 1000 + k if k <= 32 else 1 for k in range(41)} | {"twice": 1091, "cycle": 1, "no page": 1, "absent": 1, "other": 1}
+
+
+def scan(words, page=1, doc="a"):
+    return [(doc, page, k, *w) for k, w in enumerate(words)]
+
+
+SCAN = "doc string, page int, run long, text string, role string, hidden boolean, x double, y double, width double, size double"
+
+
+def test_recognised_text(spark):
+    from foliospark.functions.times import OTHER, WIDTHS
+    from foliospark.operators.recognised import recognised_text
+
+    wide = lambda t, size: sum(WIDTHS[ord(ch) - 32] if 32 <= ord(ch) < 127 else OTHER for ch in t) / 1000 * size
+    word = lambda t, y, size, typed=12.0, hidden=True, role="body", x=100.0: (t, role, hidden, x, y, wide(t, typed), size)
+    # heights of ink, baselines at bottoms of ink: 12 lines of a plain word beside one with a descender
+    inky = [w for k in range(12) for w in (word("shorter", 700.0 - 20 * k, 9.0), word("principal", 700.0 - 20 * k - 2.64, 11.0))]
+    extra = [word("TITLE WORDS", 760.0, 14.0, typed=18.0), word("it,", 400.0, 5.0), word("1", 300.0, 6.0, role="line-number", x=60.0), word("l6", 280.0, 6.0, x=60.0)]
+    extra += [word("12", 30.0, 7.0, role="page-number"), word("Declaration", 40.0, 7.0, typed=9.0, role="footer"), word("seen as typed", 200.0, 3.0, hidden=False), (None, "body", True, 100.0, 1.0, 1.0, 4.0)]
+    brackets = [(")", "body", True, 300.0 + k % 2, 600.0 - 20 * k, 4.0, 8.0) for k in range(6)] + [(")", "body", True, 310.0, 100.0, 4.0, 8.0)]
+    # true sizes: nothing moves, not even five brackets
+    true = [word(t, 700.0 - 20 * k, 12.0) for k in range(15) for t in ("shorter", "principal")] + [b[:6] + (12.0,) for b in brackets[:5]]
+    rows = scan(inky + extra + brackets) + scan(true, doc="b") + scan(inky[:10], doc="c")
+    got = {(r["doc"], r["run"]): r for r in recognised_text(spark.createDataFrame(rows, SCAN).withColumn("n", F.lit(1))).collect()}
+    assert len(got) == len(rows)
+    n = len(inky)
+    for k in range(n):
+        assert (got["a", k]["size"], round(got["a", k]["y"], 6)) == (12.0, 700.0 - 20 * (k // 2))
+    size = [got["a", n + k]["size"] for k in range(8)]
+    # the median of 12 nines, 12 elevens and a fourteen is 11, so the page number becomes 7 * 12 / 11, to the half point
+    assert size == [18.0, 12.0, 12.0, 12.0, 7.5, 9.0, 3.0, 12.0]
+    assert round(got["a", n + 1]["y"] - 400.0, 6) == round(0.13 * 12, 6) and got["a", n + 6]["y"] == 200.0
+    assert [k for k in range(len(rows)) if ("a", k) in got and got["a", k]["stray"]] == [n + 3]
+    assert [got["a", n + 8 + k]["own_cell"] for k in range(7)] == [True] * 6 + [False]
+    for (doc, k), r in got.items():
+        if doc != "a":  # true sizes; too few words and pairs
+            assert (r["size"], r["y"], r["own_cell"]) == next((w[9], w[7], False) for w in rows if w[0] == doc and w[2] == k)
+    empty = recognised_text(spark.createDataFrame([], SCAN))
+    assert empty.count() == 0 and {"own_cell", "stray"} < set(empty.columns)
+
+
+def test_reclaimed_equals_the_fold(spark):
+    from foliospark.operators.tagged_body import reclaimed
+
+    random.seed(5)
+    rows = []
+    for page in range(120):
+        for run in range(random.randrange(0, 14)):
+            role = random.choice(["body", "footer", "header", "footer", "page-number"])
+            block = None if random.random() < (0.25 if page % 4 == 0 else 0.0) else random.randrange(6)
+            rows.append(("d", page, run, random.choice(["text", "text", "text", " ", None]), role, float(random.randrange(0, 80, 4)), random.choice([6.0, 9.0, 12.0, None]), block))
+
+    def fold(page):
+        blank = lambda r: not (r[3] or "").strip()
+        body = [r for r in page if r[4] == "body" and r[7] is not None]
+        bands = [r for r in page if r[4] in ("header", "footer") and not blank(r)]
+        outside, gone = any(r[7] is None for r in bands), set()
+        for r in sorted((r for r in bands if r[7] is not None), key=lambda r: (-r[5], r[2])):
+            reach = 1.6 * max(r[6] or 0.0, 10.0)
+            if outside or any(o[7] == r[7] or 0 < o[5] - r[5] <= reach for o in body):
+                body.append(r)
+                gone.add(r[2])
+        return {(r[1], r[2]): "body" if r[2] in gone else r[4] for r in page}
+
+    want = {}
+    for page in range(120):
+        want |= fold([r for r in rows if r[1] == page])
+    schema = "doc string, page int, run long, text string, role string, y double, size double, block long"
+    got = {(r["page"], r["run"]): r["role"] for r in reclaimed(spark.createDataFrame(rows, schema)).collect()}
+    assert got == want
+    assert sum(want[r[1], r[2]] != r[4] for r in rows) > 50
+
+
+def test_order_statistics(spark):
+    from foliospark.operators.recognised import order_statistics
+
+    random.seed(9)
+    rows = [(g, random.choice([1.0, 2.5, 2.501, -3.0, random.uniform(-5, 20)])) for g in "ab" * 200] + [("c", 7.0), ("d", None)]
+    n = F.col("n")
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["n"], r["low"], r["ninth"]) for r in order_statistics(df, ["g"], "v", {"low": F.floor((n - 1) / 2), "ninth": F.floor(n * 0.9)}).collect()}
+    want = {}
+    for g in "abc":
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        want[g] = (len(values), values[(len(values) - 1) // 2], values[int(len(values) * 0.9)])
+    assert got == want
