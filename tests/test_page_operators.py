@@ -420,3 +420,55 @@ def test_order_statistics(spark):
         values = sorted(v for k, v in rows if k == g and v is not None)
         want[g] = (len(values), values[(len(values) - 1) // 2], values[int(len(values) * 0.9)])
     assert got == want
+
+
+def test_meeting_equals_all_pairs(spark):
+    from foliospark.operators import meeting as M
+
+    random.seed(11)
+    place = lambda: random.choice([random.uniform(-50, 700), float(random.randrange(0, 640, 64)), 1e12, -1e12, None])
+    box = lambda: (random.randrange(3), place(), place(), random.choice([0.0, 1.0, 64.0, 300.0]), random.choice([0.5, 9.0, 200.0]))
+    left, right = ([(i, *box()) for i in range(150)] for _ in range(2))
+    a = spark.createDataFrame(left, "i long, page long, ax double, ay double, aw double, ah double")
+    b = spark.createDataFrame(right, "j long, page long, bx double, by double, bw double, bh double")
+    c = F.col
+    axes = [((c("ax"), c("ax") + c("aw")), (c("bx"), c("bx") + c("bw")), 64.0), ((c("ay"), c("ay") + c("ah")), (c("by"), c("by") + c("bh")), 64.0)]
+    got = sorted((r["i"], r["j"]) for r in M.meeting(a, b, ["page"], axes).collect())
+    meets = lambda p, s, q, t: p <= q + t and q <= p + s
+    sound = lambda r: r[2] is not None and r[3] is not None
+    want = sorted((p[0], q[0]) for p in left for q in right if p[1] == q[1] and sound(p) and sound(q) and meets(p[2], p[4], q[2], q[4]) and meets(p[3], p[5], q[3], q[5]))
+    assert got == want and len(want) > 50
+    assert M.meeting(a.limit(0), b, ["page"], axes).count() == 0
+
+
+def test_quads_of_a_hit_over_two_runs(spark):
+    from foliospark.operators.meeting import quads
+
+    runs = spark.createDataFrame([(1, 1, 0, 4, 10.0, 40.0), (1, 2, 4, 10, 50.0, 60.0), (1, 3, 10, 11, 110.0, 0.0), (2, 1, 0, 99, 0.0, 99.0)], "page int, run int, start long, end long, x double, width double")
+    hits = spark.createDataFrame([(1, 1, 2, 6), (1, 2, 10, 11), (3, 1, 0, 2)], "page int, match int, match_start long, match_end long")
+    got = sorted((r["match"], r["run"], r["from"], r["to"], r["quad_x"], r["quad_width"]) for r in quads(runs, hits, ["page"]).collect())
+    assert got == [(1, 1, 2, 4, 30.0, 20.0), (1, 2, 0, 2, 50.0, 20.0), (2, 3, 0, 1, 110.0, 0.01)]
+
+
+def test_nearest_box_is_judged_by_its_own_reach(spark):
+    from foliospark.operators.meeting import nearest_boxes
+
+    # a small box 9 away (out of its reach of 6), a large one 12 away (within its 18): the nearest decides
+    boxes = [(1, 7, 100.0, 100.0, 10.0, 4.0, 4.0), (1, 8, 131.0, 100.0, 10.0, 12.0, 12.0)]
+    points = [(1, 1, 119.0, 102.0), (1, 2, 121.0, 102.0), (1, 3, 105.0, 102.0), (1, 4, 500.0, 500.0), (2, 5, 105.0, 102.0)]
+    found = nearest_boxes(spark.createDataFrame(points, "page int, point int, px double, py double"), spark.createDataFrame(boxes, "page int, box int, x double, y double, width double, height double, size double"), ["page"], 12.0)
+    assert sorted((r["point"], r["box"], r["distance"]) for r in found.collect()) == [(1, None, None), (2, 8, 10.0), (3, 7, 0.0), (4, None, None), (5, None, None)]
+
+
+def test_underlines_and_echoes(spark):
+    from foliospark.operators import meeting as M
+
+    rule = "page int, rule int, x double, y double, width double, height double"
+    rules = spark.createDataFrame([(1, 1, 100.0, 699.0, 50.0, 0.5), (1, 2, 100.0, 599.0, 50.0, 0.5), (1, 3, 151.5, 590.0, 1.0, 20.0), (1, 4, 100.0, 499.0, 30.0, 0.5), (1, 5, 300.0, 400.0, 1.0, 7.0)], rule)
+    left = M.underline_rules(rules, ["page"])
+    assert sorted(r["rule"] for r in left.collect()) == [1, 4, 5]  # 2 meets the upright 3; 5 is a tick
+    runs = spark.createDataFrame([(1, 1, 100.5, 700.0, 50.0, 12.0), (1, 2, 100.0, 600.0, 50.0, 12.0), (1, 3, 100.0, 500.0, 50.0, 12.0), (1, 4, 100.0, 703.0, 50.0, 12.0)], "page int, run int, x double, y double, width double, size double")
+    assert [r["run"] for r in M.underlined(runs, left, ["page"]).collect()] == [1]
+    drawn = spark.createDataFrame([(1, 1, 0.0, 10.0, 100.0, 1.0), (1, 2, 0.0, 20.0, 100.0, 1.0), (1, 3, 0.0, 30.0, 100.0, 1.0), (1, 4, 5.0, 0.0, 1.0, 100.0)], rule)
+    seen = spark.createDataFrame([(1, 9, 50.0, 12.0, 200.0, 1.0), (1, 8, 51.0, 20.0, 200.0, 1.0), (1, 7, 0.0, 32.5, 100.0, 1.0), (1, 6, 5.0, 0.0, 100.0, 1.0)], rule)
+    assert sorted(r["rule"] for r in M.without_echoes(drawn, seen, ["page"]).collect()) == [2, 3, 4]
