@@ -27,7 +27,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    for name in ("page_queries", "text_queries", "layout_queries", "streaming_queries", "document_queries", "image_queries", "frame_queries", "assembly_queries", "table_queries", "sheet_queries", "note_queries", "fidelity_queries", "picture_queries", "scan_queries", "meeting_queries"):
+    for name in ("page_queries", "text_queries", "layout_queries", "streaming_queries", "document_queries", "image_queries", "frame_queries", "assembly_queries", "table_queries", "sheet_queries", "note_queries", "fidelity_queries", "picture_queries", "scan_queries", "meeting_queries", "judgement_queries"):
         importlib.import_module(f"{__package__}.{name}")
 
 

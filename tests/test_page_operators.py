@@ -472,3 +472,33 @@ def test_underlines_and_echoes(spark):
     drawn = spark.createDataFrame([(1, 1, 0.0, 10.0, 100.0, 1.0), (1, 2, 0.0, 20.0, 100.0, 1.0), (1, 3, 0.0, 30.0, 100.0, 1.0), (1, 4, 5.0, 0.0, 1.0, 100.0)], rule)
     seen = spark.createDataFrame([(1, 9, 50.0, 12.0, 200.0, 1.0), (1, 8, 51.0, 20.0, 200.0, 1.0), (1, 7, 0.0, 32.5, 100.0, 1.0), (1, 6, 5.0, 0.0, 100.0, 1.0)], rule)
     assert sorted(r["rule"] for r in M.without_echoes(drawn, seen, ["page"]).collect()) == [2, 3, 4]
+
+
+def test_clearest_foot(spark):
+    from foliospark.operators.clearest import clearest_feet
+
+    rows = [("a", 1, "4856.9844-ioss.i", True, False), ("a", 2, "4856-9844-1055.1", True, True), ("a", 3, "4856-9844-1055.l", True, True), ("a", 4, "4856-9844-1055.1", True, True), ("a", 5, None, True, True)]
+    rows += [("b", 1, "", True, False), ("b", 2, "same foot", True, True), ("b", 3, "same foot", True, True)]  # too few
+    rows += [("c", k, "same foot", k != 2, True) for k in (1, 2, 3)]  # a printed one
+    rows += [("d", k, "zz" if k == 1 else "the foot", True, False) for k in range(1, 30)]
+    got = {r["doc"]: (r["feet"], r["best_page"], r["score"]) for r in clearest_feet(spark.createDataFrame(rows, "doc string, page int, text string, hidden boolean, numbered boolean")).collect()}
+
+    def pairs(t):
+        t = "".join(t.split()).upper()
+        return {t[k : k + 2] for k in range(len(t) - 1)}
+
+    dice = lambda a, b: 2 * len(pairs(a) & pairs(b)) / (len(pairs(a)) + len(pairs(b)))
+    score = round(sum(dice(rows[1][2], r[2]) for r in rows[:4]), 9)
+    assert got == {"a": (4, 2, score), "b": (2, 1, None), "c": (3, 1, None), "d": (12, 2, 11.0)}
+
+
+def test_request_problems(spark):
+    from foliospark.operators.requests import request_problems
+
+    drafts = [(k, "t", "n", "n@a.org") for k in range(1, 9)]
+    drafts[0], drafts[1], drafts[2] = (1, None, "n", "n@a.org"), (2, "t", " ", "bad"), (3, "t", "n", None)
+    signers = [(5, 1, "x", "x@a.org"), (5, 2, "", "bad"), (6, 1, "x", "x@a"), (6, 2, None, "y"), (7, 1, "x", "x@a.org"), (7, 2, "y", " y@a.org "), (8, 1, "x", "x@a.org"), (1, 1, None, None)]
+    fields = [(7, 1), (7, 1), (5, 1), (5, 2), (6, 1), (6, 2)]
+    got = request_problems(*(spark.createDataFrame(r, s) for r, s in ((drafts, "request int, title string, requester string, email string"), (signers, "request int, signer int, name string, email string"), (fields, "request int, signer int"))))
+    want = {1: ("title", None), 2: ("requester", None), 3: ("requester-email", None), 4: ("no-signer", None), 5: ("signer-name", 2), 6: ("signer-email", 1), 7: ("nothing-to-sign", 2), 8: ("no-field", None)}
+    assert {r["request"]: (r["problem"], r["signer"]) for r in got.collect()} == want
