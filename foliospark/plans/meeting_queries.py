@@ -73,7 +73,8 @@ AND ul.y >= rn.y - greatest(1.0::DOUBLE, 0.2::DOUBLE * rn.size) AND ul.x <= rn.x
 def jon22_underlined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs that a level rule underlines; rules that an upright one meets belong to a table and underline nothing."""
     rules = M.underline_rules(_rules(spark, sf_dir), ["doc_id"])
-    return M.underlined(_boxes(spark, sf_dir), rules, ["doc_id"]).select("doc_id", "line", "word")
+    boxes = _boxes(spark, sf_dir).drop("text")
+    return M.underlined(boxes, rules, ["doc_id"]).select("doc_id", "line", "word")
 
 
 @query(f"""WITH {_RULES_SQL}, sc AS (SELECT doc_id, width >= height AS lv, CASE WHEN width >= height THEN y + height / 2 ELSE x + width / 2 END AS at_, CASE WHEN width >= height THEN x ELSE y END AS a, CASE WHEN width >= height THEN x + width ELSE y + height END AS b FROM

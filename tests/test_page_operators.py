@@ -502,3 +502,29 @@ def test_request_problems(spark):
     got = request_problems(*(spark.createDataFrame(r, s) for r, s in ((drafts, "request int, title string, requester string, email string"), (signers, "request int, signer int, name string, email string"), (fields, "request int, signer int"))))
     want = {1: ("title", None), 2: ("requester", None), 3: ("requester-email", None), 4: ("no-signer", None), 5: ("signer-name", 2), 6: ("signer-email", 1), 7: ("nothing-to-sign", 2), 8: ("no-field", None)}
     assert {r["request"]: (r["problem"], r["signer"]) for r in got.collect()} == want
+
+
+def test_underlines_exchange_no_words(spark, sf_dir):
+    """Words aren't exchanged: lines are, dealt out by page, and everything behind that stays where it is."""
+    from foliospark.plans import registry
+
+    plan = registry.queries()["jon22_underlined"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanges and all("REPARTITION_BY_NUM" in line for line in exchanges)
+
+
+def test_that_meet_is_brute_force(spark):
+    from foliospark.operators import meeting as M
+
+    rng = random.Random(5)
+    boxes = lambda n: [(rng.choice([1, 2, None]), k, rng.uniform(-300, 300), rng.choice([0.0, 3.0, 90.0, -5.0]), rng.uniform(-1e7, 1e7) if k % 9 == 0 else rng.uniform(0, 40)) for k in range(n)]
+    left, right = boxes(80), boxes(80)
+    a, b = spark.createDataFrame(left, "p int, id int, x double, w double, y double"), spark.createDataFrame(right, "p int, rid int, rx double, rw double, ry double")
+    c = F.col
+    axes = [((c("x"), c("x") + c("w")), (c("rx"), c("rx") + c("rw")), 16.0), ((c("y") - 4, c("y")), (c("ry"), c("ry")), 8.0)]
+    meets = lambda r, s: r[0] == s[0] and r[0] is not None and r[3] >= 0 and s[3] >= 0 and r[2] <= s[2] + s[3] and s[2] <= r[2] + r[3] and r[4] - 4 <= s[4] <= r[4]
+    holds = lambda u: (c("x") <= u["rx"] + u["rw"]) & (u["rx"] <= c("x") + c("w")) & (u["ry"] <= c("y")) & (u["ry"] >= c("y") - 4)
+    want = {r[1] for r in left if any(meets(r, s) for s in right)}
+    assert 0 < len(want) < 80
+    assert sorted(r["id"] for r in M.that_meet(a, b, ["p"], "id", axes, holds).collect()) == sorted(want)
+    assert sorted(r["id"] for r in M.that_meet(a, b, ["p"], "id", axes, holds, without=True).collect()) == sorted({r[1] for r in left} - want)

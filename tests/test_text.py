@@ -89,3 +89,9 @@ def test_colours_and_files(spark):
     assert one(spark, T.file_stem, "/a/b.c/report.final.PDF") == "report.final"
     assert one(spark, T.file_extension, "/a/b.c/report.PDF") == ".pdf"
     assert one(spark, T.file_extension, "/a/.profile") == ""
+
+
+def test_word_starts(spark):
+    texts = ["a bb  ccc", "", " ", "x ", " y", "é 𝄞 z", " ".join(["wörd", "𝄞x", "", "k"] * 50)]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.word_starts(F.col("t")).alias("w")).collect():
+        assert r["w"] == [sum(len(w) + 1 for w in r["t"].split(" ")[:k]) for k in range(len(r["t"].split(" ")))]
