@@ -88,6 +88,52 @@ def test_first_fit_lines(spark):
     assert got == {1: 1, 2: 1, 4: 1, 3: 2}
 
 
+def plain_lines(boxes):
+    """First fit as it is told: every line's every member is looked at."""
+    lines, out = [], {}
+    for item, _, y, _, h in sorted(boxes, key=lambda b: (-b[2], b[1], b[0])):
+        fits = [k for k, line in enumerate(lines) if any(min(y + h, b) - max(y, a) >= 0.5 * min(h, b - a) for a, b in line)]
+        if not fits:
+            lines.append([])
+        k = fits[0] if fits else len(lines) - 1
+        lines[k].append((y, y + h))
+        out[item] = k + 1
+    return out
+
+
+def test_folds_of_many_boxes(spark):
+    """Lines, baselines and touching rules against their plain forms, also for long pages, on which those take the square."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    kind = "doc string, item long, x double, y double, width double, height double"
+    boxes = [(k, float(rng.randrange(60)), float(rng.randrange(150)) / 2, float(rng.randrange(9)), rng.choice([-3.0, 0.0, 4.0, 9.0, 30.0])) for k in range(300)]
+    df = spark.createDataFrame([("p", *b) for b in boxes], kind)
+    assert {r["item"]: r["line"] for r in L.lines_by_overlap(df, ["doc"]).collect()} == plain_lines(boxes)
+
+    order, seed, n, want = sorted(boxes, key=lambda b: (-b[2], b[1], b[0])), None, 0, {}
+    for item, _, y, _, size in order:
+        if seed is None or abs(seed[0] - y) > max(1.5, 0.35 * seed[1]):
+            seed, n = (y, size), n + 1
+        want[item] = n
+    assert {r["item"]: r["line"] for r in L.lines_by_baseline(df.withColumnRenamed("height", "size"), ["doc"]).collect()} == want
+
+    rules = [(k, rng.uniform(0, 400), rng.uniform(0, 400), rng.uniform(0, 30), rng.uniform(0, 30)) for k in range(200)]
+    touch = lambda a, b: min(a[1] + a[3], b[1] + b[3]) >= max(a[1], b[1]) - 2 and min(a[2] + a[4], b[2] + b[4]) >= max(a[2], b[2]) - 2
+    least = {r[0]: r[0] for r in rules}
+    for _ in rules:
+        least = {a[0]: min(least[b[0]] for b in rules if touch(a, b)) for a in rules}
+    got = {r["item"]: r["component"] for r in L.touching_components(spark.createDataFrame([("p", *r) for r in rules], kind), ["doc"]).collect()}
+    assert got == least and len(set(least.values())) > 1
+
+    long = spark.range(40_000).selectExpr("'p' doc", "id item", "0.0D x", "-15.0D * id y", "9.0D width", "11.0D height")
+    began = time.time()
+    assert L.lines_by_overlap(long, ["doc"]).agg({"line": "max"}).first()[0] == 40_000
+    assert L.touching_components(long, ["doc"]).selectExpr("count(distinct component)").first()[0] == 40_000
+    assert time.time() - began < 30
+
+
 def test_missing_numbers_settle_in_order(spark):
     rows = [("d", p, n) for p, n in ((1, 4), (2, None), (3, 6), (4, None), (5, None), (6, 9))]
     pages = spark.createDataFrame(rows, "doc string, page long, printed long")
