@@ -44,6 +44,20 @@ def test_query(spark, duck, sf_dir, name):
         assert len(got) > 0
 
 
+def test_equal_intervals_merge_the_same_way(spark, tmp_path):
+    """Of equal intervals that begin a merged one any may come first: query and twin count all of them into it."""
+    con = duckdb.connect()
+    con.sql(f"""COPY (SELECT k AS l_orderkey, q AS l_quantity, 1 AS l_linenumber FROM range(200000) a(k), (VALUES (1.0), (20.0), (20.0), (20.0), (22.0), (40.0), (40.0)) b(q))
+        TO '{tmp_path}/lineitem.parquet'""")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = {(1.0, 2.0, 1): 200_000, (20.0, 23.0, 4): 200_000, (40.0, 41.0, 2): 200_000}
+    twin = registry.oracle_sql()["win10_merged_intervals"]
+    for _ in range(3):
+        assert {tuple(r[:3]): r[3] for r in con.sql(f"SELECT a, b, n, count(*) FROM ({twin}) GROUP BY ALL").fetchall()} == want
+    got = registry.queries()["win10_merged_intervals"](spark, str(tmp_path)).groupBy("a", "b", "n").count().collect()
+    assert {tuple(r[:3]): r[3] for r in got} == want
+
+
 def test_entry_works_without_optional_parts(tmp_path):
     """The entry point imports when the training-data folders are gone."""
     import shutil
