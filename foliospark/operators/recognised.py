@@ -75,8 +75,8 @@ def type_sizes(runs: DataFrame) -> DataFrame:
     """
     c = F.col
     words = _recognised(runs).where(F.length(F.trim("text")) >= LETTERS)
-    by_width = c("width") / (times_units(c("text")) / 1000)
-    tall = words.select("doc", F.explode(F.array(F.struct(F.lit(0).alias("kind"), c("size").alias("value")), F.struct(F.lit(1).alias("kind"), by_width.alias("value")))).alias("m"))
+    words = words.select("doc", "size", (c("width") / (times_units(c("text")) / 1000)).alias("by_width"))
+    tall = words.select("doc", F.explode(F.array(F.struct(F.lit(0).alias("kind"), c("size").alias("value")), F.struct(F.lit(1).alias("kind"), c("by_width").alias("value")))).alias("m"))
     found = order_statistics(tall.select("doc", "m.kind", "m.value"), ["doc", "kind"], "value", _places())
     middle = (c("low") + c("high")) / 2
     at = lambda kind, x, name: F.max(F.when(c("kind") == kind, x)).alias(name)

@@ -95,3 +95,15 @@ def test_word_starts(spark):
     texts = ["a bb  ccc", "", " ", "x ", " y", "é 𝄞 z", " ".join(["wörd", "𝄞x", "", "k"] * 50)]
     for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.word_starts(F.col("t")).alias("w")).collect():
         assert r["w"] == [sum(len(w) + 1 for w in r["t"].split(" ")[:k]) for k in range(len(r["t"].split(" ")))]
+
+
+def test_widths_are_looked_up_once(spark, sf_dir):
+    """Against a plain sum, with nulls and wide characters; and no text is walked once for each class of width."""
+    from foliospark.functions.times import OTHER, WIDTHS, times_units
+    from foliospark.plans import registry
+
+    texts = [None, "", "Ab 1~", "é𝄞\t\x7f", "", None, "x" * 1000]
+    got = [tuple(r) for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1).select("k", times_units(F.col("t"))).collect()]
+    plain = lambda t: sum(WIDTHS[ord(ch) - 32] if 32 <= ord(ch) <= 126 else OTHER for ch in t)
+    assert sorted(got) == [(k, None if t is None else plain(t)) for k, t in enumerate(texts)]
+    assert "translate(" not in registry.queries()["cmp6_recognised_text"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
