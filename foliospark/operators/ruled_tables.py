@@ -42,11 +42,12 @@ def drawings(rules: DataFrame, key: list[str]) -> DataFrame:
     return groups.select(*key, F.array_min(F.transform("own", lambda r: r["rule"])).alias("drawing"), F.inline("own"))
 
 
-def edges(drawn: DataFrame, key: list[str]) -> DataFrame:
+def edges(drawn: DataFrame, key: list[str], dealt: bool = False) -> DataFrame:
     """(key, drawing, level, at, lo, hi): rules that lie within SAME_EDGE of an edge's first one, at `at`, are one edge; lo .. hi
     is a span that is drawn of it. level: horizontal ones, which have `at` as y; upright ones have it as x.
 
     Thick rules are panels and short ones are ticks; they belong to a drawing but are no edges.
+    dealt: spans are merged where drawings() leaves their page, without an exchange by edge.
     """
     level = (F.col("height") <= MOST_THICK) & (F.col("width") >= LEAST_LONG)
     upright = ~level & (F.col("width") <= MOST_THICK) & (F.col("height") >= LEAST_LONG)
@@ -61,7 +62,7 @@ def edges(drawn: DataFrame, key: list[str]) -> DataFrame:
     first = marks.groupBy(*own).agg(F.collect_list(F.struct("mark", "lo", "hi")).alias("marks"))
     first = first.withColumn("stops", kept_stops(F.transform("marks", lambda m: m["mark"]), SAME_EDGE))
     placed = first.select(*own, "stops", F.inline("marks")).withColumn("at", F.array_max(F.filter("stops", lambda s: s <= F.col("mark"))))
-    return merged_intervals(placed.select(*own, "at", "lo", "hi"), [*own, "at"], "lo", "hi", SAME_EDGE).drop("n")
+    return merged_intervals(placed.select(*own, "at", "lo", "hi"), [*own, "at"], "lo", "hi", SAME_EDGE, dealt=dealt).drop("n")
 
 
 def _overlap(lo: Column, hi: Column, a: Column, b: Column) -> Column:
@@ -125,6 +126,31 @@ def grid_cells(found: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def _placed(text: DataFrame, key: list[str]) -> DataFrame:
+    """The text with `ends`, where each cell ends: where the next one of its line begins, if it reaches that far."""
+    in_line = Window.partitionBy(*key, "line").orderBy("cell")
+    c = F.col
+    ends = F.coalesce(F.greatest(c("x"), F.least(c("right"), F.lead("x").over(in_line))), c("right"))
+    return text.withColumn("ends", ends)
+
+
+def _inside(baseline: Column) -> Column:
+    return (baseline <= F.element_at("rows", 1) + CELL_SLACK) & (baseline > F.element_at("rows", -1) - CELL_SLACK)
+
+
+def _row(baseline: Column) -> Column:
+    return F.least(F.size(F.filter(F.slice("rows", 2, F.size("rows")), lambda e: e >= baseline)), F.size("rows") - 2)
+
+
+def _column(x: Column, ends: Column) -> Column:
+    beside = (ends <= F.element_at("columns", 1) + CELL_SLACK) | (x >= F.element_at("columns", -1) - CELL_SLACK)
+    fits = F.filter(
+        F.sequence(F.lit(0), F.size("columns") - 2),
+        lambda k: (x >= F.get("columns", k) - CELL_SLACK) & (ends <= F.get("columns", k + 1) + CELL_SLACK),
+    )
+    return F.when(beside, -1).otherwise(F.coalesce(F.get(fits, 0), F.lit(-2)))
+
+
 def placements(text: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
     """(columns of found, line, cell, r, place): where the cells of text lines fall in the grids of their page.
 
@@ -132,20 +158,9 @@ def placements(text: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
     beside the grid, -2 for cells that lie across a column edge. A cell ends where the next one of its line begins, if it
     reaches that far. Edges give way by CELL_SLACK. Lines above and below a grid have no row there.
     """
-    in_line = Window.partitionBy(*key, "line").orderBy("cell")
     c = F.col
-    ends = F.coalesce(F.greatest(c("x"), F.least(c("right"), F.lead("x").over(in_line))), c("right"))
-    met = text.withColumn("ends", ends).join(found, key)
-    below = F.size(F.filter(F.slice("rows", 2, F.size("rows")), lambda e: e >= c("baseline")))
-    inside = (c("baseline") <= F.element_at("rows", 1) + CELL_SLACK) & (c("baseline") > F.element_at("rows", -1) - CELL_SLACK)
-    met = met.where(inside).withColumn("r", F.least(below, F.size("rows") - 2))
-    beside = (c("ends") <= F.element_at("columns", 1) + CELL_SLACK) | (c("x") >= F.element_at("columns", -1) - CELL_SLACK)
-    fits = F.filter(
-        F.sequence(F.lit(0), F.size("columns") - 2),
-        lambda k: (c("x") >= F.get("columns", k) - CELL_SLACK) & (c("ends") <= F.get("columns", k + 1) + CELL_SLACK),
-    )
-    place = F.when(beside, -1).otherwise(F.coalesce(F.get(fits, 0), F.lit(-2)))
-    return met.select(*found.columns, "line", "cell", "r", place.alias("place"))
+    met = _placed(text, key).join(found, key).where(_inside(c("baseline")))
+    return met.select(*found.columns, "line", "cell", _row(c("baseline")).alias("r"), _column(c("x"), c("ends")).alias("place"))
 
 
 def ruled_tables(rules: DataFrame, text: DataFrame, frames: DataFrame, key: list[str]) -> DataFrame:
@@ -156,14 +171,18 @@ def ruled_tables(rules: DataFrame, text: DataFrame, frames: DataFrame, key: list
     A grid is a table unless it reaches out of its frame by more than FRAME_SLACK, holds no text, or has a line in its band
     with a cell across a column edge or with cells both inside and beside it.
     """
-    found = grids(edges(drawings(rules, key), key), key)
+    found = grids(edges(drawings(rules, key), key, dealt=True), key)
     sides = frames.select(*key, F.col("left").alias("frame_left"), F.col("right").alias("frame_right"))
     framed = found.join(sides, key).where(
         (F.element_at("columns", 1) >= F.col("frame_left") - FRAME_SLACK) & (F.element_at("columns", -1) <= F.col("frame_right") + FRAME_SLACK)
     )
-    placed = placements(text, framed, key).groupBy(*key, "drawing").agg(
-        *[F.first(k).alias(k) for k in ("rows", "columns", "spans")], F.collect_list(F.struct("line", "r", "place")).alias("text")
+    # a page's text meets its grids as one row, so that no cell of it carries a grid along
+    cells = _placed(text, key).groupBy(*key).agg(F.collect_list(F.struct("line", "x", "ends", "baseline")).alias("text"))
+    own = F.transform(
+        F.filter("text", lambda t: _inside(t["baseline"])),
+        lambda t: F.struct(t["line"].alias("line"), _row(t["baseline"]).alias("r"), _column(t["x"], t["ends"]).alias("place")),
     )
+    placed = framed.drop("frame_left", "frame_right").join(cells, key).withColumn("text", own)
     lines = lambda of: F.transform(F.filter("text", of), lambda t: t["line"])
     inside, beside = lines(lambda t: t["place"] >= 0), lines(lambda t: t["place"] == -1)
     broken = F.exists("text", lambda t: t["place"] == -2) | F.arrays_overlap(inside, beside)

@@ -66,6 +66,7 @@ def jon21_grid_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jon12_placed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row and column of each text cell in the grid of its page; -1 beside it, -2 across a column edge."""
     found = T.grids(T.edges(T.drawings(form_rules(spark, sf_dir), ["page"]), ["page"]), ["page"])
+    found = found.drop("spans")
     return T.placements(form_text(spark, sf_dir), found, ["page"]).select("page", "drawing", "line", "cell", "r", "place")
 
 

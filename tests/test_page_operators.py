@@ -528,3 +528,11 @@ def test_that_meet_is_brute_force(spark):
     assert 0 < len(want) < 80
     assert sorted(r["id"] for r in M.that_meet(a, b, ["p"], "id", axes, holds).collect()) == sorted(want)
     assert sorted(r["id"] for r in M.that_meet(a, b, ["p"], "id", axes, holds, without=True).collect()) == sorted({r[1] for r in left} - want)
+
+
+def test_ruled_tables_exchange_no_spans(spark, sf_dir):
+    """Spans are merged where their page is, without an exchange by edge."""
+    from foliospark.plans import registry
+
+    plan = registry.queries()["cmp7_ruled_tables"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "level" in x]
