@@ -16,6 +16,14 @@ def test_packbits_round_trip(seed):
     assert C.packbits(b"aaaa") == bytes((253, 97))
 
 
+@pytest.mark.parametrize("width", [1, 2, 64, 300])
+def test_packbits_of_rows_at_once(width):
+    rng = np.random.default_rng(width)
+    x = np.repeat(rng.integers(0, 4, 400), rng.choice([1, 2, 3, 127, 128, 129, 130, 131, 257], 400)).astype(np.uint8)
+    rows = x[: len(x) // width * width].reshape(-1, width)
+    assert C.packbits_rows(rows) == b"".join(C.packbits(r.tobytes()) for r in rows)
+
+
 def test_png_round_trip_and_filters():
     rng = np.random.default_rng(1)
     for shape in ((7, 5), (6, 4, 3)):
