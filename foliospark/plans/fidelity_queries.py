@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fidelity as V
 from ..session import ship
-from ..sources.tables import LINES_SQL, lines
+from ..sources.tables import LINES_SQL, by_page, lines
 from .registry import query
 
 KEY = ["doc_id", "page"]
@@ -20,12 +20,12 @@ D = "::DOUBLE"
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page, word, text, x, y, right, page_width, and the line k on the page."""
     c = F.col
-    line = lines(spark, sf_dir).select("doc_id", F.floor((c("line") - 1) / 43).alias("page"), ((c("line") - 1) % 43).alias("k"), F.split("text", " ").alias("words"))
-    words = line.select("doc_id", "page", "k", F.posexplode("words").alias("p", "text")).where("text <> ''")
-    words = words.select("doc_id", "page", "k", (c("k") * 100_000 + c("p") + 1).alias("word"), "text", (80.0 + 30.0 * c("p")).alias("x"))
-    numbers = line.select("doc_id", "page", "k", (c("k") * 100_000).alias("word"), (c("k") % 28 + 1).cast("string").alias("text"), F.lit(40.0).alias("x"))
-    every = words.unionByName(numbers)
-    return every.withColumn("y", 720.0 - 16.0 * c("k")).withColumn("right", c("x") + 6.0 * F.length("text")).withColumn("page_width", F.lit(612.0))
+    line = lines(spark, sf_dir).select("doc_id", F.floor((c("line") - 1) / 43).alias("page"), ((c("line") - 1) % 43).alias("k"), "text")
+    number = F.array((c("k") % 28 + 1).cast("string"))
+    words = by_page(line, *KEY).select("doc_id", "page", "k", F.posexplode(F.concat(number, F.split("text", " "))).alias("p", "text"))
+    words = words.where("text <> ''").withColumn("word", c("k") * 100_000 + c("p")).withColumn("x", F.when(c("p") == 0, 40.0).otherwise(50.0 + 30.0 * c("p")))
+    words = words.withColumn("y", 720.0 - 16.0 * c("k")).withColumn("right", c("x") + 6.0 * F.length("text")).withColumn("page_width", F.lit(612.0))
+    return words.drop("p")
 
 
 def _exported(source: DataFrame) -> DataFrame:

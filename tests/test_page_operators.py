@@ -536,3 +536,22 @@ def test_ruled_tables_exchange_no_spans(spark, sf_dir):
 
     plan = registry.queries()["cmp7_ruled_tables"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "level" in x]
+
+
+def test_common_subsequence_of_many_words_in_little_room():
+    """A table of 20,000 words a side took 1.6 GB; rows that are made again give the same pairs."""
+    rng = random.Random(7)
+    for _ in range(100):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(40))] for _ in range(2))
+        assert V.common_subsequence(a, b, room=0) == subsequence(a, b)
+    a = [str(rng.randrange(500)) for _ in range(20_000)]
+    b = [w for w in a if rng.randrange(20)]
+    assert len(V.common_subsequence(a, b)) == len(b)
+
+
+def test_fidelity_exchanges_no_words(spark, sf_dir):
+    """Whole lines are dealt out by page once a side; words and what is counted of them stay where their page is."""
+    from foliospark.plans.fidelity_queries import agg27_fidelity, agg27_word_differences
+
+    exchanges = {q: q(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS") for q in (agg27_fidelity, agg27_word_differences)}
+    assert exchanges == {agg27_fidelity: 1, agg27_word_differences: 0}  # the one is of finished pages, a row each
