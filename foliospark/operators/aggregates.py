@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pairs of points that are in a task's memory at once, unless a single column has more.
+MOST_PAIRS = 1 << 20
+
 
 def floor_quantiles(df: DataFrame, group: str, value: str, quantiles: dict[str, float]) -> DataFrame:
     """Per group the element at min(n - 1, floor(q * n)) of the sorted values; no interpolation.
@@ -50,15 +58,48 @@ def otsu(histogram: DataFrame, group: str, bucket: str, count: str) -> DataFrame
     return v.groupBy(group).agg(F.min_by(bucket, F.struct((-F.col("v")).alias("a"), F.col(bucket).alias("b"))).alias("threshold"))
 
 
-def _middle(values: Column) -> Column:
-    """Median of a sorted array; null if it is empty."""
-    n = F.size(values)
-    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return F.when(n > 0, (F.get(values, low) + F.get(values, high)) / 2)
-
-
-def _mean(points: Column, name: str) -> Column:
-    return F.try_divide(F.aggregate(points, F.lit(0.0), lambda total, p: total + p[name]), F.size(points))
+def _fits(x: np.ndarray, y: np.ndarray, share: float, least: int) -> tuple[np.ndarray, ...]:
+    """pitch (NaN for none), first, kept, refitted of columns with the same number of points each; a row is a column, by x."""
+    pairs = np.triu_indices(x.shape[1], 1)
+    apart = x[:, pairs[1]] - x[:, pairs[0]]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        falls = np.where(apart > 0, (y[:, pairs[0]] - y[:, pairs[1]]) / apart, np.nan)
+    falls.sort(axis=1)
+    n, row = (apart > 0).sum(axis=1), np.arange(len(x))
+    # without two places all are NaN, and so is the pitch
+    pitch = (falls[row, np.maximum(n - 1, 0) // 2] + falls[row, n // 2]) / 2
+    at_one = np.sort(y + (x - 1) * pitch[:, None], axis=1)
+    first = (at_one[:, (x.shape[1] - 1) // 2] + at_one[:, x.shape[1] // 2]) / 2
+    near = np.round(np.abs(first[:, None] - (x - 1) * pitch[:, None] - y) - share * np.abs(pitch)[:, None], 6) <= 0
+    kept = near.sum(axis=1)
+    refitted = (kept >= least) & (pitch > 0)
+    total = lambda v: np.cumsum(np.where(near, v, 0.0), axis=1)[:, -1]  # noqa: E731  (one by one, as a fold adds them)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mx, my = total(x) / kept, total(y) / kept
+        fall = -total((x - mx[:, None]) * (y - my[:, None])) / total((x - mx[:, None]) ** 2)
+    fitted = refitted & np.isfinite(fall)
+    return np.where(fitted, fall, pitch), np.where(fitted, my + fall * (mx - 1), first), kept, refitted
+
+
+def _fitted(share: float, least: int) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    def fit(x: pa.Array, y: pa.Array) -> pa.Array:
+        xs, ys = (side.flatten().to_numpy(zero_copy_only=False) for side in (x, y))
+        sizes = pc.list_value_length(x).to_numpy(zero_copy_only=False)
+        starts = np.cumsum(sizes) - sizes
+        out = [np.full(len(sizes), np.nan), np.zeros(len(sizes)), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)]
+        for n in np.unique(sizes):
+            if n < 2:
+                continue
+            same = np.flatnonzero(sizes == n)
+            for own in np.array_split(same, len(same) * n * n // MOST_PAIRS + 1):
+                at = starts[own][:, None] + np.arange(n)
+                for column, values in zip(out, _fits(xs[at], ys[at], share, least), strict=True):
+                    column[own] = values
+        found = np.flatnonzero(~np.isnan(out[0]))
+        rows = pa.StructArray.from_arrays([pa.array(column[found]) for column in out], ["pitch", "first", "kept", "refitted"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(found, np.arange(len(sizes) + 1)), pa.int32()), rows)
+
+    return fit
 
 
 def robust_fit(df: DataFrame, group: list[str], x: str, y: str, share: float = 0.5, least: int = 10) -> DataFrame:
@@ -67,23 +108,10 @@ def robust_fit(df: DataFrame, group: list[str], x: str, y: str, share: float = 0
     The first estimate is the median of the slopes of all pairs of points and of where each point puts x = 1. Points more
     than share * pitch off are left out; if `least` or more remain, they are fitted again by least squares, otherwise the
     first estimate stands, as it does without a positive pitch. A group is one column of numbers with one point for each x:
-    its pairs stay in its row, so a caller takes one point for each of a bounded range of x. Groups of one point are left out.
+    its pairs stay in its row, so a caller takes one point for each of a bounded range of x. Groups of one point are left out,
+    and so are points without an x or y. Columns of as many points are taken together.
     """
-    points = df.groupBy(*group).agg(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("_p"))
-    p = F.col("_p")
-
-    def falls(a: Column) -> Column:
-        return F.transform(F.filter(p, lambda b: b["x"] > a["x"]), lambda b: (a["y"] - b["y"]) / (b["x"] - a["x"]))
-
-    rough = points.withColumn("_pitch", _middle(F.array_sort(F.flatten(F.transform(p, falls))))).where("_pitch IS NOT NULL")
-    pitch = F.col("_pitch")
-    rough = rough.withColumn("_first", _middle(F.array_sort(F.transform(p, lambda a: a["y"] + (a["x"] - 1) * pitch))))
-    off = lambda a: F.abs(F.col("_first") - (a["x"] - 1) * pitch - a["y"]) - share * F.abs(pitch)
-    near = rough.withColumn("_k", F.filter(p, lambda a: F.round(off(a), 6) <= 0)).withColumn("kept", F.size("_k").cast("long"))
-    k = F.col("_k")
-    near = near.withColumn("_mx", _mean(k, "x")).withColumn("_my", _mean(k, "y"))
-    both = F.aggregate(k, F.lit(0.0), lambda total, a: total + (a["x"] - F.col("_mx")) * (a["y"] - F.col("_my")))
-    own = F.aggregate(k, F.lit(0.0), lambda total, a: total + (a["x"] - F.col("_mx")) * (a["x"] - F.col("_mx")))
-    fitted = near.withColumn("refitted", (F.col("kept") >= least) & (pitch > 0)).withColumn("_fit", F.when(F.col("refitted"), -F.try_divide(both, own)))
-    again = F.col("_my") + F.col("_fit") * (F.col("_mx") - 1)
-    return fitted.select(*group, F.coalesce("_fit", pitch).alias("pitch"), F.coalesce(again, "_first").alias("first"), "kept", "refitted")
+    point = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*group).agg(F.sort_array(F.collect_list(point)).alias("_p"))
+    fit = F.arrow_udf(_fitted(share, least), "array<struct<pitch: double, first: double, kept: long, refitted: boolean>>")
+    return points.select(*group, F.inline(fit(F.col("_p.x"), F.col("_p.y"))))

@@ -174,6 +174,7 @@ f AS (SELECT r.k, coalesce(n, 0) AS kept, coalesce(n >= 10 AND m > 0, false) AS
 
 
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     x = F.col("l_quantity").cast("double")
     y = 720.0 - 14.85 * (x - 1.0) + 10.0 * F.col("l_discount").cast("double") + F.when(F.col("l_linenumber") >= 6, 74.25).otherwise(0.0)
     points = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k"), x.alias("x")).agg(F.min(y).alias("y"))

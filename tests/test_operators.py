@@ -245,6 +245,20 @@ def test_robust_fit(spark):
     assert got["fitted"]["refitted"] and abs(got["fitted"]["pitch"] - 14) < 0.1 and got["fitted"]["kept"] == 21
 
 
+def test_robust_fit_leaves_out_points_without_a_place(spark):
+    """A missing y made the middle of the slopes wrong; points at one x have no slope, and a group of them no line."""
+    rows = [("a", float(x), None if x == 3 else 100.0 - 10.0 * x) for x in range(1, 6)] + [("a", None, 7.0), ("b", 1.0, 5.0), ("b", 1.0, 6.0), ("c", 1.0, None), ("c", 2.0, None)]
+    got = A.robust_fit(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()
+    assert [tuple(r) for r in got] == [("a", 10.0, 90.0, 4, False)]
+
+
+def test_robust_fit_sorts_no_slopes_in_the_plan(spark):
+    """Slopes were sorted by an interpreted comparison, several times for each median."""
+    frame = spark.createDataFrame([("a", 1.0, 2.0)], "k string, x double, y double")
+    plan = A.robust_fit(frame, ["k"], "x", "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_aligned(spark):
     items = spark.createDataFrame([("d", 1, "Ab c"), ("d", 2, "--"), ("d", 3, "de"), ("d", 4, "fg"), ("d", 5, "h"), ("e", 1, "x"), (None, 1, "q")], "doc string, n long, text string")
     pieces = spark.createDataFrame([("d", 1, "abc "), ("d", 2, ", "), ("d", 3, "d e f"), ("d", 4, "g"), (None, 1, "q")], "doc string, at long, text string")
