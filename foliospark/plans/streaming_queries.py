@@ -113,8 +113,10 @@ def src12_hocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     c = F.col
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    # the file may be one row group; its texts are dealt out before they are written as hOCR
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text").repartition(n, "doc_id")
+    # the file may be one row group; its texts are dealt out before they are written as hOCR, a thousand a task, since a task's
+    # hOCR comes to Python in batches of up to ten thousand rows
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.repartition(max(n, docs.count() // 1_000), "doc_id")
     escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     text = lambda x: x.cast("string")
 

@@ -220,6 +220,26 @@ def test_decisions(spark):
     assert {r["id"]: r["decision"] for r in T.decisions(p, a).collect()} == {1: "yes", 2: "refused"}
 
 
+def test_hocr_words_are_handed_on_in_parts(spark):
+    """All words of a batch of pages were gathered before the first was handed on."""
+    from foliospark.sources.hocr import WORDS, hocr_words
+
+    ship(spark)
+    word = "<span class='ocrx_word' title='bbox 1 2 3 4'>x</span>"
+    page = "<div class='ocr_page' title='bbox 0 0 9 9'>" + word * 500 + "</div>"
+    pages = spark.createDataFrame([(k, page if k % 50 else None) for k in range(200)], "id long, hocr string").coalesce(1)
+    found = hocr_words(pages, "id", "hocr")
+    assert found.groupBy("id").count().where("count = 500").count() == 196
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    assert max(r["n"] for r in found.mapInArrow(sizes, "n long").collect()) < WORDS + 500
+
+
 def test_robust_fit(spark):
     import itertools
 
