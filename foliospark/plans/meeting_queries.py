@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import meeting as M
-from ..sources.tables import RUNS_SQL, lines, runs
+from ..sources.tables import RUNS_SQL, by_page, lines, runs
 from .registry import query
 
 _TERM = "licens"
@@ -25,7 +25,9 @@ FROM sp JOIN mt USING (doc_id, line) WHERE match < n AND s < a + 6 AND e > a""")
 def jon13_match_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boxes of every hit of a term on the runs that it lies on, by places in the line's text."""
     c = F.col
-    parts = lines(spark, sf_dir).withColumn("parts", F.split(F.lower("text"), _TERM)).select("doc_id", "line", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "part"))
+    # lines with a hit are dealt out by page as their words are, so that they meet without an exchange
+    parts = by_page(lines(spark, sf_dir).where(F.contains(F.lower("text"), F.lit(_TERM))), "doc_id")
+    parts = parts.withColumn("parts", F.split(F.lower("text"), _TERM)).select("doc_id", "line", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "part"))
     so_far = Window.partitionBy("doc_id", "line").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     size = len(_TERM)
     hits = parts.withColumn("match_start", F.sum(F.length("part") + size).over(so_far) - size).where("i < n - 1")
@@ -44,7 +46,7 @@ def jon8_nearest_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point for every line of every page, about the text: the run nearest to it, if within reach."""
     c = F.col
     px, py = 40.0 + (c("doc_id") * 37 + c("line") * 53) % 560, 720.0 - 14.85 * (c("line") - 1) + (c("line") * 7) % 60 - 30
-    points = lines(spark, sf_dir).select("doc_id", c("line").alias("point"), px.alias("px"), py.alias("py"))
+    points = by_page(lines(spark, sf_dir).select("doc_id", "line"), "doc_id").select("doc_id", c("line").alias("point"), px.alias("px"), py.alias("py"))
     boxes = _boxes(spark, sf_dir).select("doc_id", c("run").alias("box"), "x", "y", "width", c("size").alias("height"), "size")
     found = M.nearest_boxes(points, boxes, ["doc_id"], largest=14.0)
     return found.select("doc_id", "point", "box", F.round("distance", 6).alias("distance"))
