@@ -555,3 +555,26 @@ def test_fidelity_exchanges_no_words(spark, sf_dir):
 
     exchanges = {q: q(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS") for q in (agg27_fidelity, agg27_word_differences)}
     assert exchanges == {agg27_fidelity: 1, agg27_word_differences: 0}  # the one is of finished pages, a row each
+
+
+def test_what_meets_on_a_page_exchanges_no_words(spark, sf_dir):
+    """Joins by more than the page exchanged all words again; now whole lines are dealt out, once a side."""
+    from foliospark.plans import registry
+
+    for name in ("jon7_nearest", "jon8_nearest_boxes", "jon13_match_quads"):
+        plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "ENSURE_REQUIREMENTS" not in plan and "REPARTITION_BY_NUM" in plan, name
+
+
+def test_nearest_mark_may_be_five_runs_before_a_mark(spark, tmp_path):
+    """A long run that is a mark lies farther from its own middle than from the mark before it, with blanks between."""
+    import duckdb
+
+    from foliospark.plans import registry
+
+    spark.createDataFrame([(1, "a b c d e" + " " * 5 + "x" * 17 + " f", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in registry.queries()["jon7_nearest"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(registry.oracle_sql()["jon7_nearest"]).fetchall())
+    assert [r[:4] for r in got] == [r[:4] for r in want] and (1, 1, 10, 5) in [r[:4] for r in got]
