@@ -6,9 +6,14 @@ arrays, as there are as many as a page can show. y grows upwards, and distances
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
+from ..sources.tables import by_page
 from .layout import kept_stops, merged_intervals
 
 # Fixed values of the format.
@@ -16,30 +21,73 @@ SAME_EDGE, MOST_THICK, LEAST_LONG = 2.0, 3.0, 8.0
 DRAWN_SHARE, LEAST_EDGES, LEAST_COLUMN = 0.8, 3, 12.0
 CELL_SLACK, FRAME_SLACK = 2.0, 18.0
 
+#: Pairs of rules that are in a task's memory at once.
+MOST_PAIRS = 1 << 20
+
+
+def _drawings(x: np.ndarray, y: np.ndarray, right: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """For pages with the same number of rules each, a row a page: the first place among the rules that each is joined with."""
+    pages, n = x.shape
+    meets = lambda low, high: low[:, :, None] - SAME_EDGE <= high[:, None, :]
+    touch = meets(x, right) & meets(y, top)
+    touch &= touch.transpose(0, 2, 1)
+    first = np.broadcast_to(np.arange(n), (pages, n))
+    while True:
+        # the least place in reach, then that one's own; rounds fall off with the length of a chain doubling
+        least = np.where(touch, first[:, None, :], first[:, :, None]).min(axis=2)
+        least = np.take_along_axis(least, least, axis=1)
+        if (least == first).all():
+            return first
+        first = least
+
+
+def _chained(x: np.ndarray, y: np.ndarray, right: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The same for a page of many rules, a rule at a time: no table of its pairs is made."""
+    first, free = np.full(len(x), -1), np.ones(len(x), bool)
+    for seed in range(len(x)):
+        if not free[seed]:
+            continue
+        front, free[seed] = [seed], False
+        while front:
+            r = front.pop()
+            first[r] = seed
+            near = np.flatnonzero(free & (x - SAME_EDGE <= right[r]) & (x[r] - SAME_EDGE <= right) & (y - SAME_EDGE <= top[r]) & (y[r] - SAME_EDGE <= top))
+            free[near] = False
+            front += near.tolist()
+    return first
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _first_rules(x: pa.Array, y: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
+    """The place of the first rule of each rule's drawing, by page; pages of as many rules are taken together."""
+    sizes = pc.list_value_length(x).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    left, low, wide, high = (side.flatten().to_numpy(zero_copy_only=False) for side in (x, y, width, height))
+    sides = left, low, left + wide, low + high
+    first = np.zeros(len(left), np.int32)
+    for n in np.unique(sizes[sizes > 0]):
+        same = np.flatnonzero(sizes == n)
+        if n * n > MOST_PAIRS:
+            for s in starts[same]:
+                first[s : s + n] = _chained(*(v[s : s + n] for v in sides))
+            continue
+        for own in np.array_split(same, len(same) * n * n // MOST_PAIRS + 1):
+            at = starts[own][:, None] + np.arange(n)
+            first[at] = _drawings(*(v[at] for v in sides))
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(left)), pa.int32()), pa.array(first))
+
 
 def drawings(rules: DataFrame, key: list[str]) -> DataFrame:
     """Adds `drawing`: the smallest rule number among those that a rule touches, directly or by way of others.
 
-    Rules touch when their boxes, widened by SAME_EDGE, meet. A page's rules are taken one by one; each joins the groups
-    that it touches into one.
+    Rules touch when their boxes, widened by SAME_EDGE, meet. Pages of as many rules are taken together.
     """
     rule = F.struct("rule", "x", "y", "width", "height")
-
-    def meets(a: Column, b: Column) -> Column:
-        return (
-            (a["x"] - SAME_EDGE <= b["x"] + b["width"]) & (b["x"] - SAME_EDGE <= a["x"] + a["width"])
-            & (a["y"] - SAME_EDGE <= b["y"] + b["height"]) & (b["y"] - SAME_EDGE <= a["y"] + a["height"])
-        )
-
-    def take(groups: Column, r: Column) -> Column:
-        near = lambda g: F.exists(g, lambda other: meets(other, r))
-        joined = F.concat(F.flatten(F.filter(groups, near)), F.array(r))
-        return F.concat(F.filter(groups, lambda g: ~near(g)), F.array(joined))
-
     page = rules.groupBy(*key).agg(F.sort_array(F.collect_list(rule)).alias("all"))
-    kind = page.schema["all"].dataType.simpleString()
-    groups = page.select(*key, F.explode(F.aggregate("all", F.array().cast(f"array<{kind}>"), take)).alias("own"))
-    return groups.select(*key, F.array_min(F.transform("own", lambda r: r["rule"])).alias("drawing"), F.inline("own"))
+    page = page.withColumn("first", _first_rules("all.x", "all.y", "all.width", "all.height"))
+    own = F.zip_with("all", "first", lambda r, at: F.struct(F.get("all", at)["rule"].alias("drawing"), *[r[c].alias(c) for c in ("rule", "x", "y", "width", "height")]))
+    # behind the function pages are dealt out anew, each as one row; what follows by page or drawing exchanges nothing
+    return by_page(page.select(*key, own.alias("own")), *key).select(*key, F.inline("own"))
 
 
 def edges(drawn: DataFrame, key: list[str], dealt: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ruled_tables as T
+from ..session import ship
 from ..sources.forms import FORMS_SQL, form_frames, form_rules, form_text
 from .registry import query
 
@@ -58,14 +59,16 @@ pc AS (SELECT page, drawing, line, cell, least(len(list_filter(rows[2:], lambda
 @query(f"{_GRIDS_SQL}, {_CELLS_SQL} SELECT page, drawing, gc.r, gc.c, coalesce(above, false) AS above, coalesce(below, false) AS below, coalesce(before, false) AS before, coalesce(behind, false) AS behind FROM gc LEFT JOIN bs USING (page, drawing, r, c)")
 def jon21_grid_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the grids that drawn rules make, and which of their sides are drawn."""
-    found = T.grids(T.edges(T.drawings(form_rules(spark, sf_dir), ["page"]), ["page"]), ["page"])
+    ship(spark)
+    found = T.grids(T.edges(T.drawings(form_rules(spark, sf_dir), ["page"]), ["page"], dealt=True), ["page"])
     return T.grid_cells(found, ["page"])
 
 
 @query(f"{_GRIDS_SQL}, {_PLACED_SQL} SELECT page, drawing, line, cell, r, place FROM pc")
 def jon12_placed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row and column of each text cell in the grid of its page; -1 beside it, -2 across a column edge."""
-    found = T.grids(T.edges(T.drawings(form_rules(spark, sf_dir), ["page"]), ["page"]), ["page"])
+    ship(spark)
+    found = T.grids(T.edges(T.drawings(form_rules(spark, sf_dir), ["page"]), ["page"], dealt=True), ["page"])
     found = found.drop("spans")
     return T.placements(form_text(spark, sf_dir), found, ["page"]).select("page", "drawing", "line", "cell", "r", "place")
 
@@ -79,5 +82,6 @@ SELECT page, drawing, gc.r, gc.c, coalesce(above, false) AS above, coalesce(belo
        coalesce(array_to_string(lines, ','), '') AS lines FROM gc JOIN ok USING (page, drawing) LEFT JOIN bs USING (page, drawing, r, c) LEFT JOIN cl USING (page, drawing, r, c)""")
 def cmp7_ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables of all order forms: their cells, drawn sides, and the lines in each cell."""
+    ship(spark)
     found = T.ruled_tables(form_rules(spark, sf_dir), form_text(spark, sf_dir), form_frames(spark, sf_dir), ["page"])
     return found.withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))

@@ -578,3 +578,22 @@ def test_nearest_mark_may_be_five_runs_before_a_mark(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = sorted(con.sql(registry.oracle_sql()["jon7_nearest"]).fetchall())
     assert [r[:4] for r in got] == [r[:4] for r in want] and (1, 1, 10, 5) in [r[:4] for r in got]
+
+
+def test_drawings_of_many_pages_and_of_a_page_of_many_rules(spark):
+    """Pages are taken together on numpy; the fold that took a rule at a time in the plan is gone."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 9, 40):
+        x, y = rng.uniform(0, 200, (2, 30, n))
+        right, top = x + rng.uniform(0, 40, (30, n)), y + rng.choice([0.5, 30.0], (30, n))
+        want = [T._chained(*page) for page in zip(x, y, right, top, strict=True)]
+        assert (T._drawings(x, y, right, top) == np.array(want)).all()
+        for p, first in enumerate(want):
+            low = list(range(n))
+            for _ in range(n):
+                low = [min(low[j] for j in range(n) if all(a[p][i] - 2 <= b[p][j] and a[p][j] - 2 <= b[p][i] for a, b in ((x, right), (y, top)))) for i in range(n)]
+            assert low == first.tolist()
+    rules = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 1.0)], RULE)
+    assert "aggregate(" not in T.drawings(rules, ["page"])._jdf.queryExecution().optimizedPlan().toString()
