@@ -18,12 +18,20 @@ from .packed import arrow_schema, bucket_count, bucket_width, pack_buckets, to_g
 
 #: Stands for a text's end among the word hashes.
 END = np.uint64(0x8000000000000001)
-_ENDS = np.array([END])
+#: Bytes that belong to words; masks of a little-endian number's first 0 to 8 bytes.
+_IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_FIRST_BYTES = np.array([256**k - 1 for k in range(9)], dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Tells the key of a context from that of the same words as a shorter context and its next word.
 CONTEXT = 0x2545F4914F6CDD1D
-#: Tokens that a task works on at once: some 200 bytes each, in scoring 600, where a token has several keys.
+#: Tokens that a task works on at once; in scoring some 600 bytes each, as a token has several keys there.
 CHUNK_TOKENS = 1_000_000
 SCORE_TOKENS = 250_000
+#: Tokens (some 40 bytes each) or longer grams that are counted together before they are sent, and entries that scoring
+#: sends together: equal ones and neighbours share more bytes, the more there are.
+COUNT_TOKENS, COUNT_GRAMS, SCORE_ENTRIES = 3_000_000, 1_500_000, 1_000_000
+#: Words, and contexts and next words of each length, that the head holds at most.
+HEAD_ENTRIES = 1 << 19
 #: Tokens a range of keys should have in scoring: few ranges, so that each sums up several keys of a document.
 SCORE_BUCKET = 2_500_000
 #: A word that makes up more than this share of all tokens is counted as a context in so many parts.
@@ -45,7 +53,7 @@ class Level:
 @dataclass
 class SuffixTree:
     """words/counts: the common words (sorted hashes), and levels: the common contexts and next words, all of which
-    number at most 1 / common_share each. They only spare a join: grams, tables in Spark of any size, have all other
+    number at most HEAD_ENTRIES (1 / common_share, where that is given) each. They only spare a join: grams, tables in Spark of any size, have all other
     retained contexts and next words (key, value), and passing is a bounded Bloom filter of their keys. gains: by context
     length, nats that its contexts gain for each training token."""
 
@@ -72,13 +80,35 @@ class SuffixTree:
 
 def _tokens(texts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, an end after each, and the number of tokens of each text."""
-    parts, sizes = [], []
-    for t in texts:
-        own = hash_words(t.lower().split())
-        own[own == END] ^= np.uint64(2)
-        parts += [own, _ENDS]
-        sizes.append(len(own) + 1)
-    return np.concatenate(parts), np.array(sizes, dtype=np.int64)
+    lower = [t.lower() for t in texts]
+    joined = b"\n".join([*lower, bytes(8)])
+    raw = np.frombuffer(joined, np.uint8)
+    inside = _IN_WORD[raw[:-8]]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edges = np.r_[0, edges] if len(inside) and inside[0] else edges
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    own = _word_hashes(joined, starts, lengths)
+    own[own == END] ^= np.uint64(2)
+    after = np.cumsum([len(t) + 1 for t in lower], dtype=np.int64)
+    sizes = np.diff(np.r_[0, np.searchsorted(starts, after)]) + 1
+    h = np.full(len(own) + len(lower), END)
+    words = np.ones(len(h), dtype=bool)
+    words[np.cumsum(sizes) - 1] = False
+    h[words] = own
+    return h, sizes
+
+
+def _word_hashes(joined: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words by eight bytes a step; long ones by SipHash. Eight bytes must follow the last word."""
+    eight = np.ndarray((max(0, len(joined) - 7),), "<u8", joined, strides=(1,))
+    h = mixed(mixed(eight[starts] & _FIRST_BYTES[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * _ODD)
+    more = np.flatnonzero((lengths > 8) & (lengths <= 64))
+    for done in range(8, 64, 8):
+        more = more[lengths[more] > done]
+        h[more] = _combined(h[more], eight[starts[more] + done] & _FIRST_BYTES[np.minimum(lengths[more] - done, 8)])
+    far = np.flatnonzero(lengths > 64)
+    h[far] = hash_words([joined[a:b] for a, b in zip(starts[far].tolist(), (starts + lengths)[far].tolist(), strict=True)])
+    return h
 
 
 def _chunks(
@@ -181,7 +211,7 @@ def _counted(
     """(ctx, below, n, size, gram, c): how often each next word follows each context of `length` words, from least_next
     times and for contexts from least_context times on; the count of a common word.
 
-    A chunk's pairs go packed to ranges of contexts, where each context's differ little from one another; those of
+    Pairs go packed to ranges of contexts, where each context's differ little from one another; those of
     the most frequent words are dealt out further by the next word.
     """
     width, most = bucket_width(n_buckets), tree.words[tree.counts > HOT_SHARE * tree.tokens]
@@ -190,28 +220,27 @@ def _counted(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, _, most, candidates = shared.value
         packer = zstandard.ZstdCompressor(level=1)
-        for _, h, sizes in _chunks(batches, 0):
-            shorter = np.zeros_like(h)
-            for at, (place, ctx, _, below) in enumerate(_grams(h, sizes, length), start=1):
-                if at < length:
-                    shorter[place] = ctx  # the context of this length before a token
-                    continue
-                if candidates is not None:
-                    some = _passes(ctx.view(np.int64), candidates) & _passes((shorter[place] ^ np.uint64(CONTEXT)).view(np.int64), candidates)
-                    ctx, below = ctx[some], below[some]
-                bucket = (mixed(ctx) // width).astype(np.int64)
-                if length == 1:
-                    often = _index(ctx, most) >= 0
-                    bucket[often] += n_buckets * (1 + (below[often] % np.uint64(HOT_PARTS)).astype(np.int64))
-                    known = _index(below, words)
-                    below = np.where(known >= 0, known.astype(np.uint64), below)
-                order = np.lexsort((below, ctx, bucket))
-                bucket, ctx, below = bucket[order], ctx[order], below[order]
-                first = np.flatnonzero(_first(ctx, below))
-                n = np.diff(np.r_[first, len(ctx)]).astype(np.uint32)
-                for some, bodies in pack_buckets(bucket[first], [ctx[first], below[first], n], packer):
+        limit = COUNT_TOKENS if length == 1 else COUNT_GRAMS
+
+        def send(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            ctx, below, n = _next_words(held, words) if length == 1 else _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            bucket = (ctx // width).astype(np.int64)
+            often = _index(ctx, most) >= 0 if length == 1 else np.zeros(len(ctx), dtype=bool)
+            bucket[often] += n_buckets * (1 + (below[often] % np.uint64(HOT_PARTS)).astype(np.int64))
+            hot = np.flatnonzero(often)
+            for rows in (np.flatnonzero(~often), hot[np.argsort(bucket[hot], kind="stable")]):
+                for some, bodies in pack_buckets(bucket[rows], [ctx[rows], below[rows], n[rows]], packer):
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(bodies, pa.binary())], ["bucket", "body"])
 
+        held: list[tuple[np.ndarray, ...]] = []
+        for _, h, sizes in _chunks(batches, 0):
+            held.append(_places(h, sizes) if length == 1 else _candidate_grams(h, sizes, length, candidates))
+            if sum(len(x[1]) for x in held) >= limit:
+                yield from send(held)
+                held = []
+        if held:
+            yield from send(held)
+
     def tally(table: pa.Table) -> pa.Table:
         words, counts, _, _ = shared.value
         ctx, below, n = unpack_bodies(table.column("body"), ["u8", "u8", "u4"])
@@ -240,6 +269,76 @@ def _counted(
     return packed.groupBy("bucket").applyInArrow(tally, "ctx long, below long, n long, size long, gram long, c long")
 
 
+def _candidate_grams(h: np.ndarray, sizes: np.ndarray, length: int, candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of `length` words, and what follows them without their first word, that pass the filter of candidates."""
+    shorter = np.zeros_like(h)
+    for place, ctx, _, below in _grams(h, sizes, length):
+        last = shorter[place] ^ np.uint64(CONTEXT)
+        shorter[place] = ctx  # the context of this length before a token
+    some = np.flatnonzero(_passes(ctx.view(np.int64), candidates))
+    some = some[_passes(last[some].view(np.int64), candidates)]
+    return ctx[some], below[some]
+
+
+def _places(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, each token's place among them, and the texts' sizes."""
+    word, at = np.unique(h, return_inverse=True)
+    return word, at.astype(np.uint32), sizes
+
+
+def _next_words(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, next word, count), sorted, of single words; next words that are common are told by their place."""
+    word = np.unique(np.concatenate([own for own, _, _ in parts]))
+    known = _index(word, words)
+    code = np.where(known >= 0, known.astype(np.uint64), word)
+    by_code = np.argsort(code)
+    rank = np.empty(len(word), dtype=np.uint64)
+    rank[by_code] = np.arange(len(word), dtype=np.uint64)
+    pair = np.empty(sum(len(at) - len(sizes) for _, at, sizes in parts), dtype=np.uint64)
+    done, n_words = 0, np.uint64(len(word))
+    for own, at, sizes in parts:
+        place = np.searchsorted(word, own)
+        follows = np.ones(len(at), dtype=bool)
+        follows[np.cumsum(sizes) - sizes] = False
+        follows = np.flatnonzero(follows)
+        some = pair[done : done + len(follows)]
+        some[:] = place[at[follows - 1]]
+        some *= n_words
+        some += rank[place][at[follows]]
+        done += len(follows)
+    pair.sort()
+    first = np.flatnonzero(_first(pair))
+    n = np.diff(np.r_[first, len(pair)]).astype(np.uint32)
+    ctx, below = np.divmod(pair[first], n_words)
+    return word[ctx.view(np.int64)], code[by_code][below.view(np.int64)], n
+
+
+def _distinct(ctx: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ctx, below, count), sorted."""
+    order = np.lexsort((below, ctx))
+    ctx, below = ctx[order], below[order]
+    first = np.flatnonzero(_first(ctx, below))
+    return ctx[first], below[first], np.diff(np.r_[first, len(ctx)]).astype(np.uint32)
+
+
+def _columns(df: DataFrame) -> list[np.ndarray]:
+    """A bounded table's columns, none of which has nulls."""
+    found = [c.to_numpy() for c in df.toArrow().columns]
+    pa.default_memory_pool().release_unused()
+    return found
+
+
+def _head_from(counts: DataFrame, most: int) -> float:
+    """The least number, 2 or more and in steps of a sixth of a doubling, that at most so many counts (column c) reach."""
+    by_step = counts.where("c >= 2").groupBy(F.floor(6 * F.log2("c")).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    held, least = 0, 2.0
+    for step, n in sorted(map(tuple, by_step), reverse=True):
+        held += n
+        if held > most:
+            return 2.0 ** ((step + 1) / 6)
+    return least
+
+
 def _first(*keys: np.ndarray) -> np.ndarray:
     """Where sorted keys change."""
     n = len(keys[0])
@@ -249,7 +348,7 @@ def _first(*keys: np.ndarray) -> np.ndarray:
 def train(
     docs: DataFrame,
     max_depth: int | None = None,
-    common_share: float = 1e-6,
+    common_share: float | None = None,
     least_context: int = 24,
     least_next: int = 6,
     divergence: float = 0.02,
@@ -266,7 +365,8 @@ def train(
     discounted by a half; the mass left goes to the suffix. Contexts of min_depth words are always looked for;
     longer ones as long as those of the last length gain least_gain nats for each training token (count times divergence,
     over all of them; among many near copies chance retains some at any length), or up to max_depth words. No bound on a
-    context depends on the number of tokens, so the tree grows with the corpus.
+    context depends on the number of tokens, so the tree grows with the corpus. The head takes the most frequent words,
+    contexts and next words, HEAD_ENTRIES of each length, or those of common_share of all tokens; scores are the same.
     """
     texts = docs.select(F.col(text_col).alias("text"))
     spark = docs.sparkSession
@@ -283,11 +383,10 @@ def train(
     ).first()
     n = n or 0
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    often = max(2, common_share * n)
-    common = vocabulary.where(F.col("c") >= often).toPandas()
-    hashes = common["word"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    tree = SuffixTree(hashes[order], common["c"].to_numpy(dtype=np.int64)[order], n, v, discount)
+    often = _head_from(vocabulary.select("c"), HEAD_ENTRIES) if common_share is None else max(2, common_share * n)
+    hashes, counts = _columns(vocabulary.where(F.col("c") >= often))
+    order = np.argsort(hashes.view(np.uint64))
+    tree = SuffixTree(hashes.view(np.uint64)[order], counts[order], n, v, discount)
     width = max(1, len(tree.words))
     root = (F.col("c") - F.lit(discount)) / F.lit(float(max(1, n)))
     n_buckets = bucket_count(texts)
@@ -321,8 +420,9 @@ def train(
         mass = (F.col("n") - 0.5) / F.col("size")
         gain = F.log10(1 + mass / (F.col("rest") * F.col("q")))
         found = rows.withColumn("retained", retained).select(
-            "ctx", "gram", "n", "size", "d", "open", "one", "retained", "rest",
-            F.when(F.col("n") >= often, F.col("word")).alias("word"),
+            "ctx", "gram", "n", "size", F.when(F.col("one"), F.col("d")).alias("d"), "open", "one", "retained",
+            F.when(F.col("one"), F.col("rest")).alias("rest"),
+            F.when(F.col("n") >= F.lit(often), F.col("word")).alias("word"),
             F.when(F.col("retained"), mass + F.col("rest") * F.col("q")).otherwise(F.col("q")).alias("p"),
             F.when(F.col("retained"), gain).alias("gain"),
         )
@@ -337,20 +437,21 @@ def train(
             F.count_if("retained") + F.count_if(F.col("retained") & F.col("one")),
         ).first()
         gained, n_grams = gained or 0.0, n_grams + n_kept
-        grams.append(kept.select(F.col("ctx").bitwiseXOR(F.lit(CONTEXT)).alias("key"), F.log10("rest").alias("value"), F.col("size").alias("n")))
-        grams.append(found.where("gain is not null").select(F.col("gram").alias("key"), F.col("gain").alias("value"), "n"))
-        # the head: at most 1 / common_share contexts and next words
-        head = found.where("retained").where((F.col("n") >= often) | (F.col("one") & (F.col("size") >= often)))
-        head = head.select("ctx", F.coalesce("word", F.lit(0)).alias("word"), mass.alias("mass"), "gain", "rest", "one", "size", "n").toPandas()
-        top = head[head["one"] & (head["size"] >= often)].sort_values("ctx")
-        head = head[head["n"] >= often]
-        keys = top["ctx"].to_numpy(np.int64)
-        state = _find(head["ctx"].to_numpy(np.int64), keys)
-        both = state * width + _index(head["word"].to_numpy(np.int64).view(np.uint64), tree.words)
+        # the head: what is seen so often; its words are among the common ones
+        least = often
+        if common_share is None:
+            counts = found.where("retained").select(F.explode(F.array("n", F.when(F.col("one"), F.col("size")))).alias("c"))
+            least = max(often, _head_from(counts, HEAD_ENTRIES))
+        tail = kept.select(F.col("ctx").bitwiseXOR(F.lit(CONTEXT)).alias("key"), F.log10("rest").alias("value"), F.col("size").alias("n"))
+        tail = tail.unionByName(found.where("gain is not null").select(F.col("gram").alias("key"), F.col("gain").alias("value"), "n"))
+        grams.append(tail.where(F.col("n") < least).select("key", "value"))
+        keys, rest = _columns(kept.where(F.col("size") >= least).select("ctx", "rest"))
+        order = np.argsort(keys)
+        keys, rest = keys[order], rest[order]
+        ctx, word, own_mass, own_gain = _columns(found.where("retained").where(F.col("n") >= least).select("ctx", "word", mass.alias("mass"), "gain"))
+        both = _find(ctx, keys) * width + _index(word.view(np.uint64), tree.words)
         order = np.argsort(both)
-        tree.levels.append(
-            Level(keys, both[order], head["mass"].to_numpy(float)[order], top["rest"].to_numpy(float), head["gain"].to_numpy(float)[order])
-        )
+        tree.levels.append(Level(keys, both[order], own_mass[order], rest, own_gain[order]))
         tree.depth, tree.gains = length, [*tree.gains, gained / max(1, n)]
         if length >= min_depth and gained <= least_gain * n:
             break
@@ -359,7 +460,7 @@ def train(
         candidates = _filter(found.select(keys.alias("key")).where("key is not null"), n_next)
         lower = found.select(F.col("gram").alias("below"), "word", F.col("p").alias("q"))
     # what is not in the head
-    tree.grams = reduce(DataFrame.unionByName, grams).where(F.col("n") < often).select("key", "value")
+    tree.grams = reduce(DataFrame.unionByName, grams)
     tree.passing = _filter(tree.grams.select("key"), n_grams)
     return tree, vocabulary
 
@@ -376,7 +477,8 @@ def score(docs: DataFrame, tree: SuffixTree, vocabulary: DataFrame, id_col: str
     are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(replace(tree, grams=None))
+    levels = [replace(level, mass=level.mass[:0]) for level in tree.levels]
+    shared = docs.sparkSession.sparkContext.broadcast(replace(tree, levels=levels, grams=None))
     n_buckets = bucket_count(docs, text_col, SCORE_BUCKET)
     width, missing = bucket_width(n_buckets), math.log10(tree.unknown) if tree.unknown > 0 else -300.0
     parts = "doc_id long, n_tokens long, n_known long, base double, log double"
@@ -384,40 +486,53 @@ def score(docs: DataFrame, tree: SuffixTree, vocabulary: DataFrame, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
-        states = max(1, len(tree.words))
+        states, lefts = max(1, len(tree.words)), [np.log10(level.rest) for level in tree.levels]
         packer = zstandard.ZstdCompressor(level=1)
+
+        def send(key: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            first = np.flatnonzero(_first(key, doc))
+            times = np.diff(np.r_[first, len(key)]).astype(np.uint32)
+            key, doc = key[first], doc[first]
+            for some, bodies in pack_buckets((key // width).astype(np.int32), [key, doc, times], packer):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array(bodies, pa.binary()), pa.nulls(len(some), pa.binary())], ["bucket", "body", "done"]
+                )
+
+        rest: list[tuple[np.ndarray, np.ndarray]] = []
         for ids, h, sizes in _chunks(batches, 1, SCORE_TOKENS):
             ids, n_docs = ids.to_numpy(), len(sizes)
-            index = _index(h, tree.words)
             own = np.repeat(np.arange(n_docs), sizes)
+            # what depends on the word alone is found once for each of the chunk's words
+            word, place = np.unique(h, return_inverse=True)
+            index = _index(word, tree.words)
             known = index >= 0
             count = tree.counts[np.maximum(index, 0)] if len(tree.counts) else np.zeros(len(index))
-            log = np.where(known, np.log10(np.where(known, tree.root(count), 1.0)), missing)
+            log = np.where(known, np.log10(np.where(known, tree.root(count), 1.0)), missing)[place]
+            base = np.where(known, np.log10(count + 1), 0.0)[place]
+            index, known = index[place], known[place]
             # the rest: one entry for each document and word, context or next word
-            rest = [(own[~known], h[~known])]
-            for level, (at, ctx, both, _) in zip(tree.levels, _grams(h, sizes, tree.depth), strict=True):
-                state = _find(ctx.view(np.int64), level.keys)
+            rest.append((h[~known], ids[own[~known]]))
+            for level, left, (at, ctx, both, _) in zip(tree.levels, lefts, _grams(h, sizes, tree.depth), strict=True):
+                state = _find(word.view(np.int64), level.keys)[place[at - 1]] if level is tree.levels[0] else _find(ctx.view(np.int64), level.keys)
                 here = state >= 0
-                log[at[here]] += np.log10(level.rest[state[here]])
-                pair = _find(np.where(here & (index[at] >= 0), state * states + index[at], -1), level.pairs)
+                log[at[here]] += left[state[here]]
+                pair = np.full(len(at), -1)
+                asked = np.flatnonzero(here & (index[at] >= 0))
+                pair[asked] = _find(state[asked] * states + index[at[asked]], level.pairs)
                 log[at[pair >= 0]] += level.gain[pair[pair >= 0]]
                 for keys, absent in ((ctx ^ np.uint64(CONTEXT), ~here), (both, pair < 0)):
                     some = np.flatnonzero(absent)
                     some = some[_passes(keys[some].view(np.int64), tree.passing)]
-                    rest.append((own[at[some]], keys[some]))
-            base = np.where(known, np.log10(count + 1), 0.0)
+                    rest.append((keys[some], ids[own[at[some]]]))
             sums = [sizes, np.bincount(own, known, n_docs).astype(np.int64), np.bincount(own, base, n_docs), np.bincount(own, log, n_docs)]
             yield wrap(pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, *sums)], schema=schema))
-            whose, key = (np.concatenate(c) for c in zip(*rest, strict=True))
-            order = np.lexsort((whose, key))
-            key, whose = key[order], whose[order]
-            first = np.flatnonzero(_first(key, whose))
-            times = np.diff(np.r_[first, len(key)]).astype(np.uint32)
-            key, doc = key[first], ids[whose[first]]
-            for some, bodies in pack_buckets((key // width).astype(np.int32), [key, doc, times], packer):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int32()), pa.array(bodies, pa.binary()), pa.nulls(len(some), pa.binary())], ["bucket", "body", "done"]
-                )
+            if sum(len(key) for key, _ in rest) >= SCORE_ENTRIES:
+                yield from send(*(np.concatenate(c) for c in zip(*rest, strict=True)))
+                rest = []
+        if rest:
+            yield from send(*(np.concatenate(c) for c in zip(*rest, strict=True)))
 
     def look_up(asked: pa.Table, table: pa.Table) -> pa.Table:
         done = [unpack_table(x.as_py()) for x in asked.column("done") if x.is_valid]
@@ -445,9 +560,10 @@ def score(docs: DataFrame, tree: SuffixTree, vocabulary: DataFrame, id_col: str
     keyed = base.select(row_key(base, "id", "text").alias("doc_id"), "id", "text")
     rows = keyed.select("doc_id", "text")
     owners = keyed.groupBy("doc_id").agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    common = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"word": pa.array(tree.words.view(np.int64))})))
     gained = F.log10((F.col("c") - F.lit(tree.discount)) / F.lit(float(max(1, tree.tokens)))) - F.lit(missing)
-    rare = vocabulary.join(common, "word", "left_anti").select(F.col("word").alias("key"), F.col("c").cast("long"), gained.alias("value"))
+    # the common words are all that are seen as often as the least of them
+    rare = vocabulary.where(F.col("c") < F.lit(int(tree.counts.min()))) if len(tree.counts) else vocabulary
+    rare = rare.select(F.col("word").alias("key"), F.col("c").cast("long"), gained.alias("value"))
     table = rare.unionByName(tree.grams.withColumn("c", F.lit(0).cast("long"))).mapInArrow(
         lambda batches: (
             pa.RecordBatch.from_arrays(

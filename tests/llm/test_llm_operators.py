@@ -2,11 +2,13 @@
 
 import hashlib
 import os
+import random
 import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -467,6 +469,44 @@ def test_suffix_tree_head_only_spares_a_join(spark, sf_dir, common_share):
         assert (r["base_score"], r["score"]) == (pytest.approx(want[i]["base_score"]), pytest.approx(want[i]["score"]))
 
 
+def test_suffix_tree_head_is_filled_up_to_a_number(spark, sf_dir, monkeypatch):
+    """The head takes the most frequent entries up to a number, however small their share of all tokens is."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id % 4 = 0")
+    want = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, *suffix_tree.train(docs, common_share=0)).collect()}
+    monkeypatch.setattr(suffix_tree, "HEAD_ENTRIES", 300)
+    tree, vocabulary = suffix_tree.train(docs)
+    sizes = [len(tree.words), *(len(level.keys) + len(level.pairs) for level in tree.levels)]
+    assert max(sizes) <= 300 and sizes[0] > 150 and sizes[1] > 150
+    assert {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, tree, vocabulary).collect()} == pytest.approx(want)
+
+
+def test_suffix_tree_tokens_of_a_chunk():
+    """Words of many texts, cut and hashed together, are those of each text."""
+    draw = random.Random(5)
+    texts = [bytes(draw.choice(b" \t\n\x0b\x0c\r\x1c\x85\xc3\xa9aAbBzZ\x00") for _ in range(draw.randrange(300))) for _ in range(200)]
+    texts += [b"", b" ", b"x" * 63, b"x" * 64, b"X" * 65, b"y" * 5000 + b" q", b"a\0 a a\0\0"]
+    h, sizes = suffix_tree._tokens(iter(texts))
+    words = [w for t in texts for w in [*t.lower().split(), None]]
+    assert sizes.tolist() == [len(t.split()) + 1 for t in texts]
+    assert len(h) == len(words) and (h == suffix_tree.END).tolist() == [w is None for w in words]
+    assert len(set(h.tolist())) == len(set(words)) == len(set(zip(h.tolist(), words)))
+
+
+def test_suffix_tree_sends_equal_pairs_of_a_task_once(spark):
+    """Pairs of several chunks are counted together before they are exchanged, in less than half of what each chunk would send."""
+    texts = [" ".join(f"w{(k * 31 + i * i) % 997}" for i in range(400)) for k in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).collect()
+    batches = [pa.RecordBatch.from_pydict({"text": [r["text"]]}) for r in docs]
+    words = np.array([], dtype=np.uint64)
+    chunks = [(h, sizes) for _, h, sizes in suffix_tree._chunks(iter(batches), 0, 1000)]
+    assert len(chunks) >= 10
+    parts = [suffix_tree._places(*x) for x in chunks]
+    whole = suffix_tree._next_words(parts, words)
+    want = Counter((a, b) for h, n in chunks for t in np.split(h, np.cumsum(n)[:-1]) for a, b in zip(t[:-1].tolist(), t[1:].tolist()))
+    assert {(a, b): n for a, b, n in zip(*(x.tolist() for x in whole))} == want
+    assert 2 * len(whole[0]) < sum(len(suffix_tree._next_words([x], words)[0]) for x in parts)
+
+
 def _packed(spark, sources, window):
     """Per window, tokens by source; all windows are checked to be full and without gaps."""
     rows = [(k, f"word{k} " * (3 + k % 5), s) for k, s in enumerate(sources)]
