@@ -76,6 +76,28 @@ def test_aggregates(spark):
     assert A.otsu(h, "g", "b", "n").first()["threshold"] == 1
 
 
+def test_shared_bigrams(spark, monkeypatch):
+    """Against plain sets, on repeated and null ids and characters of four bytes, with all, some and none of the counts in the head;
+    pages go to the join as one row each where the head knows all of their bigrams."""
+    from collections import Counter
+
+    from foliospark.operators import bigrams as B
+
+    ship(spark)
+    texts = ["abab c", "ab", "\U0001f600a\U0001f600a", "a\U0001f600b", "éa éa", "xx", "zq" * 20, "ab\nab"]
+    rows = [(None if k == 5 else f"d{k % 3}", None if k == 7 else k % 19, texts[k % 8]) for k in range(40)]
+    sets = [(d, p, {t[i : i + 2] for i in range(len(t) - 1)}) for d, p, t in rows if d is not None]
+    n, want = Counter((d, g) for d, _, s in sets for g in s), Counter()
+    for d, p, s in sets:
+        want[p] += sum(n[d, g] - 1 for g in s)
+    docs = spark.createDataFrame(rows, "doc string, page long, text string").repartition(3)
+    monkeypatch.setattr(B, "CHUNK_CHARS", 50)
+    for share in (0, 0.02, 1):
+        monkeypatch.setattr(B, "HEAD_SHARE", share)
+        assert {r["page"]: r["shared"] for r in B.shared_bigrams(docs).collect()} == want, share
+    assert B.shared_bigrams(docs.limit(0)).collect() == []
+
+
 def test_kept_stops_depend_on_the_last_kept(spark):
     s = spark.createDataFrame([([10.0, 12.0, 14.5, 15.0, 30.0],)], "s array<double>")
     assert s.select(L.kept_stops(F.col("s"))).first()[0] == [10.0, 14.5, 30.0]
