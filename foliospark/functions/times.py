@@ -48,6 +48,37 @@ def times_units(text: Column) -> Column:
     return F.arrow_udf(units, "int")(text)
 
 
+def word_units(text: Column) -> Column:
+    """The widths of the words between single blanks, in thousandths of the size, for each line of a text: as many lines as
+    F.split(text, "\n") has, and as many words as F.split(line, " ")."""
+    widths = np.full(256, OTHER, dtype=np.int64)
+    widths[32 : 32 + len(WIDTHS)] = WIDTHS
+    widths[128:192] = 0
+
+    def units(texts: pa.Array) -> pa.Array:
+        kind = np.int32 if pa.types.is_string(texts.type) else np.int64
+        ends = np.frombuffer(texts.buffers()[1], dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = texts.buffers()[2]
+        data = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+        ends -= ends[0]
+        upto = np.concatenate([[0], np.cumsum(widths[data])])
+        breaks = np.flatnonzero((data == 32) | (data == 10))
+        # a word ends at each blank, line break and end of a text; the breaks before the end of a text come first
+        row = np.searchsorted(ends, breaks, side="right") - 1
+        at = np.arange(len(breaks)) + row
+        last = np.cumsum(np.bincount(row, minlength=len(texts)) + 1) - 1
+        n = len(breaks) + len(texts)
+        begins, stops, line_ends = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        stops[at], stops[last] = breaks, ends[1:]
+        begins[at + 1], begins[np.append(0, last[:-1] + 1)[: len(texts)]] = breaks + 1, ends[:-1]
+        line_ends[at], line_ends[last] = data[breaks] == 10, True
+        lines = np.append(0, np.flatnonzero(line_ends) + 1)
+        words = pa.ListArray.from_arrays(pa.array(lines, pa.int32()), pa.array(upto[stops] - upto[begins], pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(lines, np.append(0, last + 1)), pa.int32()), words)
+
+    return F.arrow_udf(units, "array<array<int>>")(F.coalesce(text, F.lit("")))
+
+
 def times_units_sql(text: str) -> str:
     """The same for DuckDB."""
     terms = [f"{OTHER} * length({text})"]

@@ -27,15 +27,14 @@ def running(df: DataFrame, group: list[str], order: str, weight: Column, name: s
     Each (group, range of order) is summed by itself; the few range sums are added up. `order` is a number that tells
     the rows of a group apart. cut_by: ranges() of an earlier call, to be used again.
     """
-    cut = df.withColumn("_range", ranges(df, order) if cut_by is None else cut_by).withColumn("_w", weight)
-    sums = cut.groupBy(*group, "_range").agg(F.sum("_w").alias("_sum"))
-    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], F.col("_range").alias("_r"),
-                        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    on = [F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(group)] + [F.col("_range") == F.col("_r")]
-    inside = Window.partitionBy(*group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    found = cut.withColumn(name, F.sum("_w").over(inside)).join(bases, on)
-    return found.withColumn(name, F.col(name) + F.col("_base")).drop("_range", "_r", "_w", "_base", *[f"_g{k}" for k in range(len(group))])
+    # equal structs may hold nulls; as the window and the join have one key, rows are exchanged once
+    cut = df.withColumn("_key", F.struct(*group, (ranges(df, order) if cut_by is None else cut_by).alias("_range"))).withColumn("_w", weight)
+    sums = cut.groupBy("_key").agg(F.sum("_w").alias("_sum"))
+    earlier = Window.partitionBy(*[F.col(f"_key.{g}") for g in group]).orderBy("_key._range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("_key", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_key").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    found = cut.withColumn(name, F.sum("_w").over(inside)).join(bases, "_key")
+    return found.withColumn(name, F.col(name) + F.col("_base")).select(*df.columns, name)
 
 
 def numbered(df: DataFrame, group: list[str], order: str, name: str = "ordinal") -> DataFrame:

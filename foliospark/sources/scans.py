@@ -9,47 +9,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import times_units, times_units_sql
+from ..functions.times import WIDTHS, times_units, times_units_sql, word_units
 from ..operators.recognised import descent
+from ..session import load
 from .noted_pages import NOTED_SQL, noted_pages, noted_paragraphs
-from .tables import PAGES_SQL, pages
+from .tables import PAGES_SQL, by_page, pages
+
+
+#: Partitions for each split of `documents` that is read: a task sorts the words of one, which are many times its size.
+PARTS = 16
 
 
 def scanned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc, page, run, text, role, hidden, x, y, width, size."""
+    """doc, page, run, text, role, hidden, x, y, width, size, units.
+
+    Whole texts are dealt out by page, with the widths of their words, before they are cut; words are not exchanged. All that is
+    read of them needs all columns of that exchange, and no condition can be taken before it, so Spark makes it once.
+    """
     c = F.col
     base = pages(spark, sf_dir).withColumn("v", F.floor((c("page") - 1) / 8))
-    base = base.select(
-        F.concat_ws("-", "doc", c("v").cast("string")).alias("doc"), ((c("page") - 1) % 8 + 1).alias("page"), "doc_id", (c("v") % 4).alias("style"),
-        (c("doc_id") % 9 != 0).alias("hidden"), "text",
-    )
-    line = base.select("doc", "page", "doc_id", "style", "hidden", F.posexplode(F.split("text", "\n")).alias("k", "line")).withColumn("words", F.split("line", " "))
+    base = base.select(F.concat_ws("-", "doc", c("v").cast("string")).alias("doc"), ((c("page") - 1) % 8 + 1).alias("page"), "doc_id", "text")
+    base = base.where("page IS NOT NULL")  # none is; joins by page would say so for some of the readers
+    parts = PARTS * load(spark, sf_dir, "documents").rdd.getNumPartitions()
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        style = (F.substring_index("doc", "-", -1).cast("long") % 4).alias("style")
+        return by_page(rows, "doc", "page", n=parts).select("*", style, (c("doc_id") % 9 != 0).alias("hidden"))
+
+    line = dealt(base.where("text IS NOT NULL").withColumn("units", word_units(c("text"))))
+    line = line.select("doc", "page", "doc_id", "style", "hidden", F.posexplode(F.arrays_zip(F.split("text", "\n").alias("text"), "units")).alias("k", "line"))
+    line = line.select("*", F.split("line.text", " ").alias("words"), c("line.units").alias("units"))
     drop = lambda text, typed: F.when(c("style") >= 2, descent(text) * typed).otherwise(0.0)
     ground = 720.0 - 14.0 * c("k")
+    of = lambda ch: WIDTHS[ord(ch) - 32]
 
-    def items(rows: DataFrame, run: Column, text: Column, role: Column, x: Column, y: Column, width: Column, size: Column) -> DataFrame:
-        return rows.select("doc", "page", run.cast("long").alias("run"), text.alias("text"), role.alias("role"), "hidden", x.alias("x"), y.alias("y"), width.alias("width"), size.alias("size"))
+    def items(rows: DataFrame, run: Column, text: Column, role: Column, x: Column, y: Column, width: Column, size: Column, units: Column) -> DataFrame:
+        return rows.select(
+            "doc", "page", run.cast("long").alias("run"), text.alias("text"), role.alias("role"), "hidden", x.alias("x"), y.alias("y"), width.alias("width"), size.alias("size"),
+            units.cast("int").alias("units"),
+        )
 
-    word = line.select("doc", "page", "style", "hidden", "k", F.size("words").alias("n"), F.posexplode("words").alias("p", "text")).where("text <> ''")
+    word = line.select("doc", "page", "style", "hidden", "k", F.size("words").alias("n"), F.posexplode(F.arrays_zip("words", "units")).alias("p", "w"))
+    word = word.select("doc", "page", "style", "hidden", "k", "n", "p", c("w.words").alias("text"), c("w.units").alias("units")).where("text <> ''")
     word = word.withColumn("typed", F.when(c("n") <= 3, 18.0).otherwise(12.0))
     ink = F.when(c("text").rlike("[A-Zbdfhklt0-9]"), 0.9).otherwise(0.65)
     seen = F.when(c("style") == 1, c("typed") * ink).when(c("style") == 2, c("typed") * 0.85).otherwise(c("typed"))
-    width = times_units(c("text")) / 1000 * c("typed") * (1 + ((c("p") * 7 + c("k") * 3) % 5 - 2) * 0.004)
-    words = items(word, c("k") * 100000 + c("p") * 10 + 20, c("text"), F.lit("body"), 90.0 + 30.0 * c("p"), ground - drop(c("text"), c("typed")), width, seen)
+    width = c("units") / 1000 * c("typed") * (1 + ((c("p") * 7 + c("k") * 3) % 5 - 2) * 0.004)
+    words = items(word, c("k") * 100000 + c("p") * 10 + 20, c("text"), F.lit("body"), 90.0 + 30.0 * c("p"), ground - drop(c("text"), c("typed")), width, seen, c("units"))
     number = (c("k") % 28 + 1).cast("string")
     misread = c("k") % 9 == 4
     small = F.when(c("style") == 1, 7.0).otherwise(12.0)
     numbers = items(
         line, c("k") * 100000, F.when(misread, F.concat(F.lit("l"), number)).otherwise(number), F.when(misread, "body").otherwise("line-number"),
-        F.lit(60.0), ground, F.lit(8.0), small,
+        F.lit(60.0), ground, F.lit(8.0), small, of("0") * F.length(number) + F.when(misread, of("l")).otherwise(0),
     )
     wide = F.when(c("doc_id") % 6 == 0, 4.0).otherwise(0.5)
-    brackets = items(line.where("doc_id % 3 = 0 AND k < 10"), c("k") * 100000 + 15, F.lit(")"), F.lit("body"), 306.0 + wide * (c("k") % 3), ground - drop(F.lit(")"), F.lit(12.0)), F.lit(4.0), small)
+    few = F.when(c("k") < 10, ")")  # not a literal, as no condition on it may be one on the page alone
+    brackets = items(
+        line.where(F.when(c("doc_id") % 3 == 0, c("k") < 10)), c("k") * 100000 + 15, few, F.lit("body"), 306.0 + wide * (c("k") % 3), ground - drop(F.lit(")"), F.lit(12.0)), F.lit(4.0), small,
+        F.lit(of(")")),
+    )
     p = c("page").cast("string")
     foot = F.concat(F.lit("Declaration of "), "doc")
-    feet = items(base, F.lit(9_000_000_000_000), foot, F.lit("footer"), F.lit(200.0), F.lit(40.0), times_units(foot) / 1000 * 9.0, F.lit(7.0))
     said = F.when(c("doc_id") % 2 == 0, p).otherwise(F.concat(F.lit("Page "), p, F.lit(" of 99")))
-    folios = items(base, F.lit(9_000_000_000_001), said, F.lit("page-number"), F.lit(300.0), F.lit(30.0), times_units(said) / 1000 * 10.0, F.lit(8.0))
+    ends = base.select("doc", "page", "doc_id", foot.alias("foot"), said.alias("said"))
+    ends = dealt(ends.withColumn("foot_units", times_units(c("foot"))).withColumn("said_units", times_units(c("said"))))
+    feet = items(ends, F.lit(9_000_000_000_000), c("foot"), F.lit("footer"), F.lit(200.0), F.lit(40.0), c("foot_units") / 1000 * 9.0, F.lit(7.0), c("foot_units"))
+    folios = items(ends, F.lit(9_000_000_000_001), c("said"), F.lit("page-number"), F.lit(300.0), F.lit(30.0), c("said_units") / 1000 * 10.0, F.lit(8.0), c("said_units"))
     return words.unionByName(numbers).unionByName(brackets).unionByName(feet).unionByName(folios)
 
 

@@ -597,3 +597,40 @@ def test_drawings_of_many_pages_and_of_a_page_of_many_rules(spark):
             assert low == first.tolist()
     rules = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 1.0)], RULE)
     assert "aggregate(" not in T.drawings(rules, ["page"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_recognised_text_exchanges_no_words(spark, sf_dir):
+    """Texts are dealt out by page once, for all that read words; before, words were exchanged for each window and join."""
+    from foliospark.plans import registry
+
+    found = registry.queries()["cmp6_recognised_text"](spark, sf_dir).groupBy("own_cell", "stray").count()
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x and "ReusedExchange" not in x]
+    assert plan.count("ArrowEvalPython [units(coalesce(text") == 1 and len(dealt) <= 5  # the others: feet, folios, pages without text
+    own = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "ENSURE_REQUIREMENTS" in x and "(doc#" in x and "page#" in x.split("ENSURE")[0] and "ReusedExchange" not in x]
+    assert len(own) == 1  # a page's facts
+
+
+def test_order_statistics_of_counted_rows(spark):
+    from foliospark.operators.recognised import order_statistics
+
+    rows = [("a", 1.0, 3), ("a", 2.0, 1), ("a", 2.0, 2), ("a", None, 9), (None, 1.0, 5), ("b", -4.0, 1)]
+    df = spark.createDataFrame(rows, "g string, v double, k int")
+    n = F.col("n")
+    got = {tuple(r) for r in order_statistics(df, ["g"], "v", {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2)}, times="k").collect()}
+    assert got == {("a", 6, 1.0, 2.0), ("b", 1, -4.0, -4.0)}
+
+
+def test_numbering_exchanges_rows_once(spark):
+    """The window and the join behind it have one key; groups may be null."""
+    from foliospark.operators.ordinals import numbered
+
+    df = spark.createDataFrame([(g, k, "t" * k) for k in range(40) for g in ("a", None, "b")], "g string, k long, t string")
+    assert {(r["g"], r["k"], r["ordinal"], r["t"]) for r in numbered(df, ["g"], "k").collect()} == {(g, k, k + 1, "t" * k) for k in range(40) for g in ("a", None, "b")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = numbered(df, ["g"], "k")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(_key") == 3  # the rows; sums of their ranges, before and behind a window

@@ -107,3 +107,12 @@ def test_widths_are_looked_up_once(spark, sf_dir):
     plain = lambda t: sum(WIDTHS[ord(ch) - 32] if 32 <= ord(ch) <= 126 else OTHER for ch in t)
     assert sorted(got) == [(k, None if t is None else plain(t)) for k, t in enumerate(texts)]
     assert "translate(" not in registry.queries()["cmp6_recognised_text"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_widths_of_words_by_line(spark):
+    from foliospark.functions.times import OTHER, WIDTHS, word_units
+
+    plain = lambda t: sum(WIDTHS[ord(ch) - 32] if 32 <= ord(ch) <= 126 else OTHER for ch in t)
+    texts = ["", " ", "\n", "a", "ab c\nd", " a\n\n b ", "é𝄞 x\ny\t", "W" * 50 + "\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", word_units(F.col("t")).alias("u")).collect()
+    assert [r["u"] for r in rows] == [[[plain(w) for w in line.split(" ")] for line in r["t"].split("\n")] for r in rows]
