@@ -60,17 +60,14 @@ pc AS (SELECT page, drawing, line, cell, least(len(list_filter(rows[2:], lambda
 def jon21_grid_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the grids that drawn rules make, and which of their sides are drawn."""
     ship(spark)
-    found = T.grids(T.edges(T.drawings(form_rules(spark, sf_dir), ["page"]), ["page"], dealt=True), ["page"])
-    return T.grid_cells(found, ["page"])
+    return T.grid_cells(form_rules(spark, sf_dir), ["page"])
 
 
 @query(f"{_GRIDS_SQL}, {_PLACED_SQL} SELECT page, drawing, line, cell, r, place FROM pc")
 def jon12_placed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row and column of each text cell in the grid of its page; -1 beside it, -2 across a column edge."""
     ship(spark)
-    found = T.grids(T.edges(T.drawings(form_rules(spark, sf_dir), ["page"]), ["page"], dealt=True), ["page"])
-    found = found.drop("spans")
-    return T.placements(form_text(spark, sf_dir), found, ["page"]).select("page", "drawing", "line", "cell", "r", "place")
+    return T.placements(form_rules(spark, sf_dir), form_text(spark, sf_dir), ["page"])
 
 
 @query(f"""{_GRIDS_SQL}, {_CELLS_SQL}, {_PLACED_SQL},

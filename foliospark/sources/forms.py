@@ -10,21 +10,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import load
+from .tables import by_page
 
 # Column edges, row height, first row edge.
 COLUMNS, ROW, TOP = (72.0, 172.0, 292.0, 412.0, 540.0), 24.0, 700.0
 
 
+#: Partitions for each split of `lineitem` that is read: a task holds the rules and texts of one, which are many times its size.
+PARTS = 16
+
+
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`lineitem` dealt out by order, so that what is made of a form and gathered by page is not exchanged."""
+    items = load(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "page")
+    return by_page(items, "page", n=PARTS * items.rdd.getNumPartitions())
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return load(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("page"), (F.row_number().over(w) - 1).alias("i"), "l_partkey", "l_suppkey", "l_quantity", "l_linenumber"
+    w = Window.partitionBy("page").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return _dealt(spark, sf_dir).select(
+        "page", (F.row_number().over(w) - 1).alias("i"), "l_partkey", "l_suppkey", "l_quantity", "l_linenumber"
     )
 
 
 def form_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page, rule, x, y, width, height."""
-    forms = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    forms = _dealt(spark, sf_dir).groupBy("page").agg(F.count(F.lit(1)).cast("int").alias("n"))
     off = (F.col("page") * 7 + F.col("i") * 3 + F.col("k")) % 5 * 0.5 - 1.0
     level = forms.select("page", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i")).select("page", "i", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
     level = level.where("(page + i * 5 + k) % 13 <> 0").select(
@@ -59,7 +70,7 @@ def form_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def form_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page, left, right: every ninth frame is too narrow for its table."""
-    forms = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page")).distinct()
+    forms = _dealt(spark, sf_dir).select("page").distinct()
     return forms.select("page", F.lit(72.0).alias("left"), F.when(F.col("page") % 9 == 0, 500.0).otherwise(540.0).alias("right"))
 
 
