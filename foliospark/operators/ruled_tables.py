@@ -97,11 +97,16 @@ def drawings(rules: DataFrame, key: list[str]) -> DataFrame:
     return by_page(page.select(*key, own.alias("own")), *key).select(*key, F.inline("own"))
 
 
+def _pairs(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """As complex numbers, which numpy orders by the first part and then by the second."""
+    both = np.empty(len(group), np.complex128)
+    both.real, both.imag = group, value
+    return both
+
+
 def _among(group: np.ndarray, value: np.ndarray, of: np.ndarray, x: np.ndarray, side: str) -> np.ndarray:
-    """Where each x would stand in its group `of`, as by searchsorted; value is sorted by group and value."""
-    rank = np.unique(np.concatenate([value, x]), return_inverse=True)[1]
-    n = len(rank) + 1
-    return np.searchsorted(group * n + rank[: len(value)], of * n + rank[len(value) :], side)
+    """Where each x would stand in its group `of`, as by searchsorted; value is sorted by group and value, without NaN."""
+    return np.searchsorted(_pairs(group, value), _pairs(of, x), side)
 
 
 def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,9 +229,7 @@ def _sides(edges: _Edges, grids: _Grids, level: bool) -> np.ndarray:
     lines, n_lines, bands, n_bands = grids.rows, grids.n_rows, grids.columns, grids.n_columns
     if not level:
         lines, n_lines, bands, n_bands = bands, n_bands, lines, n_lines
-    own = np.flatnonzero(edges.level == level)
-    grid = np.searchsorted(grids.drawing, edges.drawing[own])
-    own = own[(grid < len(grids.drawing)) & (grids.drawing[np.minimum(grid, len(grids.drawing) - 1)] == edges.drawing[own])]
+    own = np.flatnonzero((edges.level == level) & np.isin(edges.drawing, grids.drawing))
     group, at = np.searchsorted(grids.drawing, edges.drawing[own]), edges.at[own]
     of = np.repeat(np.arange(len(n_lines)), n_lines)
     found, place = np.full(len(lines), -1), _among(group, at, of, lines - SAME_EDGE, "left")
@@ -288,6 +291,7 @@ def _places(text: _Text, grids: _Grids, page: np.ndarray) -> tuple[np.ndarray, .
     """grid, text cell, r, place of the text cells within the height of a grid of their page: the row whose band holds the baseline, and
     the column; -1 for cells beside the grid, -2 for cells that lie across a column edge. page: that of each grid."""
     by_height = np.lexsort((text.baseline, text.page))
+    by_height = by_height[~np.isnan(text.baseline[by_height])]
     heights, pages = text.baseline[by_height], text.page[by_height]
     row_ends, column_ends = np.cumsum(grids.n_rows), np.cumsum(grids.n_columns)
     top, bottom = grids.rows[row_ends - grids.n_rows], grids.rows[row_ends - 1]
@@ -310,9 +314,9 @@ def _places(text: _Text, grids: _Grids, page: np.ndarray) -> tuple[np.ndarray, .
 
 
 class _Pages(NamedTuple):
-    """Some pages: rules end to end, the page and drawing (as the place of a rule) of each; the grids and the page of each."""
+    """Some pages: the numbers of their rules end to end, of which a drawing is named by the place of its first; grids, and the page of each."""
 
-    rules: pa.StructArray
+    numbers: pa.Array
     edges: _Edges
     grids: _Grids
     page: np.ndarray
@@ -323,13 +327,15 @@ def _pages(batch: pa.RecordBatch) -> _Pages:
     rules = batch.column("rules").flatten()
     number, x, y, width, height = (rules.field(f).to_numpy(zero_copy_only=False) for f in ("rule", "x", "y", "width", "height"))
     page = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((number, page))
+    number, x, y, width, height = (v[order] for v in (number, x, y, width, height))
     new = np.zeros(len(page), np.int64)
     at = _breaks(page, number)  # rules of one number are of one drawing
     new[at] = at
     drawing = np.maximum.accumulate(new)[(np.cumsum(sizes) - sizes)[page] + _firsts(sizes, x, y, x + width, y + height)]
     edges = _edges(drawing, x, y, width, height)
     grids = _grids(edges)
-    return _Pages(rules, edges, grids, page[grids.drawing])
+    return _Pages(rules.field("rule").take(pa.array(order)), edges, grids, page[grids.drawing])
 
 
 def _page_text(batch: pa.RecordBatch) -> _Text:
@@ -368,10 +374,7 @@ def _gathered(key: list[str], **parts: DataFrame) -> DataFrame:
         rows = df.select(*key, *[(held[own] if name == own else F.lit(None).cast(kind)).alias(name) for name, kind in kinds.items()])
         tall = rows if tall is None else tall.unionByName(rows)
     pages = tall.where(" AND ".join(f"`{k}` IS NOT NULL" for k in key)).groupBy(*key)
-    pages = pages.agg(*[F.collect_list(name).alias(name) for name in parts])
-    if "rules" in parts:
-        pages = pages.withColumn("rules", F.sort_array("rules"))
-    return pages.where(" AND ".join(f"size({name}) > 0" for name in parts))
+    return pages.agg(*[F.collect_list(name).alias(name) for name in parts]).where(" AND ".join(f"size({name}) > 0" for name in parts))
 
 
 def _rule_parts(rules: DataFrame, key: list[str]) -> DataFrame:
@@ -391,7 +394,7 @@ def grid_cells(rules: DataFrame, key: list[str]) -> DataFrame:
     def work(batch: pa.RecordBatch) -> tuple[np.ndarray, list]:
         p = _pages(batch)
         grid, r, c, *sides, _ = _cells(p.edges, p.grids)
-        drawing = p.rules.field("rule").take(pa.array(p.grids.drawing[grid]))
+        drawing = p.numbers.take(pa.array(p.grids.drawing[grid]))
         return p.page[grid], [drawing, *[pa.array(v, pa.int32()) for v in (r, c)], *map(pa.array, sides)]
 
     kind = rules.schema["rule"].dataType.simpleString()
@@ -410,7 +413,7 @@ def placements(rules: DataFrame, text: DataFrame, key: list[str]) -> DataFrame:
     def work(batch: pa.RecordBatch) -> tuple[np.ndarray, list]:
         p, t = _pages(batch), _page_text(batch)
         grid, own, r, place = _places(t, p.grids, p.page)
-        drawing = p.rules.field("rule").take(pa.array(p.grids.drawing[grid]))
+        drawing = p.numbers.take(pa.array(p.grids.drawing[grid]))
         line, cell = (t.values.field(f).take(pa.array(own)) for f in ("line", "cell"))
         return p.page[grid], [drawing, line, cell, *[pa.array(v, pa.int32()) for v in (r, place)]]
 
@@ -448,7 +451,7 @@ def ruled_tables(rules: DataFrame, text: DataFrame, frames: DataFrame, key: list
         mine = kept[met // most] if len(met) else np.zeros(0, bool)
         sizes = np.bincount(met // most, minlength=len(of))[kept]
         lines = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), numbers.filter(pa.array(mine)))
-        drawing = p.rules.field("rule").take(pa.array(p.grids.drawing[of[kept]]))
+        drawing = p.numbers.take(pa.array(p.grids.drawing[of[kept]]))
         return p.page[of[kept]], [drawing, *[pa.array(v[kept], pa.int32()) for v in (row, column)], *[pa.array(v[kept]) for v in sides], lines]
 
     sides = [F.col(c).cast("double").alias(c) for c in ("left", "right")]

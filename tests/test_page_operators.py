@@ -634,3 +634,23 @@ def test_numbering_exchanges_rows_once(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning(_key") == 3  # the rows; sums of their ranges, before and behind a window
+
+
+def test_grids_of_pages_taken_together(spark):
+    """Pages with and without grids, in one batch and in batches of one page, against the cells of each page by hand; no window by edge is left."""
+    from foliospark.operators.ruled_tables import MOST_ROWS
+
+    rules = [r for p in range(1, 6) for r in table_rules(p, missing=(5,) if p == 2 else (1, 2) if p == 3 else ())]
+    rules = [r for r in rules if r[0] != 4] + [(4, k, 0.0, 30.0 * k, 5.0, 1.0) for k in range(3)]  # page 4: ticks
+    df = spark.createDataFrame(rules, RULE).coalesce(1)
+    whole = {(r, c): (True, True, True, True) for r in range(2) for c in range(2)}
+    got = {}
+    for r in T.grid_cells(df, ["page"]).collect():
+        got.setdefault(r["page"], {})[r["r"], r["c"]] = (r["above"], r["below"], r["before"], r["behind"])
+    # without its middle edge page 2 has one column; page 3 lacks a row edge
+    assert got == {1: whole, 5: whole} and MOST_ROWS > len(rules)
+    assert T.grid_cells(df.where("page = 4"), ["page"]).collect() == []
+    text = spark.createDataFrame([(p, k, 0, 104.0, 140.0, y) for p in range(1, 6) for k, y in enumerate((690.0, None, 670.0, 650.0))], TEXT)
+    assert sorted(tuple(r) for r in T.placements(df, text, ["page"]).collect()) == [(p, 0, line, 0, row, 0) for p in (1, 5) for line, row in ((0, 0), (2, 1))]
+    for plan in (T.grid_cells(df, ["page"]), T.placements(df, text, ["page"])):
+        assert "Window" not in plan._jdf.queryExecution().optimizedPlan().toString()
