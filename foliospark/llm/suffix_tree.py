@@ -34,6 +34,8 @@ COUNT_TOKENS, COUNT_GRAMS, SCORE_ENTRIES = 3_000_000, 1_500_000, 1_000_000
 HEAD_ENTRIES = 1 << 19
 #: Tokens a range of keys should have in scoring: few ranges, so that each sums up several keys of a document.
 SCORE_BUCKET = 2_500_000
+#: Parts, by range of its words, in which a filter's bits are exchanged.
+FILTER_PARTS = 16
 #: A word that makes up more than this share of all tokens is counted as a context in so many parts.
 HOT_SHARE, HOT_PARTS = 1 / 200, 8
 
@@ -172,19 +174,34 @@ def _slots(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _filter(keys: DataFrame, n: int) -> np.ndarray:
-    """Bloom filter of a table of about n keys, as 64-bit words. Spark sets the bits; 16 MB come to the driver at most,
-    and beyond some ten million keys the filter lets more and more others pass, which costs time only."""
+    """Bloom filter of a table of about n keys, as 64-bit words. Each task sets the bits of its keys and sends what it has set as
+    FILTER_PARTS rows at most; 16 MB come to the driver at most, and beyond some ten million keys the filter lets more and more others
+    pass, which costs time only."""
     size = 1 << min(21, max(4, n.bit_length()))
+    width = size // FILTER_PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(size, dtype=np.uint64)
         for batch in batches:
-            at, bits = _slots(batch.column(0).to_numpy(), size)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits.view(np.int64))], ["at", "bits"])
-
-    rows = keys.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(size, dtype=np.uint64)
-    words[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return words
+            np.bitwise_or.at(words, *_slots(batch.column(0).to_numpy(), size))
+        at = np.flatnonzero(words)
+        parts = np.split(at, np.searchsorted(at, np.arange(width, size, width)))
+        bodies = [(some % width).astype("<u4").tobytes() + words[some].tobytes() for some in parts]
+        sent = [k for k, some in enumerate(parts) if len(some)]
+        yield pa.RecordBatch.from_arrays([pa.array(sent, pa.int32()), pa.array([bodies[k] for k in sent], pa.binary())], ["part", "body"])
+
+    def together(table: pa.Table) -> pa.Table:
+        words = np.zeros(width, dtype=np.uint64)
+        for body in table.column("body"):
+            n = len(body.as_py()) // 12
+            words[np.frombuffer(body.as_py(), "<u4", n)] |= np.frombuffer(body.as_py(), "<u8", n, 4 * n)
+        return pa.table([table.column("part").slice(0, 1), pa.array([words.tobytes()], pa.binary())], ["part", "words"])
+
+    rows = keys.mapInArrow(run, "part int, body binary").groupBy("part").applyInArrow(together, "part int, words binary").toArrow()
+    words = np.zeros((FILTER_PARTS, width), dtype=np.uint64)
+    for part, body in zip(rows["part"].to_pylist(), rows["words"].to_pylist(), strict=True):
+        words[part] = np.frombuffer(body, np.uint64)
+    return words.ravel()
 
 
 def _passes(keys: np.ndarray, words: np.ndarray) -> np.ndarray:

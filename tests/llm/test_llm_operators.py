@@ -565,3 +565,25 @@ def test_imatch_likeness_means_the_same_at_every_length(size):
             b = np.r_[a[: int(kept * size)], new[int(kept * size) :]]
             got.append(imatch.likeness(*(imatch.fingerprint(np.unique(t), none) for t in (a, b))))
         assert np.mean(got) == pytest.approx(want, abs=0.1)
+
+
+def test_suffix_tree_filter_is_exchanged_by_task(spark):
+    """Bits are put together in each task: no row for every key leaves it. The words are those of all keys, set one by one."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 40, 3000):
+        keys = rng.integers(-(2**63), 2**63 - 1, n)
+        df = spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(3)
+        got = suffix_tree._filter(df, n)
+        want = np.zeros(1 << max(4, n.bit_length()), dtype=np.uint64)
+        for at, bits in zip(*suffix_tree._slots(keys, len(want)), strict=True):
+            want[at] |= bits
+        assert (got == want).all() and suffix_tree._passes(keys, got).all()
+    text = spark.range(3000).selectExpr("xxhash64(id) AS key")
+    sent = []
+    plain = type(text).mapInArrow
+    try:
+        type(text).mapInArrow = lambda self, f, schema, *a, **k: sent.append(plain(self, f, schema, *a, **k)) or sent[-1]
+        suffix_tree._filter(text, 3000)
+    finally:
+        type(text).mapInArrow = plain
+    assert sent[0].count() <= 16 * text.rdd.getNumPartitions()
