@@ -36,6 +36,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 SLOTS, GRAMS = 1 << 16, (1, 2, 3, 4)
 #: Entries of a worker's word memory; it is emptied when full, which costs time only.
 MEMORY_WORDS = 250_000
+#: Words whose n-grams (some hundred bytes each, several times) are worked on at once.
+GRAM_WORDS = 10_000
 #: Words whose Viterbi lattices are worked on at once.
 LATTICE_WORDS = 200_000
 
@@ -100,16 +102,17 @@ def train(labelled: DataFrame, per_language: int = 4000, text_col: str = "text",
         scripts: dict[str, np.ndarray] = {}
         for batch in batches:
             words: dict[str, Counter] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                words.setdefault(lang.as_py(), Counter()).update(_WORD.findall(text.as_py().lower()))
             for lang, counter in words.items():
                 own = list(counter)
                 weight = np.fromiter(counter.values(), np.float64, len(own))
-                slots, owners = grams(own)
                 # log-damped, so that a phrase that is copied often doesn't rule the counts
                 damped = 1 + np.log(weight)
                 tables.setdefault(lang, np.zeros(SLOTS))
-                tables[lang] += np.bincount(slots, damped[owners], SLOTS) if len(slots) else 0
+                for at in range(0, len(own), GRAM_WORDS):
+                    slots, owners = grams(own[at : at + GRAM_WORDS])
+                    tables[lang] += np.bincount(slots, damped[at + owners], SLOTS)
                 scripts.setdefault(lang, np.zeros(len(_NAMES)))
                 scripts[lang] += np.bincount([script_of(w) for w in own], damped, len(_NAMES)) if own else 0
         for lang, t in tables.items():
@@ -212,7 +215,7 @@ def identify(
                 new = list(dict.fromkeys(w for ws in words for w in ws))
             if new and m.languages:
                 memory.update(zip(new, range(len(memory), len(memory) + len(new)), strict=True))
-                known = np.concatenate([known, *[word_scores(new[a : a + 50_000], m) for a in range(0, len(new), 50_000)]])
+                known = np.concatenate([known, *[word_scores(new[a : a + GRAM_WORDS], m) for a in range(0, len(new), GRAM_WORDS)]])
                 letters = np.r_[letters, np.fromiter((len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in new), np.int64, len(new))]
             sizes = np.fromiter(map(len, words), np.int64, len(words))
             langs, scores, spans = ["und"] * len(words), [0.0] * len(words), [[] for _ in words]

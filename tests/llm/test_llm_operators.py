@@ -587,3 +587,20 @@ def test_suffix_tree_filter_is_exchanged_by_task(spark):
     finally:
         type(text).mapInArrow = plain
     assert sent[0].count() <= 16 * text.rdd.getNumPartitions()
+
+
+def test_language_training_takes_few_words_at_a_time(spark, monkeypatch):
+    """The n-grams of all words of a batch at once took some hundred bytes for each word several times; the table is the same."""
+    rng = np.random.default_rng(2)
+    rows = [(" ".join("".join(rng.choice(list(letters), 9)) for _ in range(400)), lang) for lang, letters in (("x", "abcdefgh"), ("y", "ghijklmn")) for _ in range(30)]
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    asked = []
+    whole = language_id.grams
+    monkeypatch.setattr(language_id, "grams", lambda words: asked.append(len(words)) or whole(words))
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: spark.createDataFrame(
+        [r for b in f(iter(self.toArrow().combine_chunks().to_batches())) for r in map(tuple, b.to_pandas().itertuples(index=False))], schema))
+    monkeypatch.setattr(language_id, "GRAM_WORDS", 1000, raising=False)
+    model = language_id.train(docs)
+    assert max(asked) <= 1000 and sum(asked) > 20_000
+    monkeypatch.setattr(language_id, "GRAM_WORDS", 10**9, raising=False)
+    assert np.allclose(language_id.train(docs).table, model.table, rtol=1e-6)
